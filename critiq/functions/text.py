@@ -11,23 +11,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The 29 white-space characters of Unicode text stripping.
-WHITESPACE = (
-    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+WHITESPACE = "".join(
+    map(
+        chr,
+        [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680]
+        + [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
+    )
 )
 
 # Fixed value: line boundaries of Unicode text, as a Java pattern.
-LINE_BREAK = r"\r\n|[\n\r\u000b\f\u001c-\u001e\u0085  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 # Characters on which NFKC changes nothing, no two of which compose, and whose
 # case folding is their lower case: such text is folded inside the JVM.
-PLAIN_TEXT = (
-    r"^[\x00-\x7f¡-§©«¬®°±¶·"
-    r"»¿-Þà-įıĴ-ľŁ-ň"
-    r"Ŋ-žЀ-ҁҐ-ӿ‐‒-—‘-„"
-    r"†-•€ぁ-ゖァ-ヾ一-鿯가-힣]*$"
+_PLAIN_RANGES = (
+    (0x00, 0x7F),
+    (0xA1, 0xA7),
+    (0xA9, 0xA9),
+    (0xAB, 0xAC),
+    (0xAE, 0xAE),
+    (0xB0, 0xB1),
+    (0xB6, 0xB7),
+    (0xBB, 0xBB),
+    (0xBF, 0xDE),
+    (0xE0, 0x12F),
+    (0x139, 0x13E),
+    (0x141, 0x148),
+    (0x14A, 0x17E),
+    (0x400, 0x481),
+    (0x490, 0x4FF),
+    (0x2010, 0x2010),
+    (0x2012, 0x2014),
+    (0x2018, 0x201E),
+    (0x2020, 0x2022),
+    (0x20AC, 0x20AC),
+    (0x3041, 0x3096),
+    (0x30A1, 0x30FA),
+    (0x4E00, 0x9FEF),
+    (0xAC00, 0xD7A3),
 )
+PLAIN_TEXT = "^[%s]*$" % "".join(r"\x{%x}-\x{%x}" % pair for pair in _PLAIN_RANGES)
 
 # A maximal run of word characters that is at least two long and has no
 # underscore in it.
