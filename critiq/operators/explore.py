@@ -245,19 +245,20 @@ def distribution(reviews: DataFrame, criteria: ReviewFilter = ReviewFilter()) ->
         .agg(F.count("*").alias("reviews"))
         .filter(F.col("label").isNotNull())
     )
+    # Bars that show even when no review falls on them.
+    has = _available(reviews)
+    nothing = ~(has["has_rating"] | has["has_sentiment"] | has["has_restaurant"])
+    nothing = nothing & ~has["has_country"]
     zeros = reviews.sparkSession.createDataFrame(
-        [(str(r),) for r in RATINGS], "label string"
-    ).select(
-        F.when(_available(reviews)["has_rating"], "rating").alias("kind"),
-        "label",
-        F.lit(0).cast("bigint").alias("reviews"),
+        [("rating", str(r)) for r in RATINGS] + [("total", "Reviews")], "kind string, label string"
+    ).filter(
+        ((F.col("kind") == "rating") & has["has_rating"]) | ((F.col("kind") == "total") & nothing)
     )
     bars = (
-        counted.unionByName(zeros.filter("kind IS NOT NULL"))
+        counted.unionByName(zeros.withColumn("reviews", F.lit(0).cast("bigint")))
         .groupBy("kind", "label")
         .agg(F.sum("reviews").alias("reviews"))
     )
-    # Ratings and sentiments keep every bar: their rank never exceeds zero.
     long_tail = F.col("kind").isin("restaurant", "country")
     largest = bars.filter(long_tail).orderBy(F.desc("reviews"), "label").limit(TOP_LABELS)
     return bars.filter(~long_tail).unionByName(largest)
