@@ -14,6 +14,7 @@ from critiq.operators.identity import assign_source_ids, copies_held
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews, raise_on_violations, violations
 from critiq.operators.vector_search import search
+from critiq.sources.csv import CSV_OPTIONS, null_words_as_null
 from critiq.sources.index import commits, read_index, write_batch
 
 
@@ -49,10 +50,8 @@ def stream_index(
 ) -> StreamingQuery:
     """Watch a folder of CSV files and index what arrives, until none is left."""
     schema = StructType([StructField(c, StringType()) for c in columns])
-    arriving = (
-        spark.readStream.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"')
-        .csv(folder)
+    arriving = null_words_as_null(
+        spark.readStream.schema(schema).options(**CSV_OPTIONS).csv(folder)
     )
 
     def add(batch: DataFrame, epoch: int) -> None:
