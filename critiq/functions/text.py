@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 
@@ -104,12 +105,13 @@ def _special_folds() -> dict[str, str]:
     return {c: c.casefold() for c in characters if c.casefold() != c.lower()}
 
 
-_SPECIAL_FOLDS = _special_folds()
+# As JSON, which Spark folds into one constant map at plan time.
+_SPECIAL_FOLDS = json.dumps(_special_folds(), ensure_ascii=False)
 
 
 def casefold_label(col: Column) -> Column:
     """Full case folding of a short label without leaving the JVM."""
-    table = F.create_map(*[F.lit(x) for pair in _SPECIAL_FOLDS.items() for x in pair])
+    table = F.from_json(F.lit(_SPECIAL_FOLDS), "map<string,string>")
     by_character = F.array_join(
         F.transform(
             F.split(col, ""),

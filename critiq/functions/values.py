@@ -40,8 +40,11 @@ def parse_number(col: Column) -> Column:
 
 
 def parse_rating(col: Column) -> Column:
-    """Whole number from 1 to 5, else null."""
-    number = parse_number(col)
+    """Text of a whole number from 1 to 5, else null."""
+    return whole_rating(parse_number(col))
+
+
+def whole_rating(number: Column) -> Column:
     return F.when(number.between(1, 5) & (number % 1 == 0), number.cast("int"))
 
 

@@ -218,7 +218,7 @@ def validate_answers(
 
 
 def needs_repair(verdict: str = "verdict") -> Column:
-    return F.col(f"{verdict}.reason").isin(*REPAIRABLE)
+    return F.coalesce(F.col(f"{verdict}.reason").isin(*REPAIRABLE), F.lit(False))
 
 
 def final_answers(

@@ -6,11 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from critiq.functions.records import CANONICAL_COLUMNS, EXTRA_COLUMN, EXTRA_TYPE
 from critiq.functions.text import clean_text, strip
-from critiq.functions.values import parse_date, parse_rating
+from critiq.functions.values import parse_date, parse_rating, whole_rating
 from critiq.operators.mapping import (
     ColumnMapping,
     ReviewDataError,
@@ -50,6 +58,33 @@ def _extras(df: DataFrame, columns: Sequence[str]) -> Column:
     return packed.cast(EXTRA_TYPE)
 
 
+def _supplied(column: str, kind: DataType) -> Column:
+    """Is there a value at all? Blank text is none."""
+    return (clean_text(_name(column)) if isinstance(kind, StringType) else _name(column)).isNotNull()
+
+
+def _rating(column: str, kind: DataType) -> Column:
+    if isinstance(kind, NumericType):
+        return whole_rating(_name(column))
+    return parse_rating(_name(column))
+
+
+def _date(column: str, kind: DataType) -> Column:
+    # Typed dates need no parsing, and bounds on them reach the scan.
+    if isinstance(kind, DateType):
+        return _name(column)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return _name(column).cast("date")
+    return parse_date(_name(column))
+
+
+def _text(column: str, kind: DataType) -> Column:
+    return clean_text(_as_text(column, kind))
+
+
+_PARSERS = {"Rating": _rating, "Date": _date}
+
+
 def _resolve(df: DataFrame, mapping: ColumnMapping | None) -> ColumnMapping:
     if len({c.lower() for c in df.columns}) < len(df.columns):
         repeated = sorted({c for c in df.columns if df.columns.count(c) > 1})
@@ -79,14 +114,13 @@ def normalize_reviews(
     resolved = _resolve(df.drop(*keep), mapping)
     if strict:
         raise_on_violations(violations(df, resolved, keep=keep))
-    parse = {"Rating": parse_rating, "Date": parse_date}
     columns: list[Column] = [_name(c) for c in keep]
     for canonical in CANONICAL_COLUMNS:
         source = getattr(resolved, canonical.lower())
         if source is None:
             value = F.lit(None).cast(_TYPES.get(canonical, "string"))
         else:
-            value = parse.get(canonical, clean_text)(_name(source))
+            value = _PARSERS.get(canonical, _text)(source, df.schema[source].dataType)
         columns.append(value.alias(canonical))
     used = {*resolved.columns(), *keep}
     extras = [c for c in df.columns if c not in used]
@@ -106,12 +140,13 @@ def violations(
         resolved = _resolve(df.drop(*keep), mapping)
         review = _name(resolved.review)
         checks = [_finding(0, review, clean_text(review).isNull())]
-        for position, parse in ((1, parse_rating), (2, parse_date)):
-            source = getattr(resolved, RULES[position][0].lower())
+        for position in (1, 2):
+            rule = RULES[position][0]
+            source = getattr(resolved, rule.lower())
             if source is not None:
-                raw = _name(source)
-                failed = clean_text(raw).isNotNull() & parse(raw).isNull()
-                checks.append(_finding(position, raw, failed))
+                kind = df.schema[source].dataType
+                failed = _supplied(source, kind) & _PARSERS[rule](source, kind).isNull()
+                checks.append(_finding(position, _name(source), failed))
         broken = F.array(*checks)
     return df.select(
         *[_name(c) for c in keep],

@@ -18,6 +18,7 @@ from critiq.operators.normalize import normalize_reviews, violations
 from critiq.operators.reconcile import missing_documents, reconciled, stale_ids
 from critiq.operators.vector_search import search, vector_search
 from critiq.plans import tables as T
+from critiq.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -249,9 +250,7 @@ def hits_per_case(spark, sf):
 
 
 def retriever_comparison(spark, sf):
-    gold = _passage_gold(spark, sf).withColumn(
-        "source_id", F.concat(F.lit("doc-"), F.col("source_id").cast("string"))
-    )
+    gold = _document_gold(spark, sf)
     keyword = _ranked(T.keyword_matches(spark, sf), "doc_id").withColumn(
         "source_id", F.concat(F.lit("doc-"), F.col("source_id").cast("string"))
     )
@@ -314,14 +313,22 @@ def validate_answers(spark, sf):
     )
 
 
-def _final(spark, sf):
-    collected = A.collect_evidence(T.evidence(spark, sf))
+def _final(spark, sf, matches=None):
+    collected = A.collect_evidence(matches or T.evidence(spark, sf))
     rows = T.responses(T.questions(spark, sf).join(collected, "query_id", "left"))
     return A.final_answers(rows, keep=("query_id", "latency_ms"))
 
 
-def _observed(spark, sf):
-    return metrics.observations(_final(spark, sf))
+def _observed(spark, sf, matches=None):
+    return metrics.observations(_final(spark, sf, matches))
+
+
+def _document_gold(spark, sf):
+    pairs = T.passage_gold(spark, sf)
+    return pairs.select(
+        F.col("item_id").alias("case_id"),
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"),
+    )
 
 
 def final_answers(spark, sf):
@@ -342,9 +349,7 @@ def support_proxy(spark, sf):
 
 
 def answer_metrics(spark, sf):
-    gold = _passage_gold(spark, sf).withColumn(
-        "source_id", F.concat(F.lit("doc-"), F.col("source_id").cast("string"))
-    )
+    gold = _document_gold(spark, sf)
     return metrics.answer_metrics(T.passage_cases(spark, sf), _observed(spark, sf), gold)
 
 
@@ -357,9 +362,7 @@ def latency_summary(spark, sf):
 
 
 def serialized_observations(spark, sf):
-    gold = _passage_gold(spark, sf).withColumn(
-        "source_id", F.concat(F.lit("doc-"), F.col("source_id").cast("string"))
-    )
+    gold = _document_gold(spark, sf)
     rows = report.serialize_observations(_observed(spark, sf), gold)
     return rows.select(
         "case_id", "relevant_source_count",
@@ -371,11 +374,12 @@ def serialized_observations(spark, sf):
 
 
 def evaluation_report(spark, sf):
-    wanted, observed = T.passage_cases(spark, sf), _observed(spark, sf)
-    gold = _passage_gold(spark, sf).withColumn(
-        "source_id", F.concat(F.lit("doc-"), F.col("source_id").cast("string"))
-    )
-    keyword = _ranked(T.evidence(spark, sf), "source_id")
+    # Each of these is read several times by the report.
+    matches = materialize(T.evidence(spark, sf))
+    gold = materialize(_document_gold(spark, sf))
+    wanted = materialize(T.passage_cases(spark, sf, gold))
+    observed = materialize(_observed(spark, sf, matches))
+    keyword = _ranked(matches, "source_id")
     vector = _ranked(T.letter_matches(spark, sf), "source_id")
     built = report.build_report(
         wanted,

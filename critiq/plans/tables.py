@@ -267,10 +267,13 @@ def responses(collected: DataFrame) -> DataFrame:
     )
 
 
-def passage_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def passage_cases(
+    spark: SparkSession, sf_dir: str, gold: DataFrame | None = None
+) -> DataFrame:
     """A case per passage: to be answered where a document contains it."""
-    gold = passage_gold(spark, sf_dir).select(F.col("item_id").alias("query_id")).distinct()
-    known = gold.withColumn("known", F.lit(True))
+    if gold is None:
+        gold = passage_gold(spark, sf_dir).withColumnRenamed("item_id", "case_id")
+    known = gold.select(F.col("case_id").alias("query_id"), F.lit(True).alias("known")).distinct()
     opening = F.substring("question", 1, 12)
     closing = F.concat(F.lit("zz"), F.substring("question", 13, 6))
     facts = F.array(
