@@ -86,9 +86,9 @@ def manifest_violations(manifest: DataFrame, dataset: DataFrame | None = None) -
         "row_count_positive": ~F.coalesce(row_count >= 1, F.lit(False)),
     }
     if dataset is not None:
-        actual = dataset.select(F.struct("sha256", "row_count").alias("d")).scalar()
-        rules["sha256_equal"] = F.col("sha256") != actual["sha256"]
-        rules["row_count_equal"] = row_count != actual["row_count"]
+        manifest = manifest.withColumn("actual", dataset.select(F.struct("sha256", "row_count")).scalar())
+        rules["sha256_equal"] = F.col("sha256") != F.col("actual.sha256")
+        rules["row_count_equal"] = row_count != F.col("actual.row_count")
     named = F.array(*[F.when(failed, F.lit(name)) for name, failed in rules.items()])
     return manifest.select(F.explode(F.filter(named, lambda r: r.isNotNull())).alias("rule"))
 

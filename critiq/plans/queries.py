@@ -233,6 +233,13 @@ def _passage_gold(spark, sf):
     )
 
 
+def _rounded(scores: DataFrame) -> DataFrame:
+    """Means without the digits that the order of a float sum decides."""
+    return scores.select(
+        *[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in scores.dtypes]
+    )
+
+
 def _ranked(matches, id_column):
     return matches.select(
         F.col("query_id").alias("case_id"), F.col(id_column).alias("source_id"), "rank"
@@ -241,7 +248,7 @@ def _ranked(matches, id_column):
 
 def retrieval_metrics(spark, sf):
     ranked = _ranked(T.keyword_matches(spark, sf), "doc_id")
-    return metrics.retrieval_metrics(_passage_gold(spark, sf), ranked, T.TOP_K)
+    return _rounded(metrics.retrieval_metrics(_passage_gold(spark, sf), ranked, T.TOP_K))
 
 
 def hits_per_case(spark, sf):
@@ -255,7 +262,8 @@ def retriever_comparison(spark, sf):
         "source_id", F.concat(F.lit("doc-"), F.col("source_id").cast("string"))
     )
     vector = _ranked(T.letter_matches(spark, sf), "source_id")
-    return metrics.compare_retrievers(gold, {"bm25": keyword, "semantic": vector}, T.TOP_K)
+    rankings = {"bm25": keyword, "semantic": vector}
+    return _rounded(metrics.compare_retrievers(gold, rankings, T.TOP_K))
 
 
 def gold_by_title(spark, sf):
@@ -267,7 +275,7 @@ def missing_gold(spark, sf):
 
 
 def evaluate_replies(spark, sf):
-    return evaluate_bm25(T.turn_cases(spark, sf), T.replies(spark, sf), T.TOP_K)[0]
+    return _rounded(evaluate_bm25(T.turn_cases(spark, sf), T.replies(spark, sf), T.TOP_K)[0])
 
 
 def retrieval_only(spark, sf):
@@ -350,7 +358,8 @@ def support_proxy(spark, sf):
 
 def answer_metrics(spark, sf):
     gold = _document_gold(spark, sf)
-    return metrics.answer_metrics(T.passage_cases(spark, sf), _observed(spark, sf), gold)
+    wanted = T.passage_cases(spark, sf)
+    return _rounded(metrics.answer_metrics(wanted, _observed(spark, sf), gold))
 
 
 def report_counts(spark, sf):
@@ -389,7 +398,7 @@ def evaluation_report(spark, sf):
         bm25=metrics.retrieval_metrics(gold, keyword, T.TOP_K),
         generated_at="2024-01-01T00:00:00Z",
     )
-    return built.select(
+    rows = built.select(
         "schema_version",
         "generated_at",
         *[
@@ -405,6 +414,7 @@ def evaluation_report(spark, sf):
         F.col("diagnostics.repair_attempt_count").alias("repair_attempt_count"),
         F.col("diagnostics.repair_success_count").alias("repair_success_count"),
     )
+    return _rounded(rows)
 
 
 def case_violations(spark, sf):

@@ -20,7 +20,7 @@ _LIST_TYPES = {
 
 
 def _document(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.try_parse_json("value").alias("manifest"))
 
 

@@ -40,7 +40,7 @@ def difference(spark, sf_dir: str, query, sql: str) -> str | None:
     """What differs between the two results, or None."""
     ours = query(spark, sf_dir).toArrow()
     con = connect(sf_dir)
-    theirs = con.execute(sql).to_arrow_table()
+    theirs = con.sql(sql).to_arrow_table()
     if _types(ours) != _types(theirs):
         return f"types {_types(ours)} / {_types(theirs)}"
     a, b = _rows(ours), _rows(theirs)
