@@ -11,6 +11,7 @@ from critiq.operators.bm25 import bm25_search
 from critiq.operators.cases import require_complete, resolve_gold
 from critiq.operators.metrics import answer_metrics, observations, retrieval_metrics
 from critiq.operators.vector_search import search
+from critiq.session import materialize
 
 
 def evaluate_bm25(
@@ -57,7 +58,8 @@ def evaluate_answers(
     k: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """Answer metrics of semantic retrieval with a model, and the observations."""
-    queries = embed(cases.select(F.col("id").alias("query_id"), "question"), embed_fn, "question")
+    asked = cases.select(F.col("id").alias("query_id"), "question")
+    queries = materialize(embed(asked, embed_fn, "question"))
     matches = search(index, queries, k)
     observed = observations(
         answer_queries(queries.select("query_id", "question"), matches, model)

@@ -50,7 +50,8 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
             _MEDIAN_ACCURACY,
         )
     ).scalar()
-    low, high = F.get(bounds, F.lit(0)), F.get(bounds, F.lit(1))
+    values = values.withColumn("b", bounds)
+    low, high = F.get("b", F.lit(0)), F.get("b", F.lit(1))
     totals = values.agg(
         F.struct(
             F.sum("n").alias("all"),
