@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -99,6 +100,7 @@ def casefold(col: Column) -> Column:
     return _with_jvm_fast_path(col, _fold)
 
 
+@cache
 def _special_folds() -> dict[str, str]:
     """Characters whose case folding is not their lower case."""
     characters = map(chr, range(sys.maxunicode + 1))
@@ -137,4 +139,9 @@ _NAME_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 def plain_name_col(col: Column) -> Column:
     """``plain_name`` of a column of names."""
-    return F.regexp_replace(casefold_label(col), "[^a-z0-9]", "")
+    folded = col
+    for c, fold in _special_folds().items():
+        if _NAME_CHARACTERS & set(fold):
+            folded = F.replace(folded, F.lit(c), F.lit(fold))
+    name = F.when(F.length(col) == F.octet_length(col), col).otherwise(folded)
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")

@@ -150,8 +150,9 @@ def _search_pass(
     held = np.array([found[t][0] for t in vocabulary], np.float64)
     idf = np.log(1 + (document_count - held + 0.5) / (held + 0.5))
 
+    vocabulary = pa.array(vocabulary, pa.string())
     table = pairs.toArrow().combine_chunks()
-    terms = pc.index_in(table["term"], pa.array(vocabulary, pa.string()))
+    terms = pc.index_in(table["term"], vocabulary)
     encoded = pc.dictionary_encode(table[query_column]).combine_chunks()
     known = pc.is_valid(terms).to_numpy()
     term_of_pair = terms.to_numpy().astype(np.float64)[known].astype(np.int64)
@@ -164,7 +165,7 @@ def _search_pass(
 
     def score(batches: Iterator[pa.RecordBatch]):
         words, weight, pair_term, pair_query = shared.value
-        words = pa.array(words, pa.string())
+        stride = max(len(words), 1)
         for batch in batches:
             lists = batch.column(1)
             length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -173,8 +174,8 @@ def _search_pass(
             word = pc.index_in(lists.flatten(), words)
             hit = pc.is_valid(word).to_numpy(zero_copy_only=False)
             word = word.fill_null(0).to_numpy()[hit].astype(np.int64)
-            cell, often = np.unique(row[hit] * max(len(words), 1) + word, return_counts=True)
-            row, word = np.divmod(cell, max(len(words), 1))
+            cell, often = np.unique(row[hit] * stride + word, return_counts=True)
+            row, word = np.divmod(cell, stride)
             damping = k1 * (1 - b + b * length[row] / average)
             value = weight[word] * (often * (k1 + 1) / (often + damping))
             # Dense blocks: the terms of a few questions against a few rows.
@@ -182,18 +183,19 @@ def _search_pass(
                 last = min(first + _BLOCK, query_count)
                 lo, hi = np.searchsorted(pair_query, [first, last])
                 used, column = np.unique(pair_term[lo:hi], return_inverse=True)
+                if not len(used):
+                    continue
                 asks = np.zeros((len(used), last - first))
                 asks[column, pair_query[lo:hi] - first] = 1.0
-                place = np.full(len(words), -1)
-                place[used] = np.arange(len(used))
+                place = np.searchsorted(used, word).clip(max=len(used) - 1)
+                wanted = used[place] == word
                 step = max(1, _CELLS // max(len(used), last - first, 1))
                 for start in range(0, len(length), step):
                     stop = min(start + step, len(length))
                     x, y = np.searchsorted(row, [start, stop])
-                    at = place[word[x:y]]
-                    inside = at >= 0
+                    inside = wanted[x:y]
                     has = np.zeros((stop - start, len(used)))
-                    has[row[x:y][inside] - start, at[inside]] = value[x:y][inside]
+                    has[row[x:y][inside] - start, place[x:y][inside]] = value[x:y][inside]
                     scores = has @ asks
                     scores[scores <= 0] = -np.inf
                     yield batch.column(0).slice(start, stop - start), first, scores

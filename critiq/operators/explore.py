@@ -153,68 +153,62 @@ def availability(reviews: DataFrame) -> DataFrame:
     )
 
 
-def _available(reviews: DataFrame) -> Column:
-    """The flags as a scalar subquery."""
-    flags = availability(reviews)
-    return flags.select(F.struct(*flags.columns).alias("flags")).scalar()
+def first_available(reviews: DataFrame, fields: Sequence[str]) -> str | None:
+    """The first field that any review has.
+
+    Asked at plan time, as it decides which columns a plan reads: a look for one
+    value ends at the first, and files without any are skipped by their statistics.
+    """
+    for field in fields:
+        if not reviews.filter(F.col(field).isNotNull()).select(field).isEmpty():
+            return field
+    return None
 
 
 def kpi_row(reviews: DataFrame, criteria: ReviewFilter = ReviewFilter()) -> DataFrame:
     """Four figures; which ones depends on the fields the unfiltered set has."""
-    label_rows = (
-        filter_reviews(reviews, criteria)
-        .groupBy("Sentiment", "Restaurant", "Country")
-        .agg(
+    view = filter_reviews(reviews, criteria)
+    kind = first_available(reviews, ("Rating", "Sentiment", "Restaurant"))
+    n = F.col("n")
+    if kind == "Rating":
+        figures = view.agg(
             F.count("*").alias("n"),
-            F.sum("Rating").alias("rating_sum"),
-            F.count("Rating").alias("rated"),
-            F.count_if(F.col("Rating") >= 4).alias("high"),
-            F.count_if(F.col("Rating") <= 2).alias("low"),
-            F.count("Date").alias("dated"),
-            F.count("Title").alias("titled"),
-            F.count_if(F.size(EXTRA_COLUMN) > 0).alias("with_extras"),
+            F.avg("Rating").alias("a"),
+            F.count_if(F.col("Rating") >= 4).alias("b"),
+            F.count_if(F.col("Rating") <= 2).alias("c"),
         )
-    )
-    totals = label_rows.agg(
-        _total("n").alias("reviews_in_view"),
-        F.try_divide(F.sum("rating_sum"), F.sum("rated")).alias("average_rating"),
-        _total("high").alias("high"),
-        _total("low").alias("low"),
-        F.countDistinct("Sentiment").alias("sentiment_labels"),
-        *_polarity(F.col("n")),
-        F.countDistinct("Restaurant").alias("restaurants"),
-        F.countDistinct("Country").alias("countries"),
-        _total("dated").alias("dated"),
-        _total("titled").alias("titled"),
-        _total("with_extras").alias("with_extras"),
-    ).withColumn("has", _available(reviews))
-    kinds = (
-        ("rating", ("average_rating", "high", "low")),
-        ("sentiment", ("sentiment_labels", "positive", "negative")),
-        ("restaurant", ("restaurants", "countries", "dated")),
-        ("other", ("dated", "titled", "with_extras")),
-    )
-    kind = (
-        F.when(F.col("has.has_rating"), "rating")
-        .when(F.col("has.has_sentiment"), "sentiment")
-        .when(F.col("has.has_restaurant"), "restaurant")
-        .otherwise("other")
-    )
-    totals = totals.withColumn("kind", kind)
-
-    def figure(position: int) -> Column:
-        choice = F.lit(None).cast("double")
-        for name, columns in kinds:
-            value = F.col(columns[position]).cast("double")
-            choice = F.when(F.col("kind") == name, value).otherwise(choice)
-        return choice
-
-    return totals.select(
-        "kind",
-        "reviews_in_view",
-        figure(0).alias("first_figure"),
-        figure(1).alias("second_figure"),
-        figure(2).alias("third_figure"),
+    elif kind == "Sentiment":
+        labels = view.groupBy("Sentiment").agg(F.count("*").alias("n"))
+        positive, negative = _polarity(n)
+        figures = labels.agg(
+            _total("n").alias("n"),
+            F.count("Sentiment").alias("a"),
+            positive.alias("b"),
+            negative.alias("c"),
+        )
+    elif kind == "Restaurant":
+        pairs = view.groupBy("Restaurant", "Country").agg(
+            F.count("*").alias("n"), F.count("Date").alias("dated")
+        )
+        figures = pairs.agg(
+            _total("n").alias("n"),
+            F.countDistinct("Restaurant").alias("a"),
+            F.countDistinct("Country").alias("b"),
+            _total("dated").alias("c"),
+        )
+    else:
+        figures = view.agg(
+            F.count("*").alias("n"),
+            F.count("Date").alias("a"),
+            F.count("Title").alias("b"),
+            F.count_if(F.size(EXTRA_COLUMN) > 0).alias("c"),
+        )
+    return figures.select(
+        F.lit((kind or "other").lower()).alias("kind"),
+        F.col("n").alias("reviews_in_view"),
+        F.col("a").cast("double").alias("first_figure"),
+        F.col("b").cast("double").alias("second_figure"),
+        F.col("c").cast("double").alias("third_figure"),
     )
 
 
@@ -224,44 +218,21 @@ def distribution(reviews: DataFrame, criteria: ReviewFilter = ReviewFilter()) ->
     Ratings 1 to 5 with zeros, else sentiments, else the ten largest
     restaurants or countries, else one total. Equal counts go by label.
     """
-    view = filter_reviews(reviews, criteria).withColumn("has", _available(reviews))
-    kind = (
-        F.when(F.col("has.has_rating"), "rating")
-        .when(F.col("has.has_sentiment"), "sentiment")
-        .when(F.col("has.has_restaurant"), "restaurant")
-        .when(F.col("has.has_country"), "country")
-        .otherwise("total")
-    )
-    label = (
-        F.when(kind == "rating", F.col("Rating").cast("string"))
-        .when(kind == "sentiment", F.col("Sentiment"))
-        .when(kind == "restaurant", F.col("Restaurant"))
-        .when(kind == "country", F.col("Country"))
-        .otherwise("Reviews")
-    )
-    counted = (
-        view.select(kind.alias("kind"), label.alias("label"))
-        .groupBy("kind", "label")
-        .agg(F.count("*").alias("reviews"))
-        .filter(F.col("label").isNotNull())
-    )
-    # Bars that show even when no review falls on them.
-    has = _available(reviews)
-    nothing = ~(has["has_rating"] | has["has_sentiment"] | has["has_restaurant"])
-    nothing = nothing & ~has["has_country"]
-    zeros = reviews.sparkSession.createDataFrame(
-        [("rating", str(r)) for r in RATINGS] + [("total", "Reviews")], "kind string, label string"
-    ).filter(
-        ((F.col("kind") == "rating") & has["has_rating"]) | ((F.col("kind") == "total") & nothing)
-    )
-    bars = (
-        counted.unionByName(zeros.withColumn("reviews", F.lit(0).cast("bigint")))
-        .groupBy("kind", "label")
-        .agg(F.sum("reviews").alias("reviews"))
-    )
-    long_tail = F.col("kind").isin("restaurant", "country")
-    largest = bars.filter(long_tail).orderBy(F.desc("reviews"), "label").limit(TOP_LABELS)
-    return bars.filter(~long_tail).unionByName(largest)
+    view = filter_reviews(reviews, criteria)
+    kind = first_available(reviews, ("Rating", "Sentiment", "Restaurant", "Country"))
+    if kind is None:
+        bars = view.agg(F.count("*").alias("reviews")).withColumn("label", F.lit("Reviews"))
+    elif kind == "Rating":
+        bars = rating_histogram(view).withColumn("label", F.col("rating").cast("string"))
+    else:
+        bars = (
+            view.filter(F.col(kind).isNotNull())
+            .groupBy(F.col(kind).alias("label"))
+            .agg(F.count("*").alias("reviews"))
+        )
+        if kind != "Sentiment":
+            bars = bars.orderBy(F.desc("reviews"), "label").limit(TOP_LABELS)
+    return bars.select(F.lit((kind or "total").lower()).alias("kind"), "label", "reviews")
 
 
 def facet_values(reviews: DataFrame) -> DataFrame:

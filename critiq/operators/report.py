@@ -10,6 +10,7 @@ SCHEMA_VERSION = 3
 _MEDIAN_SLACK = 0.001
 _MEDIAN_ACCURACY = 10_000
 INLINE_GOLD = 1_000
+INLINE_LABELS = 1_000
 
 
 def report_counts(cases: DataFrame, observed: DataFrame) -> DataFrame:
@@ -98,9 +99,12 @@ def latency_summary(observed: DataFrame) -> DataFrame:
 
 
 def _counter(counts: DataFrame, kind: str) -> Column:
-    """Labels of one kind as a sorted map; labels are a small vocabulary."""
+    """Labels of one kind as a sorted map; null where there are too many for one
+    record, as they are all in ``report_counts``."""
+    labels = counts.filter(F.col("kind") == kind).orderBy("label").limit(INLINE_LABELS + 1)
     entries = F.array_sort(F.collect_list(F.struct("label", "n")))
-    return counts.filter(F.col("kind") == kind).agg(F.map_from_entries(entries)).scalar()
+    few = F.when(F.count("*") <= INLINE_LABELS, F.map_from_entries(entries))
+    return labels.agg(few).scalar()
 
 
 def _one(row: DataFrame) -> Column:

@@ -42,9 +42,7 @@ def best_rows(
     Each item is (row IDs, number of the first query, rows x queries scores);
     larger is better and ``-inf`` leaves a pair out. Equal scores go by ID.
     """
-    kept = pd.DataFrame(
-        {"q": np.empty(0, np.int64), "score": np.empty(0), "id": np.empty(0, object)}
-    )
+    kept: dict[int, pd.DataFrame] = {}
     floor = np.full(query_count, -np.inf)
     for ids, first, scores in scored:
         scores = np.round(scores, SCORE_DIGITS) + 0.0
@@ -62,15 +60,13 @@ def best_rows(
                 "id": ids.take(pa.array(d)).to_pandas().astype(object),
             }
         )
-        touched = kept["q"].between(first, first + width - 1)
-        ranked = pd.concat([kept[touched], fresh]).sort_values(
-            ["q", "score", "id"], ascending=[True, False, True]
-        )
+        both = pd.concat([kept[first], fresh]) if first in kept else fresh
+        ranked = both.sort_values(["q", "score", "id"], ascending=[True, False, True])
         place = ranked.groupby("q").cumcount()
         full = ranked[place == k - 1]
         floor[full["q"].to_numpy()] = full["score"].to_numpy()
-        kept = pd.concat([kept[~touched], ranked[place < k]])
-    return kept
+        kept[first] = ranked[place < k]
+    return pd.concat(kept.values()) if kept else pd.DataFrame()
 
 
 def scan(

@@ -141,9 +141,8 @@ def metadata_keys(spark, sf):
 
 def _snapshots(spark, sf):
     """Documents before and after the labels arrived."""
-    before = identity.assign_source_ids(T.reviews(spark, sf, False).drop("doc_id"))
-    after = identity.assign_source_ids(T.reviews(spark, sf).drop("doc_id"))
-    return before, after
+    before = identity.source_id_set(T.reviews(spark, sf, with_labels=False))
+    return before, identity.source_id_set(T.reviews(spark, sf))
 
 
 def stale(spark, sf):

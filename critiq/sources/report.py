@@ -3,11 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def _sorted_columns(df: DataFrame) -> DataFrame:
-    return df.select(*sorted(df.columns))
 
 
 def write_report(
@@ -16,17 +11,18 @@ def write_report(
     *,
     observations: dict[str, DataFrame] | None = None,
     gold: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> None:
     """JSON under ``path``: one head record, and the large parts as JSON lines.
 
-    Null fields are kept. Observations go to ``observations/<name>`` and gold
-    pairs to ``gold``, each written in parallel.
+    Null fields are kept. Observations go to ``observations/<name>``, gold pairs
+    to ``gold`` and all label counts to ``counts``, each written in parallel.
     """
-    head = _sorted_columns(report).coalesce(1)
-    head.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/head")
-    for name, rows in (observations or {}).items():
-        _sorted_columns(rows).write.mode("overwrite").option("ignoreNullFields", False).json(
-            f"{path}/observations/{name}"
-        )
-    if gold is not None:
-        gold.select("case_id", F.col("source_id")).write.mode("overwrite").json(f"{path}/gold")
+    parts = {"head": report.coalesce(1), "gold": gold, "counts": counts}
+    parts |= {f"observations/{name}": rows for name, rows in (observations or {}).items()}
+    for name, rows in parts.items():
+        if rows is not None:
+            ordered = rows.select(*sorted(rows.columns))
+            ordered.write.mode("overwrite").option("ignoreNullFields", False).json(
+                f"{path}/{name}"
+            )

@@ -260,7 +260,8 @@ def test_whole_evaluation_and_report(spark, tmp_path):
     rows = R.serialize_observations(observed, gold)
     assert "raw_response" not in rows.columns
     out = str(tmp_path / "report")
-    write_report(report, out, observations={"rag": rows}, gold=gold)
+    write_report(report, out, observations={"rag": rows}, gold=gold,
+                 counts=R.report_counts(cases, observed))
     head = json.loads(next((tmp_path / "report/head").glob("*.json")).read_text())
     assert list(head) == sorted(head) and head["schema_version"] == 3
     assert head["evaluation_set"]["categories"] == {"base": 1, "none": 1, "taste": 1}
@@ -278,3 +279,4 @@ def test_whole_evaluation_and_report(spark, tmp_path):
     assert by_case["y"].relevant_source_ids is None and by_case["y"].relevant_source_count == 2
     assert by_case["z"].relevant_source_ids == [] and by_case["x"].raw_response
     assert spark.read.json(f"{out}/gold").count() == 3
+    assert spark.read.json(f"{out}/counts").filter("kind = 'category'").count() == 3
