@@ -119,10 +119,9 @@ def bm25_search(
         raise ValueError("limit must be at least 1")
     corpus = tokenized(documents, id_column, text_column)
     pairs = query_terms(queries, query_column, question_column)
-    size = pairs.count()
     best = [
         _search_pass(corpus, part, k, id_column, query_column, k1, b)
-        for part in query_passes(pairs, query_column, size, pairs_per_pass)
+        for part in query_passes(pairs, query_column, DataFrame.count, pairs_per_pass)
     ]
     return rank_top_k(
         reduce(DataFrame.unionByName, best),

@@ -12,7 +12,7 @@ MANIFEST_SCHEMA = "rag-eval-cases/2.0"
 ACTIONS = ("answer", "abstain")
 SHA256_FORM = "^[0-9a-f]{64}$"
 
-_STRING_LISTS = ("gold_source_ids", "source_labels")
+BROADCAST_TITLES = 100_000
 
 
 def _blank(col: Column) -> Column:
@@ -86,7 +86,8 @@ def manifest_violations(manifest: DataFrame, dataset: DataFrame | None = None) -
         "row_count_positive": ~F.coalesce(row_count >= 1, F.lit(False)),
     }
     if dataset is not None:
-        manifest = manifest.withColumn("actual", dataset.select(F.struct("sha256", "row_count")).scalar())
+        facts = dataset.select(F.struct("sha256", "row_count")).scalar()
+        manifest = manifest.withColumn("actual", facts)
         rules["sha256_equal"] = F.col("sha256") != F.col("actual.sha256")
         rules["row_count_equal"] = row_count != F.col("actual.row_count")
     named = F.array(*[F.when(failed, F.lit(name)) for name, failed in rules.items()])
@@ -114,19 +115,19 @@ def resolve_gold(cases: DataFrame, documents: DataFrame, case_column: str = "id"
     titles = documents.filter(F.col("title").isNotNull()).select(
         F.col("title").alias("wanted"), "source_id"
     )
-    by_title = (
-        _declared(_by_title(cases), "source_labels", case_column)
-        .distinct()
-        .join(titles, "wanted")
-        .select("case_id", "source_id")
-    )
+    declared = _declared(_by_title(cases), "source_labels", case_column).distinct()
+    if declared.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES:
+        # A title of very many documents then stays spread over their tasks;
+        # beyond the bound, adaptive execution splits such a title's partition.
+        declared = F.broadcast(declared)
+    by_title = titles.join(declared, "wanted").select("case_id", "source_id")
     return by_id.unionByName(by_title).distinct()
 
 
 def missing_gold(cases: DataFrame, documents: DataFrame, case_column: str = "id") -> DataFrame:
     """``case_id, kind, wanted``: declared IDs and titles the documents lack."""
     ids = documents.select(F.col("source_id").alias("wanted"))
-    titles = documents.select(F.col("title").alias("wanted"))
+    titles = documents.select(F.col("title").alias("wanted")).distinct()
     no_id = _declared(cases, "gold_source_ids", case_column).join(ids, "wanted", "left_anti")
     no_title = _declared(_by_title(cases), "source_labels", case_column).join(
         titles, "wanted", "left_anti"

@@ -21,15 +21,25 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 SCORE_DIGITS = 9
 
 
-def query_passes(queries: DataFrame, key: str, size: int, bound: int) -> Iterator[DataFrame]:
-    """Split queries by a hash of their key into passes of about ``bound`` units."""
-    count = max(1, -(-size // bound))
-    if count == 1:
+def query_passes(
+    queries: DataFrame,
+    key: str,
+    size: Callable[[DataFrame], int],
+    bound: int,
+    level: int = 0,
+) -> Iterator[DataFrame]:
+    """Split queries by a hash of their key until each part is within ``bound``.
+
+    Parts are measured, not assumed. Only a single query may exceed the bound.
+    """
+    total = size(queries)
+    if total <= bound or queries.select(key).distinct().limit(2).count() < 2:
         yield queries
         return
-    slot = F.pmod(F.xxhash64(key), F.lit(count))
+    count = -(-2 * total // bound)
+    slot = F.pmod(F.xxhash64(key, F.lit(level)), F.lit(count))
     for number in range(count):
-        yield queries.filter(slot == number)
+        yield from query_passes(queries.filter(slot == number), key, size, bound, level + 1)
 
 
 def best_rows(

@@ -76,10 +76,9 @@ def vector_search(
         raise ValueError(f"metric must be one of {', '.join(METRICS)}")
     corpus = index.select(id_column, vector_column)
     wanted = queries.select(query_column, F.col(query_vector_column).alias("_vector"))
-    size = wanted.agg(F.coalesce(F.sum(F.size("_vector")), F.lit(0))).head()[0]
     best = [
         _search_pass(corpus, part, k, metric, id_column, query_column)
-        for part in query_passes(wanted, query_column, size, cells_per_pass)
+        for part in query_passes(wanted, query_column, _cells, cells_per_pass)
     ]
     nearest = reduce(DataFrame.unionByName, best).withColumn("distance", -F.col("score") + 0.0)
     return rank_top_k(
@@ -87,6 +86,10 @@ def vector_search(
     )
 
 
+def _cells(queries: DataFrame) -> int:
+    return queries.agg(F.coalesce(F.sum(F.size("_vector")), F.lit(0))).head()[0]
+
+
 def _search_pass(
     corpus: DataFrame,
     queries: DataFrame,

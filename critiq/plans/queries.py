@@ -14,11 +14,15 @@ from critiq.operators import answers as A
 from critiq.operators import bm25, cases, explore, identity, metrics, report
 from critiq.operators.documents import build_documents, metadata_entries
 from critiq.operators.evaluate import evaluate_bm25, retrieval_observations
+from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews, violations
-from critiq.operators.reconcile import missing_documents, reconciled, stale_ids
+from critiq.operators.reconcile import missing_documents, reconcile_index, reconciled, stale_ids
 from critiq.operators.vector_search import search, vector_search
 from critiq.plans import tables as T
-from critiq.session import materialize
+from critiq.session import materialize, scratch_dir
+from critiq.sources.index import read_index, write_batch
+from critiq.sources.registry import register_dataset
+from critiq.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +45,7 @@ def _extras_text(extras: Column) -> Column:
 
 def normalized(spark, sf):
     rows = normalize_reviews(T.raw_reviews(spark, sf), T.REVIEW_MAPPING, keep=["doc_id"])
-    return rows.withColumn("_extra", _extras_text(F.col("_extra")))
+    return _canonical_rows(rows)
 
 
 def violation_rows(spark, sf):
@@ -432,6 +436,75 @@ def incomplete_observations(spark, sf):
     return cases.incomplete_observations(by_role["user"], by_role["assistant"], "case_id")
 
 
+def _canonical_rows(reviews: DataFrame) -> DataFrame:
+    return reviews.withColumn("_extra", _extras_text(F.col("_extra")))
+
+
+def _csv_copy(spark, sf):
+    """The documents as CSV files; returns their folder."""
+    folder = f"{scratch_dir(spark)}/csv"
+    rows = T.documents(spark, sf).select(
+        F.col("text").alias("Review"), F.col("lang").alias("Market"),
+        F.col("source").alias("Venue"), F.col("n_chars").alias("Size"),
+    )
+    rows.write.options(header=True, quoteAll=True, escape='"').csv(folder)
+    return folder
+
+
+def registered_dataset(spark, sf):
+    """Documents written as CSV, registered, and read back in canonical form."""
+    chosen = register_dataset(spark, _csv_copy(spark, sf), scratch_dir(spark))
+    return _canonical_rows(spark.read.parquet(chosen.data_path))
+
+
+def index_snapshot(spark, sf):
+    """An index before and then after the labels arrived."""
+    path = scratch_dir(spark)
+    for with_labels in (False, True):
+        reviews = T.reviews(spark, sf, with_labels=with_labels)
+        built = build_documents(identity.assign_source_ids(reviews, ["doc_id"]))
+        reconcile_index(spark, path, built, T.letter_counts)
+    return read_index(spark, path, ["source_id", "content", "rating"])
+
+
+def stream_index(spark, sf):
+    """Documents written as CSV and taken up by the folder stream."""
+    path = scratch_dir(spark)
+    jobs.stream_index(
+        spark, _csv_copy(spark, sf), ["Review", "Market", "Venue", "Size"],
+        ColumnMapping(review="Review", country="Market", restaurant="Venue"),
+        path, T.letter_counts, f"{path}/checkpoint",
+    ).awaitTermination()
+    return read_index(spark, path, ["source_id"])
+
+
+def stream_search(spark, sf):
+    """Passages as a stream of questions to an index of the documents."""
+    path = scratch_dir(spark)
+    index = T.letter_index(spark, sf).select("source_id", "content", "rating", "embedding")
+    write_batch(spark, path, index)
+    asked = spark.readStream.schema("item_id bigint, text string").parquet(
+        f"{sf}/benchmark.parque[t]"
+    )
+    jobs.stream_search(
+        asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")),
+        path, T.letter_counts, f"{path}/matches", f"{path}/checkpoint", T.TOP_K,
+    ).awaitTermination()
+    return spark.read.parquet(f"{path}/matches").select(
+        "query_id", "source_id", "distance", "rank", "rating"
+    )
+
+
+def answer_flow(spark, sf):
+    """Retrieve, prompt, answer, validate and repair with a stand-in model."""
+    final = A.answer_queries(T.questions(spark, sf), T.evidence(spark, sf), T.stand_in_model)
+    return metrics.observations(final).select(
+        "case_id", "answer", "abstained", "raw_response", "repair_response",
+        "initial_failure_reason", "failure_reason", "outcome",
+        F.array_join("cited_source_ids", ",").alias("cited"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "normalize_reviews": normalized,
     "violations": violation_rows,
@@ -491,4 +564,9 @@ QUERIES: dict[str, Query] = {
     "evaluation_report": evaluation_report,
     "case_violations": case_violations,
     "incomplete_observations": incomplete_observations,
+    "registered_dataset": registered_dataset,
+    "index_snapshot": index_snapshot,
+    "stream_index": stream_index,
+    "stream_search": stream_search,
+    "answer_flow": answer_flow,
 }
