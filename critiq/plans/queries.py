@@ -360,8 +360,8 @@ def support_proxy(spark, sf):
 
 
 def answer_metrics(spark, sf):
-    gold = _document_gold(spark, sf)
-    wanted = T.passage_cases(spark, sf)
+    gold = materialize(_document_gold(spark, sf))
+    wanted = T.passage_cases(spark, sf, gold)
     return _rounded(metrics.answer_metrics(wanted, _observed(spark, sf), gold))
 
 
@@ -463,7 +463,10 @@ def index_snapshot(spark, sf):
     for with_labels in (False, True):
         reviews = T.reviews(spark, sf, with_labels=with_labels)
         built = build_documents(identity.assign_source_ids(reviews, ["doc_id"]))
-        reconcile_index(spark, path, built, T.letter_counts)
+        reconcile_index(
+            spark, path, built, T.letter_counts,
+            embed_partitions=2 * spark.sparkContext.defaultParallelism,
+        )
     return read_index(spark, path, ["source_id", "content", "rating"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from critiq.functions.plugins import embed
 from critiq.functions.text import tokens
-from critiq.operators.bm25 import bm25_search, document_frequencies, tokenized
+from critiq.operators.bm25 import PAIRS_PER_PASS, bm25_search, tokenized
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews
 from critiq.operators.vector_search import vector_search
@@ -196,7 +196,15 @@ def passage_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("term"),
     )
     corpus = tokenized(docs, "doc_id", "text")
-    held = document_frequencies(corpus).join(inside.select("term").distinct(), "term", "left_semi")
+    wanted = inside.select("term").distinct()
+    bounded = inside.limit(PAIRS_PER_PASS + 1).count() <= PAIRS_PER_PASS
+    small = F.broadcast if bounded else (lambda df: df)
+    postings = corpus.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    held = (
+        postings.join(small(wanted), "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count("*").alias("documents"))
+    )
     anchors = (
         inside.join(held, "term", "left")
         .groupBy("item_id")
@@ -207,9 +215,7 @@ def passage_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("unknown = 0")
         .select("item_id", "rarest.term")
     )
-    candidates = corpus.select(
-        "doc_id", F.explode(F.array_distinct("tokens")).alias("term")
-    ).join(anchors, "term")
+    candidates = postings.join(small(anchors), "term")
     return (
         candidates.join(passages.withColumnRenamed("text", "passage"), "item_id")
         .join(read_table(spark, sf_dir, "documents"), "doc_id")
