@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from critiq.functions.plugins import EmbedFunction, embed
+from critiq.session import materialize
 from critiq.sources.index import read_index, write_batch
 
+BROADCAST_IDS = 500_000
+
 
 def stale_ids(existing: DataFrame, desired: DataFrame) -> DataFrame:
     """IDs in the index that no document has any more."""
@@ -31,8 +35,13 @@ def reconcile_index(
     calls, which cost far more than their bytes suggest.
     """
     existing = read_index(spark, path, ["source_id"])
-    missing = documents if existing is None else missing_documents(existing, documents)
-    stale = None if existing is None else stale_ids(existing, documents)
+    missing, stale = documents, None
+    if existing is not None:
+        # IDs are compared first: where little is new, texts are not exchanged.
+        new = materialize(missing_documents(existing, documents.select("source_id")))
+        few = new.count() <= BROADCAST_IDS
+        missing = documents.join(F.broadcast(new) if few else new, "source_id", "left_semi")
+        stale = stale_ids(existing, documents)
     if embed_partitions:
         missing = missing.repartition(embed_partitions, "source_id")
     return write_batch(spark, path, embed(missing, embed_fn), stale)

@@ -19,6 +19,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 # Scores are compared after rounding, so that the order of float sums is not seen.
 SCORE_DIGITS = 9
+# Rows of IDs and numbers, about a hundred bytes each.
+BROADCAST_MATCHES = 500_000
 
 
 def query_passes(
@@ -108,6 +110,18 @@ def scan(
     return corpus.mapInArrow(run, schema)
 
 
+def with_documents(
+    matches: DataFrame, documents: DataFrame, id_column: str, match_rows: int
+) -> DataFrame:
+    """Matches with the columns of their documents.
+
+    ``match_rows`` bounds the matches: k rows per question. Up to a checked bound
+    they are sent to the documents, which then are read but not exchanged.
+    """
+    small = F.broadcast(matches) if match_rows <= BROADCAST_MATCHES else matches
+    return documents.join(small, id_column)
+
+
 def rank_top_k(scored: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows per group in a total order, with their ``rank``."""
     if k < 1:

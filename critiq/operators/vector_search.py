@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.operators.scan_topk import query_passes, rank_top_k, scan
+from critiq.operators.scan_topk import query_passes, rank_top_k, scan, with_documents
 
 METRICS = ("l2", "cosine", "ip")
 # Numbers in the query vectors that travel with a task in one pass.
@@ -141,5 +141,4 @@ def search(
     id_column = options.get("id_column", "source_id")
     matches = vector_search(kept, queries, k, **options)
     shown = kept.drop(options.get("vector_column", "embedding"))
-    # k rows per query against the index: the matches are the small side.
-    return matches.join(shown, id_column)
+    return with_documents(matches, shown, id_column, k * queries.count())

@@ -11,6 +11,7 @@ from critiq.functions.text import tokens
 from critiq.operators.bm25 import PAIRS_PER_PASS, bm25_search, tokenized
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews
+from critiq.operators.scan_topk import with_documents
 from critiq.operators.vector_search import vector_search
 
 TOP_K = 5
@@ -251,13 +252,14 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         _date().alias("date"),
         F.lit(None).cast("string").alias("sentiment"),
     )
+    rows = TOP_K * questions(spark, sf_dir).count()
     matches = keyword_matches(spark, sf_dir).select(
         "query_id",
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"),
         "rank",
         F.round("score", 3).alias("distance"),
     )
-    return matches.join(shown, "source_id")
+    return with_documents(matches, shown, "source_id", rows)
 
 
 def responses(collected: DataFrame) -> DataFrame:
