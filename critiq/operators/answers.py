@@ -286,26 +286,21 @@ def answer_queries(
 ) -> DataFrame:
     """Prompt, generate, validate and repair once, for all questions together.
 
-    Responses are written down before they are judged, so that neither a lost
-    executor nor a second use of the result calls the model again for rows that
-    are done.
+    Evidence and responses are written down before they are used: the corpus is
+    searched once, and neither a lost executor nor a second use of the result
+    calls the model again for rows that are done.
     """
-    rows = queries.join(collect_evidence(matches, query_column), query_column, "left")
+    rows = materialize(queries.join(collect_evidence(matches, query_column), query_column, "left"))
     ready = F.col("evidence").isNotNull() & ~F.exists("evidence", _has_no_id)
     context = context_text(F.col("evidence"))
     question = F.col(question_column)
 
     asked = rows.filter(ready).withColumn("prompt", prompt_text(question, context))
-    first = materialize(
-        generate(asked, model).select(query_column, question_column, "evidence", "response")
-    )
-    failed = validate_answers(first).filter(needs_repair())
+    first = materialize(generate(asked, model).select(query_column, "response"))
+    answered = rows.join(first, query_column, "left")
+    failed = validate_answers(answered.filter(F.col("response").isNotNull())).filter(needs_repair())
     again = failed.withColumn("prompt", prompt_text(question, context, repair=True))
     second = materialize(
         generate(again, model, output="repair_response").select(query_column, "repair_response")
     )
-    answered = (
-        rows.join(first.select(query_column, "response"), query_column, "left")
-        .join(second, query_column, "left")
-    )
-    return final_answers(answered, keep=(query_column,))
+    return final_answers(answered.join(second, query_column, "left"), keep=(query_column,))

@@ -61,8 +61,8 @@ def evaluate_answers(
     asked = cases.select(F.col("id").alias("query_id"), "question")
     queries = materialize(embed(asked, embed_fn, "question"))
     matches = search(index, queries, k)
-    observed = observations(
-        answer_queries(queries.select("query_id", "question"), matches, model)
+    observed = materialize(
+        observations(answer_queries(queries.select("query_id", "question"), matches, model))
     )
     require_complete(cases, observed)
     return answer_metrics(cases, observed, resolve_gold(cases, index)), observed

@@ -153,16 +153,19 @@ def availability(reviews: DataFrame) -> DataFrame:
     )
 
 
-def first_available(reviews: DataFrame, fields: Sequence[str]) -> str | None:
-    """The first field that any review has.
+def has_field(reviews: DataFrame, field: str) -> bool:
+    """Does any review have the field?
 
-    Asked at plan time, as it decides which columns a plan reads: a look for one
-    value ends at the first, and files without any are skipped by their statistics.
+    Asked at plan time where the answer decides which columns a plan reads: the
+    look ends at the first value, and files without any are skipped by their
+    statistics.
     """
-    for field in fields:
-        if not reviews.filter(F.col(field).isNotNull()).select(field).isEmpty():
-            return field
-    return None
+    return not reviews.filter(F.col(field).isNotNull()).select(field).isEmpty()
+
+
+def first_available(reviews: DataFrame, fields: Sequence[str]) -> str | None:
+    """The first of the fields that any review has."""
+    return next((field for field in fields if has_field(reviews, field)), None)
 
 
 def kpi_row(reviews: DataFrame, criteria: ReviewFilter = ReviewFilter()) -> DataFrame:
@@ -262,15 +265,10 @@ def date_bounds(reviews: DataFrame) -> DataFrame:
 def preview(reviews: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
     """Rows in view, newest first, without columns that are null throughout.
 
-    The flags are one row read at plan time, as they decide the schema. The
-    ``tie_break`` columns let the range sort split a date that many rows share.
+    The ``tie_break`` columns let the range sort split a date that many rows share.
     """
-    flags = availability(reviews).head()
-    shown = [
-        c
-        for c in ("Date", "Rating", "Sentiment", "Restaurant", "Country", "Title")
-        if flags[f"has_{c.lower()}"]
-    ]
+    fields = ("Date", "Rating", "Sentiment", "Restaurant", "Country", "Title")
+    shown = [field for field in fields if has_field(reviews, field)]
     order = [F.desc_nulls_last("Date")] if "Date" in shown else []
     order += [F.col(c) for c in tie_break]
     rows = reviews.select(*tie_break, *shown, "Review")

@@ -152,7 +152,8 @@ def answer_metrics(
 ) -> DataFrame:
     """One row of answer scores; no case at all is an error.
 
-    Every case needs exactly one observation (``cases.require_complete``).
+    Every case needs exactly one observation (``cases.require_complete``). The
+    observations are read twice: pass a written table where they cost much.
     """
     joined = cases.select(
         F.col(case_column).alias("case_id"), "expected_action", "reference_facts"

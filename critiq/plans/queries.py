@@ -188,7 +188,7 @@ def vector_topk_ip(spark, sf):
 
 
 def vector_topk_filtered(spark, sf):
-    wanted = embed(T.questions(spark, sf), T.letter_counts, "question")
+    wanted = materialize(embed(T.questions(spark, sf), T.letter_counts, "question"))
     found = search(T.letter_index(spark, sf), wanted, T.TOP_K, criteria=INDEX_VIEW)
     return found.select("query_id", "source_id", "distance", "rank", "rating", "date", "country")
 
@@ -331,7 +331,8 @@ def _final(spark, sf, matches=None):
 
 
 def _observed(spark, sf, matches=None):
-    return metrics.observations(_final(spark, sf, matches))
+    """Observations, written down, as most uses read them more than once."""
+    return materialize(metrics.observations(_final(spark, sf, matches)))
 
 
 def _document_gold(spark, sf):
@@ -390,7 +391,7 @@ def evaluation_report(spark, sf):
     matches = materialize(T.evidence(spark, sf))
     gold = materialize(_document_gold(spark, sf))
     wanted = materialize(T.passage_cases(spark, sf, gold))
-    observed = materialize(_observed(spark, sf, matches))
+    observed = _observed(spark, sf, matches)
     keyword = _ranked(matches, "source_id")
     vector = _ranked(T.letter_matches(spark, sf), "source_id")
     built = report.build_report(

@@ -13,6 +13,7 @@ from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews
 from critiq.operators.scan_topk import with_documents
 from critiq.operators.vector_search import vector_search
+from critiq.session import materialize
 
 TOP_K = 5
 
@@ -237,7 +238,7 @@ def keyword_matches(
 
 def letter_matches(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
     """``query_id, source_id, distance, rank`` of the letter-count vectors."""
-    wanted = embed(questions(spark, sf_dir), letter_counts, "question")
+    wanted = materialize(embed(questions(spark, sf_dir), letter_counts, "question"))
     return vector_search(letter_index(spark, sf_dir), wanted, k)
 
 

@@ -14,6 +14,7 @@ from critiq.operators.identity import assign_source_ids, copies_held
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews, raise_on_violations, violations
 from critiq.operators.vector_search import search
+from critiq.session import materialize
 from critiq.sources.csv import CSV_OPTIONS, null_words_as_null
 from critiq.sources.index import commits, read_index, write_batch
 
@@ -86,7 +87,7 @@ def stream_search(
         index = read_index(batch.sparkSession, index_path)
         if index is None:
             return
-        matches = search(index, embed(batch, embed_fn, "question"), k)
+        matches = search(index, materialize(embed(batch, embed_fn, "question")), k)
         matches.write.mode("overwrite").parquet(f"{output}/batch={epoch}")
 
     return (
