@@ -83,7 +83,7 @@ def _lookup(tokenized_documents: DataFrame, terms: DataFrame) -> dict[str, tuple
     anything is exchanged.
     """
     wanted = terms.select("term").distinct()
-    everything = wanted.sparkSession.range(1).select(F.lit(_EVERY).alias("term"))
+    everything = wanted.sparkSession.range(0, 1, 1, 1).select(F.lit(_EVERY).alias("term"))
     return {
         row["term"]: (row["documents"], row["length"])
         for row in tokenized_documents.select(

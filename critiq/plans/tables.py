@@ -322,11 +322,12 @@ def passage_cases(
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as documents, titled by their conversation."""
     turns = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    return turns.select(
+    rows = turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("source_id"),
         F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"),
         F.col("text").alias("content"),
     )
+    return spread(rows, "source_id")
 
 
 def turn_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

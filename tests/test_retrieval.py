@@ -5,12 +5,14 @@ from datetime import date
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.plugins import embed
 from critiq.operators import bm25
 from critiq.operators.bm25 import bm25_search
 from critiq.operators.explore import ReviewFilter
+from critiq.operators.scan_topk import query_passes
 from critiq.operators.vector_search import search, vector_search
 from critiq.plans.tables import letter_counts
 
@@ -90,6 +92,18 @@ def test_bm25_checks_its_input(spark):
     assert {(r.source_id, r.documents) for r in checked} == {("a", 2), ("", 1), (None, 1)}
 
 
+def test_passes_are_within_their_bound_and_whole(spark):
+    rows = [(q, t) for q in range(40) for t in range(1 + q % 7)] + [(99, t) for t in range(30)]
+    pairs = spark.createDataFrame(rows, "query_id int, term int")
+    parts = [p.collect() for p in query_passes(pairs, "query_id", DataFrame.count, 12)]
+    assert sorted(tuple(r) for part in parts for r in part) == sorted(rows)
+    for part in parts:
+        # only a question that is too large by itself goes beyond the bound
+        assert len(part) <= 12 or {r.query_id for r in part} == {99}
+    seen = [r.query_id for part in parts for r in {r.query_id: r for r in part}.values()]
+    assert len(seen) == len(set(seen))
+
+
 def _nearest(index, query, k, distance):
     order = sorted((round(distance(np.array(v), np.array(query)), 9), i) for i, v in index.items())
     return [i for _, i in order[:k]]
