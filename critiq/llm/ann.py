@@ -132,7 +132,7 @@ def nearest(
     width = min(16, max(4, int(math.log2(max(2, facts.rows / blocks)))))
     sampled = items.filter(hash_fraction(F.col("item"), SAMPLE_ROWS / max(1, facts.rows), "ann"))
     sample = np.zeros((0, dims))
-    taken = sampled.select("vec").limit(2 * SAMPLE_ROWS).collect()
+    taken = sampled.orderBy("item").select("vec").limit(2 * SAMPLE_ROWS).collect()
     if taken:
         sample = np.zeros((len(taken), dims))
         for i, r in enumerate(taken):

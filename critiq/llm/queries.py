@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from critiq.llm.ann import nearest
 from critiq.llm.common import read_table
 from critiq.llm.exact_topk import exact_topk
+from critiq.llm.near_dup import near_duplicates
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +25,15 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows.filter(F.col("vec_id") % 20 == 0), rows, k=20)
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op6_ann": op6_ann,
+    "op9_near_dup": op9_near_dup,
 }
 
 LLM_ORACLES: dict[str, str] = {
@@ -45,4 +52,34 @@ LLM_ORACLES: dict[str, str] = {
         FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY rank <= 5
     """,
+    "op9_near_dup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3),
+                                    lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh
+            FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+            FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 100 * shared >= 75 * (na.n + nb.n - shared)
+        ), r AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        ), k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.component_id,
+               d.doc_id = k.component_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)
+    """,
 }
