@@ -11,6 +11,8 @@ from critiq.llm.ann import nearest
 from critiq.llm.common import read_table
 from critiq.llm.exact_topk import exact_topk
 from critiq.llm.near_dup import near_duplicates
+from critiq.llm.packing import pack
+from critiq.llm.quality import fit_quality, score_quality
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,12 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty nearest rows found of every 20th vector among all others."""
     rows = read_table(spark, sf_dir, "embeddings")
@@ -30,10 +38,17 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op4_quality": op4_quality,
     "op6_ann": op6_ann,
     "op9_near_dup": op9_near_dup,
+    "op10_packing": op10_packing,
 }
 
 LLM_ORACLES: dict[str, str] = {
