@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from critiq.llm.ann import nearest
 from critiq.llm.common import read_table
 from critiq.llm.exact_topk import exact_topk
+from critiq.llm.html_text import extract_text
 from critiq.llm.near_dup import near_duplicates
 from critiq.llm.packing import pack
 from critiq.llm.quality import fit_quality, score_quality
+from critiq.llm.url_rules import judge_urls
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,30 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages")
+    return extract_text(pages, keep=("page_id", "url"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL.
+
+    URLs end in the id of the document that the page shows; a URL is labelled "block" if that
+    document is marked as toxic or of low quality.
+    """
+    pages = read_table(spark, sf_dir, "pages")
+    labels = read_table(spark, sf_dir, "labels")
+    number = F.regexp_extract(F.coalesce("url", F.lit("")), r"/([0-9]{1,18})[^/]*/?$", 1)
+    shown = pages.select("url", number.try_cast("bigint").alias("doc_id"))
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    marked = labels.groupBy("doc_id").agg(
+        F.when(F.max(F.coalesce(bad, F.lit(False)).cast("int")) == 1, "block")
+        .otherwise("allow").alias("label")
+    )
+    return judge_urls(pages, shown.join(marked, "doc_id").select("url", "label"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -45,8 +71,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_html_text": op2_html_text,
     "op4_quality": op4_quality,
     "op6_ann": op6_ann,
+    "op7_url_rules": op7_url_rules,
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
 }
@@ -67,6 +95,84 @@ LLM_ORACLES: dict[str, str] = {
         FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY rank <= 5
     """,
+    "op7_url_rules": r"""
+        WITH u AS (
+            SELECT page_id, coalesce(url, '') AS url,
+                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+                   regexp_extract(coalesce(url, ''), '^(.*?)://', 1, 's') AS scheme,
+                   regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1, 's') AS query,
+                   try_cast(regexp_extract(coalesce(url, ''),
+                                           '/([0-9]{1,18})[^/]*/?$', 1) AS BIGINT) AS doc_id
+            FROM pages
+        ), f AS (
+            SELECT *, regexp_replace(host, '[0-9]+', '0', 'g') AS folded,
+                   regexp_replace(regexp_replace(path, '\.[A-Za-z0-9]+$', ''),
+                                  '[0-9]+', '0', 'g') AS plain
+            FROM u
+        ), t AS (
+            SELECT page_id, url, host, path, doc_id,
+                   CASE WHEN contains(url, '://') THEN list_sort(list_distinct(list_concat(
+                       list_transform(list_filter([translate(scheme,
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')],
+                           lambda x: x <> ''), lambda x: 'scheme:' || x),
+                       list_transform(list_filter(string_split(folded, '.'),
+                           lambda x: x <> ''), lambda x: 'label:' || x),
+                       list_transform(list_filter(string_split_regex(folded, '[.-]'),
+                           lambda x: x <> '' AND contains(host, '-')), lambda x: 'part:' || x),
+                       list_transform(list_filter(string_split(plain, '/'),
+                           lambda x: x <> ''), lambda x: 'path:' || x),
+                       list_transform(list_filter(
+                           [regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)],
+                           lambda x: x <> ''), lambda x: 'ending:' || x),
+                       list_transform(list_filter(list_transform(string_split(query, '&'),
+                           lambda x: regexp_extract(x, '^([^=]*)', 1)),
+                           lambda x: x <> ''), lambda x: 'key:' || x)
+                   ))) ELSE [] END AS tokens
+            FROM f
+        ), b AS (
+            SELECT t.*, unnest(list_transform(
+                CAST(range(1, CAST(1 AS BIGINT) << len(tokens)) AS BIGINT[]),
+                lambda m: list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1))) AS part
+            FROM (SELECT DISTINCT tokens FROM t) t
+        ), g AS (
+            SELECT tokens, CASE WHEN l.bad = 1 THEN 'block' ELSE 'allow' END AS label
+            FROM t JOIN (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0
+                                                 THEN 1 ELSE 0 END) AS bad
+                         FROM labels GROUP BY 1) l USING (doc_id)
+            WHERE len(tokens) > 0
+        ), n AS (
+            SELECT ceil(greatest(0.01, 5.0 / count(*)) * count(*)) AS least FROM g
+        ), p AS (
+            SELECT part, count(*) AS n, count(*) FILTER (label = 'block') AS block,
+                   count(*) FILTER (label = 'allow') AS allow
+            FROM g JOIN b USING (tokens) GROUP BY 1
+        ), r AS (
+            SELECT part,
+                   CASE WHEN block >= least AND block / n >= 0.5 THEN block / n ELSE 0 END AS block,
+                   CASE WHEN allow >= least AND allow / n >= 0.5 THEN allow / n ELSE 0 END AS allow
+            FROM p, n
+        ), v AS (
+            SELECT tokens, max(block) > max(allow) AS bad FROM b JOIN r USING (part) GROUP BY 1
+        ), k AS (
+            SELECT t.page_id, host, path, coalesce(bad, false) AS bad,
+                CASE WHEN (host = 'example.net' OR host LIKE '%.example.net')
+                          AND starts_with(path, '/en/') THEN 'example.net/en/'
+                     WHEN (host = 'example.com' OR host LIKE '%.example.com')
+                          AND starts_with(path, '/de/') THEN 'example.com/de/'
+                     WHEN (host = 'org' OR host LIKE '%.org')
+                          AND starts_with(path, '/fr/') THEN 'org/fr/'
+                     WHEN (host = 'net' OR host LIKE '%.net')
+                          AND starts_with(path, '/') THEN 'net/' END AS rule
+            FROM t LEFT JOIN v USING (tokens)
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+                    WHEN rule IS NOT NULL THEN 'allow'
+                    WHEN bad THEN 'block' ELSE 'allow' END AS verdict
+        FROM k
+    """,
     "op9_near_dup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(string_split_regex(
