@@ -13,6 +13,7 @@ from critiq.llm.exact_topk import exact_topk
 from critiq.llm.html_text import extract_text
 from critiq.llm.near_dup import near_duplicates
 from critiq.llm.packing import pack
+from critiq.llm.pii import find_pii, fit_pii
 from critiq.llm.quality import fit_quality, score_quality
 from critiq.llm.url_rules import judge_urls
 
@@ -47,6 +48,12 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, shown.join(marked, "doc_id").select("url", "label"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    return find_pii(docs, fit_pii(docs))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -72,6 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_html_text": op2_html_text,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op6_ann": op6_ann,
     "op7_url_rules": op7_url_rules,
