@@ -11,8 +11,9 @@ keys. At a similarity of 0.75 a pair shares no band with a probability of 5 in a
    full sets and joined to components.
 3. Buckets whose members are still in several components are compared in full: in blocks of
    at most ``BLOCK`` members, so that a hot bucket is dealt to many tasks, and inside a task
-   by signature, so that only pairs of similar signatures leave it. They are confirmed on
-   full sets as well. Pairs inside one component need no confirmation.
+   by signature and by an upper bound of what two sets share, so that hardly other pairs than
+   links leave it. They are confirmed on full sets as well. Pairs inside one component need
+   no confirmation.
 
 No bucket, group or number of partners is capped.
 
@@ -42,6 +43,7 @@ SIMILAR = (75, 100)
 #: under the threshold.
 AGREEMENT = 0.58
 BLOCK = 1024
+FULL_BAR = 255
 _SEED = 20240917
 _STEP = 0xD6E8FEB86659FD93
 
@@ -149,14 +151,34 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def bars(hashes: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes by their low bits, in at least twice as many bars as hashes."""
+    size = 1 << max(6, int(2 * len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.minimum(counts, FULL_BAR).astype(np.uint8)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> bool:
+    """Whether two sets can reach the similarity, by an upper bound of what they share."""
+    while len(x) > len(y):
+        x, y = y, x
+    if x.max() == FULL_BAR or y.max() == FULL_BAR:
+        return True
+    folded = y.reshape(-1, len(x)).sum(0, dtype=np.int64)
+    most = int(np.minimum(x, folded).sum())
+    part, whole = SIMILAR
+    return whole * most >= part * (n_x + n_y - most)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
         for sets in _groups(batch.column(1)):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, len(sets)),
-                 pa.array([packed(s) for s in sets], pa.binary())],
-                names=["doc", "hashes"],
+                 pa.array([packed(s) for s in sets], pa.binary()),
+                 pa.array([packed(bars(s)) for s in sets], pa.binary())],
+                names=["doc", "hashes", "bars"],
             )
             at += len(sets)
 
@@ -196,6 +218,7 @@ def _pairs_in_block(key: tuple, table: pa.Table) -> pa.Table:
     docs, comps, sizes = (table[c].to_numpy() for c in ("doc", "comp", "n"))
     sides = table["side"].to_numpy()
     signs = np.array([np.frombuffer(x, np.uint32) for x in table["signature"].to_pylist()])
+    counts = [np.frombuffer(x, np.uint8) for x in table["bars"].to_pylist()]
     part, whole = SIMILAR
     left = np.flatnonzero(sides == one)
     right = left if one == two else np.flatnonzero(sides == two)
@@ -209,6 +232,8 @@ def _pairs_in_block(key: tuple, table: pa.Table) -> pa.Table:
         ]
         if len(other):
             other = other[(signs[other] == signs[i]).mean(1) >= AGREEMENT]
+            fine = [may_be_similar(counts[i], counts[j], sizes[i], sizes[j]) for j in other]
+            other = other[np.array(fine, bool)]
             a.append(np.full(len(other), docs[i]))
             b.append(docs[other])
     none = np.zeros(0, np.int64)
@@ -250,7 +275,7 @@ def near_duplicates(
     sizes = heads.select("doc", "n").join(involved, "doc", "left_semi").distinct()
     sets = written(
         texts.join(involved.hint("shuffle_hash"), "doc", "left_semi")
-        .mapInArrow(_set_rows, "doc long, hashes binary")
+        .mapInArrow(_set_rows, "doc long, hashes binary, bars binary")
         .filter(F.length("hashes") > 0)
     )
     star = (
@@ -275,8 +300,8 @@ def near_duplicates(
         .withColumn("side", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
-        .join(heads.dropDuplicates(["doc"]), "doc")
-        .select("key", "one", "two", "doc", "comp", "n", "side", "signature")
+        .join(heads.dropDuplicates(["doc"]), "doc").join(sets.select("doc", "bars"), "doc")
+        .select("key", "one", "two", "doc", "comp", "n", "side", "signature", "bars")
     )
     more = rows.groupBy("key", "one", "two").applyInArrow(_pairs_in_block, "a long, b long")
     further = written(confirmed(more.distinct(), sets))
