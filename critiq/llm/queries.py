@@ -11,6 +11,8 @@ from critiq.llm.ann import nearest
 from critiq.llm.common import read_table
 from critiq.llm.exact_topk import exact_topk
 from critiq.llm.html_text import extract_text
+from critiq.llm.lm_score import fit_lm, score_lm
+from critiq.llm.mixing import mixed_rows, plan_mix
 from critiq.llm.near_dup import near_duplicates
 from critiq.llm.packing import pack
 from critiq.llm.pii import find_pii, fit_pii
@@ -60,12 +62,28 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of a document in a mix that draws each at least once and none over twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    rows = mixed_rows(docs.select("doc_id", "source"), plan_mix(docs, max_repeats=2.0))
+    return rows.select(
+        "doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__block").alias("block_order"),
+        F.col("__row").alias("row_order"),
+    )
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty nearest rows found of every 20th vector among all others."""
     rows = read_table(spark, sf_dir, "embeddings")
     return nearest(rows.filter(F.col("vec_id") % 20 == 0), rows, k=20)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return score_lm(docs, fit_lm(docs))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -81,8 +99,10 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
     "op6_ann": op6_ann,
     "op7_url_rules": op7_url_rules,
+    "op8_lm_score": op8_lm_score,
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
 }
