@@ -311,7 +311,7 @@ def near_duplicates(
     found = members.select("doc", "n", "class").join(
         labels.select(F.col("node").alias("class"), F.col("label")), "class", "left"
     )
-    component = F.coalesce("label", "class")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("label", "class"))
     return found.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
         component.alias("component_id"),

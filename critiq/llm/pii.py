@@ -3,11 +3,12 @@
 The base finds e-mail addresses, IP addresses, card and phone numbers by pattern and checks.
 The field reads a text as words and sees only their shapes (letters and digits folded, repeats
 collapsed) at a word and its two neighbours. It is trained on a small table of windows around
-base spans and elsewhere, labelled by the base, from documents chosen by hash
-(``SAMPLE_DOCS`` documents, ``SAMPLE_WINDOWS`` windows: documented bounds), and decoded by
-Viterbi in batches. Its spans are added where they overlap no base span and have the kind's
-bare form: an @ between word signs, four numbers of at most 255, 13 to 19 digits that pass
-Luhn, or 9 to 15 digits. So it finds what a longer failing match of the base has swallowed.
+base spans and elsewhere, labelled by the base, without windows that hold a failing match, from
+documents chosen by hash (``SAMPLE_DOCS`` documents, ``SAMPLE_WINDOWS`` windows: documented
+bounds), and decoded by Viterbi in batches. Its spans are added where they overlap no base span
+and have the kind's bare form: an @ between word signs, four numbers of at most 255, 13 to 19
+digits that pass Luhn, or 9 to 15 digits. So it finds what a longer failing match of the base
+has swallowed.
 
 Decoding whole texts is cheap and exact: a word whose shape can't gain from any label but
 "outside", whatever its neighbours are, splits a text. Only the runs between are decoded.
@@ -113,6 +114,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def failing_spans(text: str) -> list[tuple[int, int, int]]:
+    """Matches of the patterns that fail their checks: what is inside is not known."""
+    found = [(1, s, e) for s, e in _ips(text) if not _is_ip(text[s:e])]
+    if _RUN.search(text):
+        found += [(2, *m.span()) for m in _CARD.finditer(text)
+                  if not _is_card(m[0]) and _RUN.match(m[0])]
+    return found + [(3, *m.span()) for m in _PHONE.finditer(text) if not _is_phone(m[0])]
+
+
 # Byte classes of word shapes: a lower, A upper, 9 digit, other signs as they are.
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123] = 97
@@ -277,6 +287,7 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 continue
             spans = base_spans(text)
             labels = _word_labels(text, data, starts, ends, spans)
+            unsure = _word_labels(text, data, starts, ends, failing_spans(text)) > 0
             before, after = _beside(shapes)
             marked = np.flatnonzero(labels % 2 == 1)
             # Around every span, around one other word with a digit or an @, and one at random.
@@ -288,6 +299,8 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             centres.append((mark % len(shapes), 0))
             for c, kind in centres:
                 part = slice(max(0, c - WINDOW), c + WINDOW + 1)
+                if unsure[part].any():
+                    continue
                 four = np.array([shapes[part], before[part], after[part], labels[part]])
                 order = hashlib.md5(f"{mark}:{c}".encode()).hexdigest()
                 rows.append((kind, order, packed(four)))

@@ -1,0 +1,87 @@
+import re
+
+import pytest
+
+from critiq.llm.html_text import extract_text, main_text
+
+STORY = (
+    "It was the best of times and it was the worst of times, and all of the people that had "
+    "come to the city in the morning went back to their homes in the evening with a smile."
+)
+LONG = STORY + " " + STORY
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (None, ""), ("", ""), ("   ", ""), ("<p", ""), ("<!-- never closed <p>x</p>", ""),
+        ("<script>var a='</p>';", ""),
+        ("<article><p>Of.</p></article>", "Of."),
+        ("<article><h1>A &amp; B</h1><p>one<br>two\n three</p><p>x &lt;y&gt; &#233;&eacute;</p>"
+         "</article>", "A & B\none two three\nx <y> éé"),
+        ("<article><p><b>bold<br><p>next<p>cut &am", "bold\nnext\ncut &am"),
+        ("<nav><ul><li><a href=/>Home</a></li></ul></nav><main><p>Short one</p></main>"
+         "<footer>&copy; x</footer>", "Short one"),
+        (f"<header><p>{STORY}</p></header><article><header><h2>Head</h2></header><p>{STORY}</p>"
+         f"<div class='comments'><p>{LONG}</p></div><aside>{LONG}</aside></article>",
+         f"Head\n{STORY}"),
+        (f"<div class=ad>{LONG}</div><div id='cookie-notice'>{LONG}</div><article>{STORY}</article>"
+         f"<section id=comments><article>{LONG}</article></section>", STORY),
+        (f"<article><p>{STORY}</p><form><label>Name</label><input></form><style>p{{}}</style>"
+         f"<noscript>{LONG}</noscript><p hidden>{LONG}</p><p style='display: none'>{LONG}</p>"
+         "</article>", STORY),
+        (f"<article><p>{STORY}</p><h3>Related</h3><ul><li><a href=a>One thing</a></li>"
+         "<li><a href=b>Other thing</a></li></ul></article>", STORY),
+        ("<article><p>a <a href='x>y'>link with > in it</a> and much more text after it</p>"
+         "</article>", "a link with > in it and much more text after it"),
+        ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+    ],
+)
+def test_main_text(html, text):
+    assert main_text(html) == text
+
+
+def test_pages_without_zones_go_by_density():
+    html = (
+        "<body><div><a href=1>Home</a> <a href=2>News</a></div><h1>A day in town</h1>"
+        f"<p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+        "<div>Login Register Password Forgotten Basket Checkout Delivery Returns Imprint Map "
+        "Jobs Press Partners</div><p>Tiny</p></body>"
+    )
+    assert main_text(html) == f"A day in town\n{LONG}\nShort.\n{LONG}"
+
+
+def test_very_long_pages_take_linear_time():
+    html = "<article>" + "<p>word</p>" * 50_000 + "</article>"
+    assert main_text(html).count("\n") == 49_999
+    assert main_text("<p>x</p>" * 30_000) is not None
+    assert main_text("<" * 100_000) is not None
+
+
+def test_table_of_pages(spark):
+    rows = [(1, "u", "<article>a b</article>", 5), (1, "u", "<article>a b</article>", 5),
+            (None, None, None, None), (2, "v", "", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    found = extract_text(pages, keep=("page_id", "url"))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in found.collect()) == [
+        (0, "", 0), (1, "a b", 3), (1, "a b", 3), (2, "", 0),
+    ]
+    assert extract_text(pages.limit(0), keep=("page_id",)).count() == 0
+
+
+def test_given_pages_hold_their_documents(spark):
+    """The pages show documents; their ids end the URLs."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    found = extract_text(pages, keep=("page_id", "url")).collect()
+    whole = 0
+    for r in found:
+        doc = int(re.search(r"/([0-9]+)[^/]*/?$", r.url)[1])
+        lines = [" ".join(x.split()) for x in docs[doc].split("\n")]
+        want = "\n".join(x for x in lines if x)
+        title, _, body = r.text.partition("\n")
+        whole += body == want and want.startswith(title.rstrip())
+        assert want.endswith(r.text[-20:].strip()) or "html>" not in r.text
+    assert whole >= 0.95 * len(found)

@@ -1,0 +1,111 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+
+from critiq.llm import quality
+from critiq.llm.quality import accepted, fit_quality, score_quality, token_runs
+from critiq.llm.common import text_buffers
+
+DOCS = "doc_id long, text string, score double, held_out string, quality int"
+
+
+def documents(spark, n=600, seed=0):
+    rng = np.random.default_rng(seed)
+    words = ["the", "of", "and", *(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))]
+    docs, labels = [], []
+    for i in range(n):
+        said = rng.choice(words, rng.integers(20, 80)).tolist()
+        good = i % 3 > 0
+        if not good:
+            said = [w + "$$$" for w in said] if i % 2 else [said[0]] * 40
+        docs.append((i, " ".join(said), 0.5, "x", 7))
+        labels.append((i, int(good), 0))
+    return (spark.createDataFrame(docs, DOCS), docs,
+            spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels)
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_held_out_accuracy_and_columns(spark):
+    docs, rows, labels, told = documents(spark)
+    found = score_quality(docs, fit_quality(docs, labels))
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == 600
+    right = [got[i].predicted == y for i, y, _ in told if held(i)]
+    assert len(right) > 100 and np.mean(right) > 0.95
+    for i, r in got.items():
+        assert r.held_out == held(i) and 0 <= r.score <= 1
+        assert r.predicted == int(r.score >= 0.7)
+
+
+def test_held_out_labels_are_never_used(spark):
+    docs, _, labels, told = documents(spark, 200)
+    turned = spark.createDataFrame(
+        [(i, 1 - y if held(i) else y, t) for i, y, t in told], labels.schema)
+    a = score_quality(docs, fit_quality(docs, labels)).collect()
+    b = score_quality(docs, fit_quality(docs, turned)).collect()
+    assert {(r.doc_id, r.score) for r in a} == {(r.doc_id, r.score) for r in b}
+
+
+def test_odd_rows(spark):
+    docs, rows, labels, told = documents(spark, 120)
+    odd = [(1000, None, None, None, None), (1001, "", 0.0, "", 0), (None, "some text", 0.0, "", 0),
+           (1002, "long " * 200_000, 0.0, "", 0), rows[0], rows[0]]
+    more = docs.union(spark.createDataFrame(odd, DOCS))
+    marks = labels.union(spark.createDataFrame(
+        [(1000, None, 0), (None, 1, 0), (5, 9, 0), (0, 0, 0)], labels.schema))
+    model = fit_quality(more, marks)
+    got = score_quality(more, model).collect()
+    assert len(got) == 126 and all(0 <= r.score <= 1 for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    by_id = {r.doc_id: r.score for r in got}
+    assert by_id[1000] == by_id[1001]
+    kept = accepted(more, model)
+    assert kept.schema == more.schema
+    good = sorted(r.doc_id or -1 for r in got if r.score >= 0.7)
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == good
+
+
+def test_one_class_no_labels_no_documents(spark):
+    docs, _, labels, _ = documents(spark, 30)
+    ones = score_quality(docs, fit_quality(docs, labels.filter("quality = 1"))).collect()
+    assert {r.predicted for r in ones} == {1}
+    none = score_quality(docs, fit_quality(docs, labels.limit(0))).collect()
+    assert {r.score for r in none} == {0.5}
+    assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels)).count() == 0
+
+
+def test_token_runs():
+    data, offsets = text_buffers(pa.array(["ab 12!! cd34", None, "34", "ab\n"]))
+    places, bounds = token_runs(data, offsets)
+    assert np.diff(bounds).tolist() == [5, 0, 1, 1]
+    assert places[0] == places[6] and places[1] == places[4] == places[5]
+
+
+def test_pooling_is_the_same_in_pieces(monkeypatch):
+    rng = np.random.default_rng(0)
+    vectors = rng.standard_normal((quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    texts = pa.array(["a b c " * 50, "", "x", "p q! " * 90])
+    whole = quality.pooled(texts, vectors)
+    monkeypatch.setattr(quality, "_PIECE", 64)
+    assert np.allclose(whole, quality.pooled(texts, vectors), atol=1e-5)
+    assert not whole[1].any()
+
+
+def test_temperature_softens_overconfident_scores():
+    rng = np.random.default_rng(1)
+    z = rng.normal(0, 1, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(float)
+    assert abs(quality.calibrated_temperature(z * 4, y) - 4) < 0.5
+
+
+def test_given_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = score_quality(docs, fit_quality(docs, labels)).join(labels, "doc_id").collect()
+    right = [r.predicted == r.quality for r in got if r.held_out]
+    assert np.mean(right) >= 0.93
