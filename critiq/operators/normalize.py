@@ -10,6 +10,8 @@ from pyspark.sql.types import (
     BooleanType,
     DataType,
     DateType,
+    DecimalType,
+    FractionalType,
     NumericType,
     StringType,
     TimestampNTZType,
@@ -59,8 +61,11 @@ def _extras(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def _supplied(column: str, kind: DataType) -> Column:
-    """Is there a value at all? Blank text is none."""
-    return (clean_text(_name(column)) if isinstance(kind, StringType) else _name(column)).isNotNull()
+    """Is there a value at all? Blank text and not-a-number are none."""
+    value = clean_text(_name(column)) if isinstance(kind, StringType) else _name(column)
+    if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType):
+        value = F.when(~F.isnan(value), value)
+    return value.isNotNull()
 
 
 def _rating(column: str, kind: DataType) -> Column:

@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Deals tables of a few small files out to so many partitions when they are read; unset by
+#: default, as a cluster reads large tables as they lie.
+READ_PARTITIONS = "spark.critiq.read.partitions"
+
+
 def local_session(cores: int | str = 8, app_name: str = "critiq") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     return (
@@ -20,6 +25,7 @@ def local_session(cores: int | str = 8, app_name: str = "critiq") -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(READ_PARTITIONS, str(2 * int(cores)) if str(cores).isdigit() else "16")
         .getOrCreate()
     )
 
@@ -50,5 +56,6 @@ def materialize(df: DataFrame) -> DataFrame:
     Used behind model calls, which must run once per row and whose output may
     differ between attempts.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

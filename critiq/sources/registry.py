@@ -47,6 +47,12 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write of ``path`` came to its end; an aborted one has no marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def register_dataset(
     spark: SparkSession, path: str, root: str, mapping: ColumnMapping | None = None
 ) -> DatasetSelection:
@@ -56,7 +62,8 @@ def register_dataset(
     raise_on_violations(violations(raw, chosen))
     digest = dataset_digest(spark, path, b"\x00" + chosen.to_json().encode())
     data_path = f"{root.rstrip('/')}/datasets/{digest}"
-    normalize_reviews(raw, chosen).write.mode("ignore").parquet(data_path)
+    if not _complete(spark, data_path):
+        normalize_reviews(raw, chosen).write.mode("overwrite").parquet(data_path)
     return DatasetSelection(
         data_path=data_path,
         index_path=f"{root.rstrip('/')}/index/{digest}",

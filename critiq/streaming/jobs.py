@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from critiq.functions.plugins import EmbedFunction, embed
 from critiq.operators.documents import build_documents
-from critiq.operators.identity import assign_source_ids, copies_held
+from critiq.operators.identity import (
+    ID_DIGITS, assign_source_ids, copies_held, with_digest,
+)
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews, raise_on_violations, violations
 from critiq.operators.vector_search import search
 from critiq.session import materialize
 from critiq.sources.csv import CSV_OPTIONS, null_words_as_null
-from critiq.sources.index import commits, read_index, write_batch
+from critiq.sources.index import has_tag, read_index, write_batch
 
 
 def add_reviews(
@@ -31,10 +34,18 @@ def add_reviews(
     Copies of a record already there count on from the snapshot. A batch that
     comes again after its commit is left out.
     """
-    if any(c["tag"] == tag for c in commits(spark, index_path)):
+    if has_tag(spark, index_path, tag):
         return
     existing = read_index(spark, index_path, ["source_id"])
-    taken = None if existing is None else copies_held(existing)
+    taken = None
+    if existing is not None:
+        # Only IDs of the batch's own records are counted.
+        arriving = with_digest(reviews).select(
+            F.substring("digest", 1, ID_DIGITS).alias("id_digest")
+        )
+        held = F.element_at(F.split("source_id", "_"), 2)
+        same = existing.join(arriving, held == F.col("id_digest"), "left_semi")
+        taken = copies_held(same)
     documents = build_documents(assign_source_ids(reviews, taken=taken))
     write_batch(spark, index_path, embed(documents, embed_fn), tag=tag)
 
@@ -52,7 +63,8 @@ def stream_index(
     """Watch a folder of CSV files and index what arrives, until none is left."""
     schema = StructType([StructField(c, StringType()) for c in columns])
     arriving = null_words_as_null(
-        spark.readStream.schema(schema).options(**CSV_OPTIONS).csv(folder)
+        # Each file's own header must be that of the stream.
+        spark.readStream.schema(schema).options(**CSV_OPTIONS, enforceSchema=False).csv(folder)
     )
 
     def add(batch: DataFrame, epoch: int) -> None:
@@ -81,12 +93,13 @@ def stream_search(
     """Answer a stream of ``query_id, question`` with the k nearest documents.
 
     Each batch has its own output folder, so that a repeated batch replaces it.
+    Without an index a batch fails, and its questions come again.
     """
 
     def answer(batch: DataFrame, epoch: int) -> None:
         index = read_index(batch.sparkSession, index_path)
         if index is None:
-            return
+            raise ValueError(f"no index at {index_path}; the questions will come again")
         matches = search(index, materialize(embed(batch, embed_fn, "question")), k)
         matches.write.mode("overwrite").parquet(f"{output}/batch={epoch}")
 

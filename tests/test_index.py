@@ -118,3 +118,76 @@ def test_streams(spark, tmp_path):
         ).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.query_id, r.rating, r.rank) for r in found] == [(7, 1, 1)]
+
+
+def test_two_writers_at_once_keep_their_rows(spark, tmp_path, monkeypatch):
+    """Both see the same log before they write."""
+    from critiq.sources import index as I
+
+    path = str(tmp_path / "index")
+    rows = [spark.createDataFrame([(x,)], "source_id string") for x in ("a", "b", "c")]
+    I.write_batch(spark, path, rows[0])
+    seen = I.commits(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(I, "commits", lambda *_: seen)
+        I.write_batch(spark, path, rows[1])
+        I.write_batch(spark, path, rows[2])
+    assert {r.source_id for r in read_index(spark, path).collect()} == {"a", "b", "c"}
+
+
+def test_compaction_shortens_the_log(spark, tmp_path):
+    from critiq.sources import index as I
+
+    path = str(tmp_path / "index")
+    for i in range(6):
+        rows = spark.createDataFrame([(f"{i}", i)], "source_id string, n int")
+        gone = rows.selectExpr(f"'{i - 1}' AS source_id") if i % 2 else None
+        I.write_batch(spark, path, rows, gone, tag=f"t{i}")
+    before = {tuple(r) for r in read_index(spark, path).collect()}
+    assert I.compact_index(spark, path) == len(before) == 3
+    assert len(commits(spark, path)) == 1 and I.has_tag(spark, path, "t2")
+    assert {tuple(r) for r in read_index(spark, path).collect()} == before
+    I.write_batch(spark, path, spark.createDataFrame([("9", 9)], "source_id string, n int"))
+    assert index_count(spark, path) == 4 and len(commits(spark, path)) == 2
+
+
+def test_half_written_datasets_are_written_again(spark, tmp_path):
+    path, root = tmp_path / "r.csv", str(tmp_path / "store")
+    path.write_text("Review\n" + "".join(f"text {i}\n" for i in range(100)))
+    whole = register_dataset(spark, str(path), root)
+    folder = tmp_path / "store" / "datasets" / whole.digest
+    (folder / "_SUCCESS").unlink()
+    for part in list(folder.glob("part-*"))[:1]:
+        part.unlink()
+    assert register_dataset(spark, str(path), root).review_count == 100
+
+
+def test_questions_wait_for_an_index(spark, tmp_path):
+    asks, path = tmp_path / "asks", str(tmp_path / "index")
+    asks.mkdir()
+    (asks / "1.json").write_text('{"query_id": 7, "question": "Review: ccc"}\n')
+    questions = spark.readStream.schema("query_id int, question string").json(str(asks))
+
+    def run():
+        stream_search(
+            questions, path, letter_counts, str(tmp_path / "out"), str(tmp_path / "cp"), 1
+        ).awaitTermination()
+
+    with pytest.raises(Exception, match="no index"):
+        run()
+    reconcile_index(spark, path, _docs(spark, ["ccc"]), letter_counts)
+    run()
+    assert [r.query_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [7]
+
+
+def test_stream_checks_every_header(spark, tmp_path):
+    folder, path = tmp_path / "in", str(tmp_path / "index")
+    folder.mkdir()
+    (folder / "1.csv").write_text("Stars,Comment\n5,aaa\n")
+    with pytest.raises(Exception):
+        stream_index(
+            spark, str(folder), ["Comment", "Stars"],
+            ColumnMapping(review="Comment", rating="Stars"), path, letter_counts,
+            str(tmp_path / "cp"),
+        ).awaitTermination()
+    assert read_index(spark, path) is None

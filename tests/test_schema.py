@@ -137,3 +137,24 @@ def test_csv(spark, tmp_path):
         csv_columns(spark, str(empty))
     with pytest.raises(ValueError, match="header"):
         csv_columns(spark, str(tmp_path / "missing.csv"))
+
+
+def test_files_of_other_column_order_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Review,Country\nfine,IT\n")
+    (tmp_path / "b.csv").write_text("Country,Review\nFR,good\n")
+    (tmp_path / "c.csv").write_text("Review,Country\r\nplain,DE\r\n")
+    rows = read_reviews(spark, str(tmp_path)).select("Review", "Country").collect()
+    assert sorted(map(tuple, rows)) == [("fine", "IT"), ("good", "FR"), ("plain", "DE")]
+    (tmp_path / "d.csv").write_text("Review,Town\nx,Rome\n")
+    with pytest.raises(ValueError, match="different columns"):
+        read_reviews(spark, str(tmp_path))
+
+
+def test_a_rating_that_is_no_number_is_absent(spark):
+    df = spark.createDataFrame(
+        [("a", float("nan")), ("b", 4.0), ("c", 4.5)], "Review string, Rating double"
+    )
+    assert [r.value for r in violations(df).collect()] == ["4.5"]
+    rows = {r.Review: r.Rating for r in normalize_reviews(df).collect()}
+    assert rows == {"a": None, "b": 4, "c": None}
+    normalize_reviews(df.filter("Review <> 'c'"), strict=True)
