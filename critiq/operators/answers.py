@@ -15,6 +15,7 @@ NO_MATCH_TEXT = "I could not find any reviews matching the current question and
 REJECTION_TEXT = (
     "I could not produce an answer with citations that match the retrieved reviews."
 )
+MISSING_RESPONSE = "missing_response"
 CITATION = r"\[([A-Za-z0-9][A-Za-z0-9_-]*)\]"
 REPAIRABLE = (
     "clean_abstention", "missing_citations", "out_of_range_citation", "unknown_citation"
@@ -117,7 +118,7 @@ def prompt_text(question: Column, context: Column, *, repair: bool = False) -> C
         context,
         F.lit(closing),
     )
-    empty = F.raise_error(F.lit("question cannot be empty")).cast("string")
+    empty = F.raise_error(F.lit("a prompt needs a question")).cast("string")
     return F.when(asked == "", empty).otherwise(text)
 
 
@@ -176,7 +177,8 @@ def validate_answers(
 
     no_id = F.exists(F.col(evidence), _has_no_id)
     reason = (
-        F.when(text == token, "clean_abstention")
+        F.when(F.col(response).isNull(), MISSING_RESPONSE)
+        .when(text == token, "clean_abstention")
         .when(F.contains(text, token) & F.col("_embedded"), "embedded_control_token")
         .when(F.col("_clean") == "", "invalid_remainder")
         .when(no_id, "retrieved_source_missing_id")
@@ -197,7 +199,7 @@ def validate_answers(
     no_citations = F.array().cast(
         "array<struct<citation_number:int,source_id:string,distance:double,content:string>>"
     )
-    valid = F.col("_reason").isNull() & F.col(response).isNotNull()
+    valid = F.col("_reason").isNull()
     return (
         steps.withColumn("_reason", reason)
         .withColumn(
@@ -231,7 +233,9 @@ def final_answers(
     """Final state per question after at most one repair round.
 
     ``evidence`` may be null or empty where nothing was retrieved; a repair
-    response counts only where the first response could be repaired.
+    response counts only where the first response could be repaired. A null
+    repair response is no repair: a clean abstention then is the model's answer,
+    other reasons stand. A null first response is a reason of its own.
     """
     no_evidence = F.array().cast(df.schema[evidence].dataType)
     rows = df.withColumn("_evidence", F.coalesce(F.col(evidence), no_evidence))
@@ -243,12 +247,11 @@ def final_answers(
     asked = ~empty & ~no_id
     first, second = F.col("_first"), F.col("_second")
     accepted = asked & first["reason"].isNull()
-    repaired = asked & needs_repair("_first")
+    repaired = asked & needs_repair("_first") & F.col(repair_response).isNotNull()
     rescued = repaired & second["reason"].isNull()
-    abstained = (
-        repaired
-        & ~second["reason"].isNull()
-        & ((first["reason"] == "clean_abstention") | (second["reason"] == "clean_abstention"))
+    declined = first["reason"] == "clean_abstention"
+    abstained = (repaired & ~rescued & (declined | (second["reason"] == "clean_abstention"))) | (
+        asked & ~repaired & F.coalesce(declined, F.lit(False))
     )
     return judged.select(
         *keep,

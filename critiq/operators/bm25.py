@@ -117,6 +117,8 @@ def bm25_search(
     """
     if k < 1:
         raise ValueError("limit must be at least 1")
+    if not check_document_ids(documents, id_column).isEmpty():
+        raise ValueError("BM25 needs documents with present, distinct IDs")
     corpus = tokenized(documents, id_column, text_column)
     pairs = query_terms(queries, query_column, question_column)
     best = [
@@ -142,7 +144,7 @@ def _search_pass(
 ) -> DataFrame:
     found = _lookup(corpus, pairs)
     if _EVERY not in found:
-        raise ValueError("BM25 requires at least one document")
+        raise ValueError("there is no document to rank")
     document_count, total_length = found.pop(_EVERY)
     average = max(total_length / document_count, 1.0)
     vocabulary = sorted(found)

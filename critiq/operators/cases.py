@@ -137,6 +137,14 @@ def missing_gold(cases: DataFrame, documents: DataFrame, case_column: str = "id"
     )
 
 
+def require_gold(cases: DataFrame, documents: DataFrame, case_column: str = "id") -> None:
+    """Raise where a case declares an ID or a title that no document has."""
+    lacking = missing_gold(cases, documents, case_column).limit(5).collect()
+    if lacking:
+        named = ", ".join(f"{r.case_id}: {r.kind} {r.wanted}" for r in lacking)
+        raise ValueError(f"declared gold is not among the documents ({named})")
+
+
 def incomplete_observations(
     cases: DataFrame, observations: DataFrame, case_column: str = "id"
 ) -> DataFrame:
@@ -157,4 +165,4 @@ def require_complete(
     cases: DataFrame, observations: DataFrame, case_column: str = "id"
 ) -> None:
     if not incomplete_observations(cases, observations, case_column).isEmpty():
-        raise ValueError("observations must contain each evaluation case exactly once")
+        raise ValueError("every case needs one observation, and every observation a case")

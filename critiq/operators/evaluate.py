@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.plugins import EmbedFunction, ModelFunction, embed
 from critiq.operators.answers import answer_queries
 from critiq.operators.bm25 import bm25_search
-from critiq.operators.cases import require_complete, resolve_gold
+from critiq.operators.cases import require_complete, require_gold, resolve_gold
 from critiq.operators.metrics import answer_metrics, observations, retrieval_metrics
-from critiq.operators.vector_search import search
+from critiq.operators.vector_search import Bound, search
 from critiq.session import materialize
 
 
 def evaluate_bm25(
     cases: DataFrame, documents: DataFrame, k: int = 5
 ) -> tuple[DataFrame, DataFrame]:
-    """Retrieval metrics of BM25 on the case questions, and its ranking."""
+    """Retrieval metrics of BM25 on the case questions, and its ranking.
+
+    Gold that is declared but not among the documents is an error.
+    """
+    require_gold(cases, documents)
     ranked = bm25_search(documents, cases, k, query_column="id").withColumnRenamed("id", "case_id")
     return retrieval_metrics(resolve_gold(cases, documents), ranked, k), ranked
 
@@ -56,11 +62,18 @@ def evaluate_answers(
     embed_fn: EmbedFunction,
     model: ModelFunction,
     k: int = 5,
+    bounds: Sequence[Bound] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Answer metrics of semantic retrieval with a model, and the observations."""
-    asked = cases.select(F.col("id").alias("query_id"), "question")
+    """Answer metrics of semantic retrieval with a model, and the observations.
+
+    Gold that is declared but not in the index is an error. ``bounds`` name filter
+    columns of ``cases``.
+    """
+    require_gold(cases, index)
+    limits = sorted({b.limit for b in bounds})
+    asked = cases.select(F.col("id").alias("query_id"), "question", *limits)
     queries = materialize(embed(asked, embed_fn, "question"))
-    matches = search(index, queries, k)
+    matches = search(index, queries, k, bounds=bounds)
     observed = materialize(
         observations(answer_queries(queries.select("query_id", "question"), matches, model))
     )

@@ -51,6 +51,18 @@ def retrieval_metrics(gold: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     )
 
 
+def observed_ranking(observed: DataFrame) -> DataFrame:
+    """``case_id, source_id, rank`` of what observations say was retrieved."""
+    return observed.select(
+        "case_id", F.posexplode("retrieved_source_ids").alias("place", "source_id")
+    ).select("case_id", "source_id", (F.col("place") + 1).alias("rank"))
+
+
+def retrieval_from_observations(gold: DataFrame, observed: DataFrame, k: int) -> DataFrame:
+    """Retrieval metrics of a run from its own observations, without a second search."""
+    return retrieval_metrics(gold, observed_ranking(observed), k)
+
+
 def compare_retrievers(gold: DataFrame, rankings: dict[str, DataFrame], k: int) -> DataFrame:
     """Retrieval metrics per named ranking, over the same cases."""
     rows = [

@@ -9,8 +9,6 @@ SCHEMA_VERSION = 3
 # Share of the ranks on either side of the middle that an estimate may be off.
 _MEDIAN_SLACK = 0.001
 _MEDIAN_ACCURACY = 10_000
-INLINE_GOLD = 1_000
-INLINE_LABELS = 1_000
 
 
 def report_counts(cases: DataFrame, observed: DataFrame) -> DataFrame:
@@ -99,12 +97,9 @@ def latency_summary(observed: DataFrame) -> DataFrame:
 
 
 def _counter(counts: DataFrame, kind: str) -> Column:
-    """Labels of one kind as a sorted map; null where there are too many for one
-    record, as they are all in ``report_counts``."""
-    labels = counts.filter(F.col("kind") == kind).orderBy("label").limit(INLINE_LABELS + 1)
+    """Outcomes or reasons, which are closed sets, as a sorted map."""
     entries = F.array_sort(F.collect_list(F.struct("label", "n")))
-    few = F.when(F.count("*") <= INLINE_LABELS, F.map_from_entries(entries))
-    return labels.agg(few).scalar()
+    return counts.filter(F.col("kind") == kind).agg(F.map_from_entries(entries)).scalar()
 
 
 def _one(row: DataFrame) -> Column:
@@ -123,7 +118,11 @@ def build_report(
     generated_at: str | None = None,
     include_raw_responses: bool = False,
 ) -> DataFrame:
-    """One nested row of everything but the observations, which stay a table."""
+    """One nested row of everything but observations, gold and categories.
+
+    These have no bound and stay tables: ``serialize_observations``, the gold pairs
+    and ``report_counts``.
+    """
     counts = report_counts(cases, observed)
 
     def text_map(values: dict[str, str] | None) -> Column:
@@ -149,7 +148,6 @@ def build_report(
         text_map(provenance).alias("provenance"),
         F.struct(
             *[set_struct[c].alias(c) for c in sizes.columns],
-            _counter(counts, "category").alias("categories"),
         ).alias("evaluation_set"),
         F.struct(
             _one(semantic).alias("semantic_retrieval"),
@@ -172,32 +170,19 @@ def serialize_observations(
     gold: DataFrame,
     *,
     include_raw_responses: bool = False,
-    inline_gold: int = INLINE_GOLD,
 ) -> DataFrame:
     """Observation rows for the report; model responses only on request.
 
-    Gold is put in sorted as a list where a case has at most ``inline_gold`` of
-    it. A longer list is null: it is in the gold table, which is complete.
+    Gold is counted here and kept as rows in its own table.
     """
     sizes = gold.groupBy("case_id").agg(F.count("*").alias("relevant_source_count"))
-    # The cases with long lists are few, so leaving them out moves no gold.
-    long = sizes.filter(F.col("relevant_source_count") > inline_gold)
-    lists = (
-        gold.join(long.select("case_id"), "case_id", "left_anti")
-        .groupBy("case_id")
-        .agg(F.array_sort(F.collect_list("source_id")).alias("relevant_source_ids"))
-    )
     raw = ["raw_response", "repair_response"] if include_raw_responses else []
     count = F.coalesce(F.col("relevant_source_count"), F.lit(0))
     return (
         observed.join(sizes, "case_id", "left")
-        .join(lists, "case_id", "left")
         .select(
             "case_id",
             count.alias("relevant_source_count"),
-            F.when(count == 0, F.array().cast("array<string>"))
-            .otherwise(F.col("relevant_source_ids"))
-            .alias("relevant_source_ids"),
             "retrieved_source_ids",
             "cited_source_ids",
             "answer",

@@ -58,6 +58,7 @@ def best_rows(
     floor = np.full(query_count, -np.inf)
     for ids, first, scores in scored:
         scores = np.round(scores, SCORE_DIGITS) + 0.0
+        scores[np.isnan(scores)] = -np.inf
         rows, width = scores.shape
         low = floor[first : first + width]
         if rows > k:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from critiq.functions.text import casefold_label
 from critiq.operators.scan_topk import query_passes, rank_top_k, scan, with_documents
 
 METRICS = ("l2", "cosine", "ip")
@@ -19,6 +21,60 @@ _CELLS = 4_000_000
 _BLOCK = 256
 
 
+@dataclass(frozen=True)
+class Bound:
+    """A filter of each question: ``limit`` in the query table limits ``column`` of the index.
+
+    ``kind`` is "least" or "most" for numbers, "from" or "until" for dates, all inclusive, or
+    "among" for an array of labels, compared case-folded; an empty array is no filter.
+    """
+
+    column: str
+    limit: str
+    kind: str
+
+    def sides(self, number: int) -> tuple[Column, Column]:
+        """What a row and a question are compared by."""
+        value, limit = F.col(self.column), F.col(self.limit)
+        if self.kind == "among":
+            label, labels = casefold_label(value), F.transform(limit, casefold_label)
+            return label.alias(f"_value{number}"), labels.alias(f"_limit{number}")
+        if self.kind in ("from", "until"):
+            value, limit = (F.unix_date(x.cast("date")) for x in (value, limit))
+        elif self.kind not in ("least", "most"):
+            raise ValueError("a bound is least, most, from, until or among")
+        return (value.cast("double").alias(f"_value{number}"),
+                limit.cast("double").alias(f"_limit{number}"))
+
+    def values(self, column: pa.Array) -> np.ndarray:
+        if self.kind == "among":
+            return np.array(column.to_pylist(), object)
+        return column.to_numpy(zero_copy_only=False).astype(np.float64)
+
+    def limits(self, column: pa.ChunkedArray) -> np.ndarray:
+        if self.kind == "among":
+            made = np.empty(len(column), object)
+            for i, labels in enumerate(column.to_pylist()):
+                made[i] = frozenset(x for x in labels or () if x is not None) or None
+                if labels and made[i] is None:
+                    made[i] = frozenset()
+            return made
+        return column.to_numpy().astype(np.float64)
+
+    def met(self, value: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """rows x questions"""
+        if self.kind == "among":
+            held = np.ones((len(value), len(limit)), bool)
+            for j, labels in enumerate(limit):
+                if labels is not None:
+                    held[:, j] = [v is not None and v in labels for v in value]
+            return held
+        with np.errstate(invalid="ignore"):
+            low = self.kind in ("least", "from")
+            inside = value[:, None] >= limit if low else value[:, None] <= limit
+        return inside | np.isnan(limit)
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     rows = len(vectors)
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -27,14 +83,18 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; a zero vector stays zero, so that its cosine distance is 1."""
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+
+
 def _distances(rows: np.ndarray, queries: np.ndarray, metric: str, k: int) -> np.ndarray:
     """Distances rows x queries; pairs that cannot be among the k best are inf."""
     if metric == "ip":
         return 1.0 - rows @ queries.T
     if metric == "cosine":
-        rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-        queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        return 1.0 - rows @ queries.T
+        return 1.0 - _directions(rows) @ _directions(queries).T
     # The expanded square loses digits to cancellation: use it, with a margin,
     # only to find the pairs worth the plain sum of squared differences.
     size = (rows**2).sum(axis=1)[:, None] + (queries**2).sum(axis=1)[None, :]
@@ -62,11 +122,17 @@ def vector_search(
     query_column: str = "query_id",
     query_vector_column: str = "embedding",
     cells_per_pass: int = CELLS_PER_PASS,
+    bounds: Sequence[Bound] = (),
 ) -> DataFrame:
     """``query id, id, distance, rank`` of the k nearest rows per query.
 
+    ``bounds`` are filters of each question: columns of ``queries`` that limit a
+    column of ``index``, applied inside the one scan. A null bound is none; a
+    null value meets no bound.
+
     Distance is the squared Euclidean distance by default, else ``1 - cosine``
-    or ``1 - inner product``; ties go by ID. Filter ``index`` beforehand: as
+    or ``1 - inner product``; ties go by ID. A zero vector has the cosine
+    distance 1; pairs without a number for a distance are left out. Filter ``index`` beforehand: as
     every row is compared, filtering first and last give the same result, and
     first lets the condition reach the scan.
     """
@@ -74,10 +140,13 @@ def vector_search(
         raise ValueError("limit must be at least 1")
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {', '.join(METRICS)}")
-    corpus = index.select(id_column, vector_column)
-    wanted = queries.select(query_column, F.col(query_vector_column).alias("_vector"))
+    sides = [b.sides(i) for i, b in enumerate(bounds)]
+    corpus = index.select(id_column, vector_column, *[value for value, _ in sides])
+    wanted = queries.select(
+        query_column, F.col(query_vector_column).alias("_vector"), *[limit for _, limit in sides]
+    )
     best = [
-        _search_pass(corpus, part, k, metric, id_column, query_column)
+        _search_pass(corpus, part, k, metric, id_column, query_column, bounds)
         for part in query_passes(wanted, query_column, _cells, cells_per_pass)
     ]
     nearest = reduce(DataFrame.unionByName, best).withColumn("distance", -F.col("score") + 0.0)
@@ -97,6 +166,7 @@ def _search_pass(
     metric: str,
     id_column: str,
     query_column: str,
+    bounds: Sequence[Bound] = (),
 ) -> DataFrame:
     table = queries.toArrow().combine_chunks()
     query_ids = pa.concat_arrays(table[query_column].chunks) if len(table) else pa.array(
@@ -105,20 +175,25 @@ def _search_pass(
     vectors = np.zeros((0, 1))
     if len(table):
         vectors = _matrix(pa.concat_arrays(table["_vector"].chunks))
-    shared = corpus.sparkSession.sparkContext.broadcast(vectors)
+    limits = [b.limits(table[f"_limit{i}"]) for i, b in enumerate(bounds)]
+    shared = corpus.sparkSession.sparkContext.broadcast((vectors, limits))
 
     def score(batches: Iterator[pa.RecordBatch]):
-        every = shared.value
+        every, limit_of = shared.value
         for batch in batches:
             if not len(batch) or not len(every):
                 continue
             rows = _matrix(batch.column(1))
+            values = [b.values(batch.column(2 + i)) for i, b in enumerate(bounds)]
             for first in range(0, len(every), _BLOCK):
                 block = every[first : first + _BLOCK]
                 step = max(1, _CELLS // max(len(block), rows.shape[1]))
                 for start in range(0, len(rows), step):
                     part = rows[start : start + step]
-                    distance = _distances(part, block, metric, k)
+                    distance = _distances(part, block, metric, len(rows) if bounds else k)
+                    for b, value, limit in zip(bounds, values, limit_of, strict=True):
+                        met = b.met(value[start : start + len(part)], limit[first : first + _BLOCK])
+                        distance[~met] = np.inf
                     yield batch.column(0).slice(start, len(part)), first, -distance
 
     return scan(corpus, id_column, queries.schema[query_column], query_ids, score, k)

@@ -13,11 +13,11 @@ from critiq.functions.text import tokens
 from critiq.operators import answers as A
 from critiq.operators import bm25, cases, explore, identity, metrics, report
 from critiq.operators.documents import build_documents, metadata_entries
-from critiq.operators.evaluate import evaluate_bm25, retrieval_observations
+from critiq.operators.evaluate import evaluate_answers, evaluate_bm25, retrieval_observations
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews, violations
 from critiq.operators.reconcile import missing_documents, reconcile_index, reconciled, stale_ids
-from critiq.operators.vector_search import search, vector_search
+from critiq.operators.vector_search import Bound, search, vector_search
 from critiq.plans import tables as T
 from critiq.session import materialize, scratch_dir
 from critiq.sources.index import read_index, write_batch
@@ -167,8 +167,11 @@ def embedded(spark, sf):
     return rows.select("doc_id", F.array_join(whole, ",").alias("vector"))
 
 
-def _nearest(spark, sf, metric):
+def _nearest(spark, sf, metric, zero=None):
     index = T.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    if zero is not None:
+        nothing = F.transform("embedding", lambda x: x * 0)
+        index = index.withColumn("embedding", F.when(zero, nothing).otherwise(F.col("embedding")))
     found = vector_search(
         index, T.label_centroids(spark, sf), 10, metric=metric, id_column="vec_id"
     )
@@ -193,6 +196,28 @@ def vector_topk_filtered(spark, sf):
     return found.select("query_id", "source_id", "distance", "rank", "rating", "date", "country")
 
 
+def vector_topk_per_query_filter(spark, sf):
+    """Rating, date and country limits that differ from question to question."""
+    key = F.col("query_id")
+    asked = T.questions(spark, sf).select(
+        "*",
+        F.when(key % 3 != 0, (key % 5 + 1).cast("int")).alias("rating_from"),
+        F.when(key % 4 == 0, F.date_add(F.lit("2024-02-01").cast("date"), (key % 100).cast("int")))
+        .alias("since"),
+        F.when(key % 2 == 0, F.array(F.lit("EN"), F.lit("de"))).alias("countries"),
+    )
+    bounds = [Bound("rating", "rating_from", "least"), Bound("date", "since", "from"),
+              Bound("country", "countries", "among")]
+    wanted = materialize(embed(asked, T.letter_counts, "question"))
+    found = search(T.letter_index(spark, sf), wanted, T.TOP_K, bounds=bounds)
+    return found.select("query_id", "source_id", "distance", "rank")
+
+
+def vector_topk_zero(spark, sf):
+    """Cosine search of vectors of which most are zero."""
+    return _nearest(spark, sf, "cosine", zero=F.col("vec_id") % 100 > 0)
+
+
 def token_text(spark, sf):
     return T.documents(spark, sf).select(
         "doc_id", F.array_join(tokens(F.col("text")), " ").alias("tokens")
@@ -278,12 +303,14 @@ def missing_gold(spark, sf):
 
 
 def evaluate_replies(spark, sf):
-    return _rounded(evaluate_bm25(T.turn_cases(spark, sf), T.replies(spark, sf), T.TOP_K)[0])
+    found = evaluate_bm25(T.replied_cases(spark, sf), T.replies(spark, sf), T.TOP_K)
+    return _rounded(found[0])
 
 
 def retrieval_only(spark, sf):
     wanted = T.turn_cases(spark, sf)
-    ranked = evaluate_bm25(wanted, T.replies(spark, sf), T.TOP_K)[1]
+    ranked = bm25.bm25_search(T.replies(spark, sf), wanted, T.TOP_K, query_column="id")
+    ranked = ranked.withColumnRenamed("id", "case_id")
     return retrieval_observations(wanted, ranked).select(
         "case_id", "outcome", F.array_join("retrieved_source_ids", ",").alias("retrieved")
     )
@@ -352,6 +379,41 @@ def final_answers(spark, sf):
     )
 
 
+def single_round_answers(spark, sf):
+    """First responses alone, as of a run without a repair round."""
+    collected = A.collect_evidence(T.evidence(spark, sf))
+    rows = T.responses(T.questions(spark, sf).join(collected, "query_id", "left"))
+    final = A.final_answers(rows.withColumn("repair_response", F.lit(None).cast("string")))
+    ids = F.transform("cited", lambda c: c["source_id"])
+    return final.select(
+        "query_id", "answer", F.array_join(ids, ",").alias("cited"), "abstained",
+        "failure_reason", metrics.outcome().alias("outcome"),
+    )
+
+
+def retrieval_from_observations(spark, sf):
+    found = metrics.retrieval_from_observations(
+        _document_gold(spark, sf), _observed(spark, sf), T.TOP_K
+    )
+    return _rounded(found)
+
+
+def evaluated_answers(spark, sf):
+    """Passages answered by a stand-in model from the letter index, and scored."""
+    gold = materialize(_document_gold(spark, sf))
+    declared = gold.groupBy("case_id").agg(F.collect_set("source_id").alias("gold_source_ids"))
+    nothing = F.array().cast("array<string>")
+    wanted = (
+        T.passage_cases(spark, sf, gold)
+        .join(declared.withColumnRenamed("case_id", "id"), "id", "left")
+        .withColumns({"gold_source_ids": F.coalesce("gold_source_ids", nothing),
+                      "source_labels": nothing})
+    )
+    index = T.letter_index(spark, sf).withColumn("title", F.lit(None).cast("string"))
+    rag, _ = evaluate_answers(wanted, index, T.letter_counts, T.stand_in_model, T.TOP_K)
+    return _rounded(rag)
+
+
 def outcome_counts(spark, sf):
     return _observed(spark, sf).groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -379,7 +441,6 @@ def serialized_observations(spark, sf):
     rows = report.serialize_observations(_observed(spark, sf), gold)
     return rows.select(
         "case_id", "relevant_source_count",
-        F.array_join("relevant_source_ids", ",").alias("relevant"),
         F.array_join("retrieved_source_ids", ",").alias("retrieved"),
         F.array_join("cited_source_ids", ",").alias("cited"),
         "outcome", "latency_ms",
@@ -409,7 +470,6 @@ def evaluation_report(spark, sf):
             F.col(f"evaluation_set.{c}").alias(c)
             for c in ("case_count", "answerable_case_count", "abstention_case_count")
         ],
-        F.to_json("evaluation_set.categories").alias("categories"),
         F.col("results.semantic_retrieval.recall_at_k").alias("semantic_recall"),
         F.col("results.bm25_baseline.recall_at_k").alias("bm25_recall"),
         F.col("results.rag.answer_success_rate").alias("answer_success_rate"),
@@ -540,6 +600,8 @@ QUERIES: dict[str, Query] = {
     "vector_topk_cosine": vector_topk_cosine,
     "vector_topk_ip": vector_topk_ip,
     "vector_topk_filtered": vector_topk_filtered,
+    "vector_topk_per_query_filter": vector_topk_per_query_filter,
+    "vector_topk_zero": vector_topk_zero,
     "tokens": token_text,
     "bm25_stats": bm25_stats,
     "bm25_document_frequencies": bm25_document_frequencies,
@@ -559,6 +621,9 @@ QUERIES: dict[str, Query] = {
     "prompts": prompts,
     "validate_answers": validate_answers,
     "final_answers": final_answers,
+    "single_round_answers": single_round_answers,
+    "retrieval_from_observations": retrieval_from_observations,
+    "evaluate_answers": evaluated_answers,
     "outcome_counts": outcome_counts,
     "support_proxy": support_proxy,
     "answer_metrics": answer_metrics,

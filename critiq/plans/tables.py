@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +14,11 @@ from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews
 from critiq.operators.scan_topk import with_documents
 from critiq.operators.vector_search import vector_search
-from critiq.session import materialize
+from critiq.session import READ_PARTITIONS, materialize
 
 TOP_K = 5
+# A passage of so many words has one that cannot be cut.
+INNER_WORDS = 3
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +26,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """On one machine, give every core rows: there a table is one small file.
-
-    A cluster reads large data as it lies, without an exchange.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.master.startswith("local"):
-        return df
-    return df.repartition(2 * context.defaultParallelism, key)
+    """The table as it lies, or dealt out if the session asks for it."""
+    wanted = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df if wanted is None else df.repartition(int(wanted), key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,20 +181,18 @@ def passage_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The words inside a passage, without its first and last, which may be cut,
     are words of any document that contains it. Documents are looked up by the
-    rarest of them and then compared in full.
+    rarest of them and then compared in full. Passages without inner words are
+    searched for in a scan of their own.
     """
     docs = documents(spark, sf_dir)
     passages = read_table(spark, sf_dir, "benchmark")
     words = tokens(F.col("text"))
-    short = F.raise_error(F.lit("a passage needs at least three words")).cast("array<string>")
-    inside = passages.select("item_id", words.alias("words")).select(
+    long = F.size(words) >= INNER_WORDS
+    inside = passages.filter(long).select("item_id", words.alias("words")).select(
         "item_id",
-        F.explode(
-            F.when(F.size("words") < 3, short).otherwise(
-                F.array_distinct(F.expr("slice(words, 2, size(words) - 2)"))
-            )
-        ).alias("term"),
+        F.explode(F.array_distinct(F.expr("slice(words, 2, size(words) - 2)"))).alias("term"),
     )
+    short = passages.filter(~long & F.col("text").isNotNull())
     corpus = tokenized(docs, "doc_id", "text")
     wanted = inside.select("term").distinct()
     bounded = inside.limit(PAIRS_PER_PASS + 1).count() <= PAIRS_PER_PASS
@@ -223,9 +219,38 @@ def passage_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(read_table(spark, sf_dir, "documents"), "doc_id")
         .filter(F.contains("text", F.col("passage")))
         .select("item_id", "doc_id")
+        .unionByName(_short_passage_gold(docs, short))
     )
 
 
+def _short_passage_gold(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs of ``short`` passages and the documents that contain them.
+
+    The passages, fewer than three words each, are a stated query set; every
+    document is read once and looks for all of them.
+    """
+    listed = short.select("item_id", "text").toArrow()
+    ids, texts = listed["item_id"].to_pylist(), listed["text"].to_pylist()
+
+    def find(batches):
+        for batch in batches:
+            found = [
+                (item, doc)
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                if text is not None
+                for item, passage in zip(ids, texts)
+                if passage in text
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.int64()),
+                 pa.array([f[1] for f in found], pa.int64())],
+                names=["item_id", "doc_id"],
+            )
+
+    rows = docs.select("doc_id", "text") if ids else docs.select("doc_id", "text").limit(0)
+    return rows.mapInArrow(find, "item_id long, doc_id long")
+
+
 def keyword_matches(
     spark: SparkSession, sf_dir: str, k: int = TOP_K, k1: float = 1.5
 ) -> DataFrame:
@@ -298,16 +323,16 @@ def passage_cases(
     if gold is None:
         gold = passage_gold(spark, sf_dir).withColumnRenamed("item_id", "case_id")
     known = gold.select(F.col("case_id").alias("query_id"), F.lit(True).alias("known")).distinct()
-    opening = F.substring("question", 1, 12)
-    closing = F.concat(F.lit("zz"), F.substring("question", 13, 6))
+    whole = F.col("question")
+    absent = F.concat(F.lit("zz"), whole)
     facts = F.array(
         F.struct(
             F.array(F.lit("TEXT"), F.lit("fixed")).alias("answer_terms"),
-            F.array(opening, F.lit("no such words")).alias("source_terms"),
+            F.array(whole, F.lit("no such words")).alias("source_terms"),
         ),
         F.struct(
             F.array(F.lit("More [2]")).alias("answer_terms"),
-            F.array(closing, F.lit("THE")).alias("source_terms"),
+            F.array(absent, F.lit("THE")).alias("source_terms"),
         ),
     )
     return questions(spark, sf_dir).join(known, "query_id", "left").select(
@@ -374,3 +399,10 @@ def faulty_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels.alias("source_labels"),
         F.when(kind == 8, F.slice(fact, 1, 0)).otherwise(fact).alias("reference_facts"),
     )
+
+
+def replied_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those user turns whose conversation has a reply, so that their gold exists."""
+    titles = replies(spark, sf_dir).select("title").distinct()
+    wanted = turn_cases(spark, sf_dir)
+    return wanted.join(titles, F.get("source_labels", F.lit(0)) == F.col("title"), "left_semi")

@@ -117,7 +117,7 @@ def test_context_prompt_and_label(spark, matches):
     labels = matches.orderBy("rank").select(A.evidence_labels(matches)).collect()
     assert labels[0][0] == "[1] · Roma · IT · Good · 5/5 · distance 0.080"
     assert labels[1][0] == "[2] · distance 0.100"
-    with pytest.raises(PySparkException, match="question cannot be empty"):
+    with pytest.raises(PySparkException, match="needs a question"):
         spark.range(1).select(A.prompt_text(F.lit(" \n"), F.lit(""))).collect()
     with pytest.raises(PySparkException, match="no source ID"):
         A.assemble_context(matches.withColumn("source_id", F.lit(""))).collect()
@@ -182,3 +182,22 @@ def test_answer_flow_calls_the_model_once_per_round(spark, matches):
         A.REJECTION_TEXT, "retrieved_source_missing_id"
     )
     assert seen[101].retrieved_source_ids == [] and seen[101].raw_response == ""
+
+
+def test_single_round_tables(spark, matches):
+    """Without repair responses an abstention is the model's, and a null response is a reason."""
+    evidence = A.collect_evidence(matches).select("evidence")
+    said = [(1, "INSUFFICIENT_EVIDENCE", None), (2, None, None), (3, "Crispy [1].", None),
+            (4, "Crispy.", None), (5, None, "Fixed [1]."), (6, "Crispy.", "Fixed [1].")]
+    rows = spark.createDataFrame(said, "query_id int, response string, repair_response string")
+    final = A.final_answers(rows.join(evidence, how="cross"))
+    got = {r.case_id: r for r in observations(final).collect()}
+    assert {i: r.outcome for i, r in got.items()} == {
+        1: "model_abstention", 2: "citation_validation_rejection", 3: "answered",
+        4: "citation_validation_rejection", 5: "citation_validation_rejection",
+        6: "answered_after_repair",
+    }
+    assert all(r.answer for r in got.values())
+    assert got[2].failure_reason == got[5].failure_reason == "missing_response"
+    assert got[1].abstained and got[1].answer == A.NO_MATCH_TEXT
+    assert [i for i, r in got.items() if r.repair_attempted] == [6]

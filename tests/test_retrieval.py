@@ -85,7 +85,7 @@ def test_bm25_checks_its_input(spark):
     docs = _docs(spark, {"a": ["crispy"]})
     with pytest.raises(ValueError, match="limit"):
         bm25_search(docs, questions, 0)
-    with pytest.raises(ValueError, match="at least one document"):
+    with pytest.raises(ValueError, match="no document to rank"):
         bm25_search(docs.limit(0), questions)
     rows = spark.createDataFrame([("a",), ("a",), ("",), (None,), ("b",)], "source_id string")
     checked = bm25.check_document_ids(rows, "source_id").collect()
@@ -184,3 +184,86 @@ def test_embedding_plug_point(spark):
     rows = {r.i: r.embedding for r in embed(df, letter_counts).collect()}
     assert rows[1][:2] == [2.0, 2.0] and rows[2][25] == 2.0
     assert embed(df, letter_counts).filter(F.size("embedding") == 26).count() == 2
+
+
+def test_bm25_refuses_missing_and_repeated_ids(spark):
+    docs = spark.createDataFrame(
+        [("a", "crispy crust"), ("a", "crispy"), ("b", "x")], "source_id string, content string"
+    )
+    with pytest.raises(ValueError, match="distinct IDs"):
+        bm25_search(docs, _queries(spark, {1: "crispy"}))
+    with pytest.raises(ValueError, match="distinct IDs"):
+        bm25_search(docs.filter("content = 'x'").selectExpr("'' AS source_id", "content"),
+                    _queries(spark, {1: "x"}))
+
+
+@pytest.mark.parametrize("zeros", [1, 2, 4, 9])
+def test_zero_vectors_lose_no_neighbours(spark, zeros):
+    """A zero vector has the cosine distance 1, to any other."""
+    rows = [(f"v{i}", [float(i + 1), 1.0]) for i in range(8)]
+    rows += [(f"z{i}", [0.0, 0.0]) for i in range(zeros)]
+    index = spark.createDataFrame(rows, "source_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0])],
+                                  "query_id int, embedding array<double>")
+    found = vector_search(index.repartition(1), asked, 3, metric="cosine").collect()
+    by_query = {q: [(r.source_id, r.distance) for r in sorted(found, key=lambda r: r.rank)
+                    if r.query_id == q] for q in (1, 2)}
+    assert [i for i, _ in by_query[1]] == ["v0", "v1", "v2"]
+    assert by_query[2] == [("v0", 1.0), ("v1", 1.0), ("v2", 1.0)]
+    whole = vector_search(index, asked, 100, metric="cosine")
+    assert whole.count() == 2 * len(rows)
+
+
+def test_vectors_without_a_number_are_left_out(spark):
+    index = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [float("nan"), 0.0]), ("c", [2.0, 0.0])],
+        "source_id string, embedding array<double>",
+    )
+    asked = index.filter("source_id = 'a'").selectExpr("1 AS query_id", "embedding")
+    for metric in ("l2", "cosine", "ip"):
+        found = vector_search(index.repartition(1), asked, 2, metric=metric).collect()
+        assert {r.source_id for r in found} == {"a", "c"}, metric
+
+
+def test_filters_of_each_question(spark):
+    """One search with a filter per question equals a filtered search per question."""
+    from critiq.operators.vector_search import Bound
+
+    rng = random.Random(4)
+    rows = [
+        (f"s{i:03d}", [rng.random() for _ in range(4)], rng.choice([None, 1, 2, 3, 4, 5]),
+         rng.choice([None, date(2024, 1, 1 + i % 28)]), rng.choice([None, "Roma", "PARIS", "Straße"]))
+        for i in range(200)
+    ]
+    index = spark.createDataFrame(
+        rows, "source_id string, embedding array<double>, rating int, date date, restaurant string")
+    asks = [(1, None, None, None, None), (2, 4, None, None, []), (3, 2, 3, None, ["roma"]),
+            (4, None, None, date(2024, 1, 20), ["paris", "STRASSE"]), (5, 9, None, None, None),
+            (6, None, 1, date(2024, 1, 5), [None])]
+    wanted = [(q, [rng.random() for _ in range(4)], *rest) for q, *rest in asks]
+    queries = spark.createDataFrame(
+        wanted, "query_id int, embedding array<double>, low int, high int, since date, "
+        "places array<string>")
+    bounds = [Bound("rating", "low", "least"), Bound("rating", "high", "most"),
+              Bound("date", "since", "from"), Bound("restaurant", "places", "among")]
+    found = {}
+    for metric in ("l2", "cosine"):
+        result = vector_search(index, queries, 5, metric=metric, bounds=bounds)
+        for r in sorted(result.collect(), key=lambda r: (r.query_id, r.rank)):
+            found.setdefault((metric, r.query_id), []).append(r.source_id)
+        for q, vector, low, high, since, places in wanted:
+            kept = [
+                r for r in rows
+                if (low is None or (r[2] is not None and r[2] >= low))
+                and (high is None or (r[2] is not None and r[2] <= high))
+                and (since is None or (r[3] is not None and r[3] >= since))
+                and (not places or (r[4] is not None and r[4].casefold() in
+                                    {p.casefold() for p in places if p is not None}))
+            ]
+            alone = spark.createDataFrame(kept, index.schema)
+            one = queries.filter(F.col("query_id") == q)
+            want = [r.source_id for r in sorted(
+                vector_search(alone, one, 5, metric=metric).collect(), key=lambda r: r.rank)]
+            assert found.get((metric, q), []) == want
+    shown = search(index, queries, 5, bounds=bounds).collect()
+    assert {r.query_id for r in shown} == {1, 2, 3, 4}
