@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from critiq.session import scratch_dir
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -41,6 +43,18 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def map_texts(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows, as texts may be long.
+
+    The session's limit is lowered for good, since it is read when the plan runs; other
+    queries only see smaller batches.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def hash_fraction(key: Column, fraction: float, seed: str) -> Column:
     """Whether the hash of ``key`` falls into the given share of all hashes."""
     if fraction >= 1.0:

@@ -22,6 +22,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from critiq.llm.common import map_texts
+
 SHORT = 70
 LONG = 200
 LOW_STOPS, HIGH_STOPS = 0.15, 0.30
@@ -295,4 +297,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
             )
 
     schema = (kept + ", " if kept else "") + "text string, n_chars long"
-    return pages.select(*[pages[f"`{c}`"] for c in keep], pages[f"`{html_col}`"]).mapInArrow(extract, schema)
+    rows = pages.select(*[pages[f"`{c}`"] for c in keep], pages[f"`{html_col}`"])
+    return map_texts(rows, extract, schema)

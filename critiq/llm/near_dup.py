@@ -32,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.llm.common import chunks, dropped, mixed, packed, text_buffers, word_hashes, written
+from critiq.llm.common import (
+    chunks, dropped, map_texts, mixed, packed, text_buffers, word_hashes, written,
+)
 from critiq.llm.components import connected
 
 SHINGLE_WORDS = 5
@@ -246,8 +248,8 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(
-        _signed, "doc long, n long, mark long, mark2 long, signature binary"
+    signed = written(map_texts(
+        texts, _signed, "doc long, n long, mark long, mark2 long, signature binary"
     ))
     mark = ["mark", "mark2", "n"]
     known = F.col("doc").isNotNull() & (F.col("n") > 0)
@@ -273,11 +275,9 @@ def near_duplicates(
     dropped(keys)
     involved = written(live.select("doc").distinct())
     sizes = heads.select("doc", "n").join(involved, "doc", "left_semi").distinct()
-    sets = written(
-        texts.join(involved.hint("shuffle_hash"), "doc", "left_semi")
-        .mapInArrow(_set_rows, "doc long, hashes binary, bars binary")
-        .filter(F.length("hashes") > 0)
-    )
+    again = texts.join(involved.hint("shuffle_hash"), "doc", "left_semi")
+    sets = map_texts(again, _set_rows, "doc long, hashes binary, bars binary")
+    sets = written(sets.filter(F.length("hashes") > 0))
     star = (
         live.filter(F.col("doc") != F.col("head"))
         .select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()

@@ -17,6 +17,8 @@ ignored.
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import re
 import zlib
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from critiq.llm.common import written
+from critiq.llm.common import map_texts, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -53,27 +55,32 @@ def tokenizer_files() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=2)
-def _encoders(json_file: str, ranks_file: str):
-    import base64
-
+def _fast(json_file: str, ranks_file: str):
+    """The faster encoder, and the special tokens that it doesn't know."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    exact = Tokenizer.from_file(json_file)
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding(
+    with open(json_file, "rb") as file:
+        specials = [t["content"] for t in json.load(file)["added_tokens"]]
+    return tiktoken.Encoding(
         "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    )
-    specials = [t.content for t in exact.get_added_tokens_decoder().values()]
-    return exact, fast, specials
+    ), specials
+
+
+@lru_cache(maxsize=2)
+def _exact(json_file: str):
+    """The tokenizer itself; loaded only where a text needs it."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(json_file)
 
 
 def token_ids(text: str | None, files: tuple[str, str]) -> np.ndarray:
     """Ids of a text by the tokenizer of ``files``, then the end token."""
-    exact, fast, specials = _encoders(*files)
+    fast, specials = _fast(*files)
     text = text or ""
     plain = (
         not _PLAIN.search(text) and not any(s in text for s in specials)
@@ -83,7 +90,7 @@ def token_ids(text: str | None, files: tuple[str, str]) -> np.ndarray:
     if plain:
         ids = fast.encode_to_numpy(text)
     else:
-        ids = np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        ids = np.array(_exact(files[0]).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(ids.astype("<u4"), np.uint32(END_ID))
 
 
@@ -114,8 +121,8 @@ def token_pieces(
             )
 
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return texts.mapInArrow(
-        pieces, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return map_texts(
+        texts, pieces, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

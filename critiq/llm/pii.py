@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.llm.common import SPACE, hash_fraction, packed, run_hashes
+from critiq.llm.common import SPACE, hash_fraction, map_texts, packed, run_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 20_000
@@ -314,8 +314,8 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
     share = SAMPLE_DOCS / max(1, docs.count())
     sample = docs.filter(hash_fraction(F.coalesce(F.col(id_col).cast("string"), F.lit("")), share, "pii"))
-    rows = sample.select(text_col).mapInArrow(
-        _training_windows, "kind int, order string, window binary"
+    rows = map_texts(
+        sample.select(text_col), _training_windows, "kind int, order string, window binary"
     )
     windows = []
     for kind in (0, 1):
@@ -468,7 +468,7 @@ def find_pii(
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(find, schema + ", base_sha256 string, spans string")
+    return map_texts(rows, find, schema + ", base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -510,4 +510,4 @@ def mask_pii(
                 columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return map_texts(docs, mask, docs.schema)

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.llm.common import SPACE, chunks, hash_fraction, packed, run_hashes, text_buffers
+from critiq.llm.common import (
+    SPACE, chunks, hash_fraction, map_texts, packed, run_hashes, text_buffers,
+)
 
 BUCKETS = 1 << 14
 DIMS = 24
@@ -106,7 +108,7 @@ def context_sums(docs: DataFrame, text_col: str) -> DataFrame:
         )
 
     schema = "place long, " + ", ".join(f"{n} long" for n in names)
-    rows = docs.select(text_col).mapInArrow(count, schema)
+    rows = map_texts(docs.select(text_col), count, schema)
     return rows.groupBy("place").agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -221,9 +223,8 @@ def fit_quality(
                 names=["id", "y", "x"],
             )
 
-    taken = rows.withColumn("__y", F.col("__y").cast("int")).withColumn(
-        "__id", F.col("__id").cast("long")
-    ).select("__id", "__text", "__y").mapInArrow(features, "id long, y int, x binary")
+    taken = rows.select(F.col("__id").cast("long"), "__text", F.col("__y").cast("int"))
+    taken = map_texts(taken, features, "id long, y int, x binary")
     taken = sorted((r.id, r.y, bytes(r.x)) for r in taken.collect())
     x = np.array([np.frombuffer(r[2], np.float32) for r in taken], np.float64).reshape(-1, FEATURES)
     y = np.array([r[1] for r in taken], np.float64)
@@ -261,7 +262,7 @@ def score_quality(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
         F.col(text_col).alias("text"),
     )
-    return rows.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
+    return map_texts(rows, judge, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(
@@ -276,4 +277,4 @@ def accepted(
             score = shared.value.score(batch.column(at))
             yield batch.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return map_texts(docs, sift, docs.schema)
