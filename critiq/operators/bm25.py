@@ -116,7 +116,7 @@ def bm25_search(
     pass: one counts documents per question term, one scores.
     """
     if k < 1:
-        raise ValueError("limit must be at least 1")
+        raise ValueError("k is below 1")
     if not check_document_ids(documents, id_column).isEmpty():
         raise ValueError("BM25 needs documents with present, distinct IDs")
     corpus = tokenized(documents, id_column, text_column)

@@ -36,10 +36,10 @@ class ReviewFilter:
     def __post_init__(self) -> None:
         low, high = self.min_rating, self.max_rating
         if low is not None and high is not None and low > high:
-            raise ValueError("min_rating cannot exceed max_rating")
+            raise ValueError("min_rating is above max_rating")
         first, last = self.start_date, self.end_date
         if first is not None and last is not None and first > last:
-            raise ValueError("start_date cannot be after end_date")
+            raise ValueError("start_date lies behind end_date")
 
     def condition(self) -> Column:
         """Bounds are plain comparisons, so that they reach the scan."""
@@ -153,19 +153,19 @@ def availability(reviews: DataFrame) -> DataFrame:
     )
 
 
-def has_field(reviews: DataFrame, field: str) -> bool:
-    """Does any review have the field?
+def available(reviews: DataFrame, fields: Sequence[str]) -> list[str]:
+    """Those of the fields that any review has, in their order.
 
-    Asked at plan time where the answer decides which columns a plan reads: the
-    look ends at the first value, and files without any are skipped by their
-    statistics.
+    Asked at plan time, in one aggregate of these columns, where the answer decides
+    which columns a plan reads.
     """
-    return not reviews.filter(F.col(field).isNotNull()).select(field).isEmpty()
+    held = availability(reviews).select(*[f"has_{f.lower()}" for f in fields]).head()
+    return [f for f, there in zip(fields, held, strict=True) if there]
 
 
 def first_available(reviews: DataFrame, fields: Sequence[str]) -> str | None:
     """The first of the fields that any review has."""
-    return next((field for field in fields if has_field(reviews, field)), None)
+    return next(iter(available(reviews, fields)), None)
 
 
 def kpi_row(reviews: DataFrame, criteria: ReviewFilter = ReviewFilter()) -> DataFrame:
@@ -268,7 +268,7 @@ def preview(reviews: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
     The ``tie_break`` columns let the range sort split a date that many rows share.
     """
     fields = ("Date", "Rating", "Sentiment", "Restaurant", "Country", "Title")
-    shown = [field for field in fields if has_field(reviews, field)]
+    shown = available(reviews, fields)
     order = [F.desc_nulls_last("Date")] if "Date" in shown else []
     order += [F.col(c) for c in tie_break]
     rows = reviews.select(*tie_break, *shown, "Review")

@@ -40,7 +40,7 @@ def retrieval_metrics(gold: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     from 1. Cases without gold do not count.
     """
     if k < 1:
-        raise ValueError("limit must be at least 1")
+        raise ValueError("k is below 1")
     cases = hits_per_case(gold, ranked.filter(F.col("rank") <= k))
     return cases.agg(
         _mean(F.col("found") / F.col("gold")).alias("recall_at_k"),
@@ -204,7 +204,7 @@ def answer_metrics(
         _support().alias("support"),
     )
     answerable = ~F.col("abstain")
-    no_case = F.raise_error(F.lit("evaluation requires at least one case")).cast("double")
+    no_case = F.raise_error(F.lit("there is no case to score")).cast("double")
     scores = per_case.agg(
         F.when(F.count("*") == 0, no_case)
         .otherwise(_mean(F.when(answerable, F.col("valid"))))

@@ -30,9 +30,9 @@ from critiq.operators.mapping import (
 
 # Rules in the order in which a strict run reports them.
 RULES = (
-    ("Review", "Review cannot be empty"),
-    ("Rating", "Rating must be an integer from 1 to 5"),
-    ("Date", "Date must be a valid date"),
+    ("Review", "a Review is blank"),
+    ("Rating", "a Rating is no whole number in 1..5"),
+    ("Date", "a Date is not readable"),
 )
 
 _TYPES = {"Rating": "int", "Date": "date"}
@@ -175,4 +175,4 @@ def raise_on_violations(found: DataFrame) -> None:
     counts = found.groupBy("rule_order").count().orderBy("rule_order").head(1)
     if counts:
         position, rows = counts[0]
-        raise ReviewDataError(f"{RULES[position][1]}; invalid rows: {rows}")
+        raise ReviewDataError(f"{RULES[position][1]} in {rows} rows")

@@ -126,6 +126,6 @@ def with_documents(
 def rank_top_k(scored: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows per group in a total order, with their ``rank``."""
     if k < 1:
-        raise ValueError("limit must be at least 1")
+        raise ValueError("k is below 1")
     window = Window.partitionBy(group).orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)

@@ -137,7 +137,7 @@ def vector_search(
     first lets the condition reach the scan.
     """
     if k < 1:
-        raise ValueError("limit must be at least 1")
+        raise ValueError("k is below 1")
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {', '.join(METRICS)}")
     sides = [b.sides(i) for i, b in enumerate(bounds)]

@@ -83,7 +83,7 @@ def test_bm25_normalises_and_does_not_pad(spark):
 def test_bm25_checks_its_input(spark):
     questions = _queries(spark, {1: "crispy"})
     docs = _docs(spark, {"a": ["crispy"]})
-    with pytest.raises(ValueError, match="limit"):
+    with pytest.raises(ValueError, match="k is below 1"):
         bm25_search(docs, questions, 0)
     with pytest.raises(ValueError, match="no document to rank"):
         bm25_search(docs.limit(0), questions)
@@ -144,7 +144,7 @@ def test_close_distances_far_from_the_origin(spark):
 def test_vector_search_checks_its_input(spark):
     rows = spark.createDataFrame([("a", [1.0])], "source_id string, embedding array<double>")
     asks = rows.selectExpr("1 AS query_id", "embedding")
-    with pytest.raises(ValueError, match="limit"):
+    with pytest.raises(ValueError, match="k is below 1"):
         vector_search(rows, asks, 0)
     with pytest.raises(ValueError, match="metric"):
         vector_search(rows, asks, 1, metric="hamming")

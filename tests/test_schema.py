@@ -100,10 +100,10 @@ def test_strict_reports_rules_in_order(spark):
     df = spark.createDataFrame(
         [("ok", "7", "not-a-date")], "Review string, Rating string, `Date` string"
     )
-    with pytest.raises(ReviewDataError, match="Rating must be an integer"):
+    with pytest.raises(ReviewDataError, match="Rating is no whole number"):
         normalize_reviews(df, strict=True)
     blank = spark.createDataFrame([("  ", "7")], "Review string, Rating string")
-    with pytest.raises(ReviewDataError, match="Review cannot be empty"):
+    with pytest.raises(ReviewDataError, match="Review is blank"):
         normalize_reviews(blank, strict=True)
 
 
