@@ -10,8 +10,9 @@ and have the kind's bare form: an @ between word signs, four numbers of at most
 digits that pass Luhn, or 9 to 15 digits. So it finds what a longer failing match of the base
 has swallowed.
 
-Decoding whole texts is cheap and exact: a word whose shape can't gain from any label but
-"outside", whatever its neighbours are, splits a text. Only the runs between are decoded.
+Decoding whole texts is cheap and exact: words that no best labelling can put inside a span, by
+an upper bound of what any run of words around them can gain, split a text. Only the runs
+between are decoded.
 
 Defined results: null and empty texts have no spans. Positions are code points. Repeated rows
 are treated one by one; other columns are ignored or passed on. Without any base span in the
@@ -166,14 +167,24 @@ class Field:
     def scores(self, shapes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return self.own[shapes] + self.left[before] + self.right[after] + self.bias
 
-    def settled(self) -> np.ndarray:
-        """Shapes for which "outside" is best whatever surrounds the word."""
-        gain = self.own + self.bias
-        margin = gain[:, :1] - gain
-        margin = margin + (self.left[:, :1] - self.left).min(0) + (self.right[:, :1] - self.right).min(0)
-        into = (self.steps[:, :1] - self.steps).min(0)
-        out = (self.steps[:1, :] - self.steps).min(1)
-        return (margin + into + out)[:, 1:].min(1) > 0
+    def open_words(self, scores: np.ndarray) -> np.ndarray:
+        """Words that a best labelling may put inside a span; all others are outside.
+
+        A run of words inside spans must not score less than the same run outside. Its gain is
+        at most the sum over its words of the best gain of a label, with the best transition
+        inside a run for each, and the best way in and out. A word is open if some run that
+        holds it can reach a gain of zero: the best sum that ends in the word and the best that
+        begins there follow from running extremes of one cumulative sum.
+        """
+        rest = self.steps - self.steps[0, 0]
+        inner = rest[1:, 1:].max()
+        gain = scores[:, 1:].max(1) - scores[:, 0] + inner
+        # A run at an end of the text has no way in or out.
+        spare = max(0.0, rest[0, 1:].max()) + max(0.0, rest[1:, 0].max()) - inner
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        ending = total[1:] - np.minimum.accumulate(total[:-1])
+        beginning = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
+        return ending + beginning - gain + spare > -1e-6 * (1.0 + np.abs(total[-1]))
 
 
 NO_SHAPE = SHAPES  # beyond either end of a text
@@ -357,20 +368,21 @@ class Finder:
     """All spans of texts; holds what is derived from a field."""
 
     def __init__(self, field: Field):
-        self.field, self.plain = field, field.settled()
+        self.field = field
 
     def open_runs(self, text: str) -> list[tuple[np.ndarray, ...]]:
         """Runs of words that need decoding: (scores, first bytes, last bytes)."""
         data = np.frombuffer(text.encode(), np.uint8)
         shapes, starts, ends = word_shapes(data)
-        live = np.flatnonzero(~self.plain[shapes])
-        if len(live) == 0:
+        if len(shapes) == 0:
             return []
-        before, after = _beside(shapes)
-        runs = np.split(live, np.flatnonzero(np.diff(live) > 1) + 1)
         field, made = self.field, []
-        for run in runs:
-            scores = field.scores(shapes[run], before[run], after[run])
+        every = field.scores(shapes, *_beside(shapes))
+        live = np.flatnonzero(field.open_words(every))
+        if len(live) == 0:
+            return []
+        for run in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1):
+            scores = every[run]
             # The words around a run are outside.
             if run[0] > 0:
                 scores[0] = scores[0] + field.steps[0]
