@@ -253,7 +253,9 @@ def near_duplicates(
     ))
     mark = ["mark", "mark2", "n"]
     known = F.col("doc").isNotNull() & (F.col("n") > 0)
-    equal = (
+    # Small tables are written before they are joined: Spark then broadcasts them if it may, and
+    # else can split a hot key of the large side.
+    equal = written(
         signed.filter(known).groupBy(*mark)
         .agg(F.min("doc").alias("class"), F.count("*").alias("copies"))
         .filter("copies > 1").drop("copies")
@@ -271,7 +273,7 @@ def near_duplicates(
     buckets = keys.groupBy("key").agg(
         F.min("doc").alias("head"), F.max("doc").alias("last"), F.count("*").alias("members")
     ).filter(F.col("head") < F.col("last"))
-    live = written(keys.join(buckets.drop("last"), "key"))
+    live = written(keys.join(written(buckets.drop("last")), "key"))
     dropped(keys)
     involved = written(live.select("doc").distinct())
     sizes = heads.select("doc", "n").join(involved, "doc", "left_semi").distinct()
@@ -293,7 +295,7 @@ def near_duplicates(
     ).select("key", "doc", "members", F.coalesce("label", "doc").alias("comp"))
     placed = written(placed)
     several = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    several = several.filter(F.col("c0") < F.col("c1")).select("key")
+    several = written(several.filter(F.col("c0") < F.col("c1")).select("key"))
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = (
         placed.join(several, "key").withColumn("parts", parts)
