@@ -9,8 +9,9 @@ keys. At a similarity of 0.75 a pair shares no band with a probability of 5 in a
    only the class representative goes on.
 2. In each bucket every member is held against the smallest one; the pairs are confirmed on
    full sets and joined to components.
-3. Buckets whose members are still in several components are compared in full: in blocks of
-   at most ``BLOCK`` members, so that a hot bucket is dealt to many tasks, and inside a task
+3. Buckets whose members are still in several components are compared in full, but for pairs
+   inside the largest of them: in pairs of blocks of about ``BLOCK`` members, so that a hot
+   bucket is dealt to many tasks, and inside a task
    by signature and by an upper bound of what two sets share, so that hardly other pairs than
    links leave it. They are confirmed on full sets as well. Pairs inside one component need
    no confirmation.
@@ -44,7 +45,7 @@ SIMILAR = (75, 100)
 #: Signature agreement below which a pair of round 3 isn't confirmed: 4.5 standard errors
 #: under the threshold.
 AGREEMENT = 0.58
-BLOCK = 1024
+BLOCK = 256
 FULL_BAR = 255
 _SEED = 20240917
 _STEP = 0xD6E8FEB86659FD93
@@ -215,7 +216,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs_in_block(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of a bucket block that are in different components and alike in signature."""
+    """Pairs of two blocks of a bucket that are in different components and may be links."""
     one, two = key[1].as_py(), key[2].as_py()
     docs, comps, sizes = (table[c].to_numpy() for c in ("doc", "comp", "n"))
     sides = table["side"].to_numpy()
@@ -271,7 +272,7 @@ def near_duplicates(
     keys = heads.select("doc", "signature").mapInArrow(_banded, "doc long, key long")
     keys = written(keys)
     buckets = keys.groupBy("key").agg(
-        F.min("doc").alias("head"), F.max("doc").alias("last"), F.count("*").alias("members")
+        F.min("doc").alias("head"), F.max("doc").alias("last")
     ).filter(F.col("head") < F.col("last"))
     live = written(keys.join(written(buckets.drop("last")), "key"))
     dropped(keys)
@@ -292,15 +293,28 @@ def near_duplicates(
 
     placed = live.join(
         labels.select(F.col("node").alias("doc"), F.col("label")), "doc", "left"
-    ).select("key", "doc", "members", F.coalesce("label", "doc").alias("comp"))
+    ).select("key", "doc", F.coalesce("label", "doc").alias("comp"))
     placed = written(placed)
-    several = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    several = written(several.filter(F.col("c0") < F.col("c1")).select("key"))
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    # Members of a bucket's largest component meet the others only, never each other: they lie
+    # in blocks below zero, the others in blocks from zero on.
+    several = (
+        placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        .groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"))
+        .filter(F.col("top.n") < F.col("n"))
+    )
+    several = written(several.select(
+        "key", F.col("top.comp").alias("main"),
+        F.ceil(F.col("top.n") / BLOCK).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rests"),
+    ))
+    is_main = F.col("comp") == F.col("main")
+    spread = F.xxhash64("doc")
     rows = (
-        placed.join(several, "key").withColumn("parts", parts)
-        .withColumn("side", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        placed.join(several, "key")
+        .withColumn("side", F.when(is_main, -1 - F.pmod(spread, F.col("mains")))
+                    .otherwise(F.pmod(spread, F.col("rests"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(
+            F.when(is_main, F.lit(0)).otherwise(-F.col("mains")), F.col("rests") - 1)))
         .withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
         .join(heads.dropDuplicates(["doc"]), "doc").join(sets.select("doc", "bars"), "doc")
         .select("key", "one", "two", "doc", "comp", "n", "side", "signature", "bars")
