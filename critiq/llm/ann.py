@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by inner product: multi-index hashing of learned codes.
 
-Vectors are lengthened by one component that turns the largest inner product into the smallest
-angle. Rotations learned from a bounded sample (``SAMPLE_ROWS`` rows, by hash of the id) turn
-them into binary codes: principal directions, then alternating steps that bring the rotated
-sample near its signs. A code is split into substrings. Every segment of the data has one
-table per substring, from the substring's value to the rows that have it. A query looks up
-every value within ``PROBE_RADIUS`` bits of its own in every table. By the pigeonhole
-principle this retrieves every code within ``TABLES * (PROBE_RADIUS + 1) - 1`` bits of the
-query's, and many beyond; all retrieved rows are ranked by their original vectors. Every row is
-indexed, buckets have no cap, and a bucket that holds most rows only makes a segment's scan
-longer, as rows are never paired outside a task.
+Rows are dealt into ranges of the norm, each within a factor of the square root of two. In a
+range, vectors are lengthened by one component so that all have the range's largest norm;
+queries are scaled to it. Then the largest inner product is the smallest distance, whatever the
+norms in other ranges. Both are centred at the range's mean, and rotations learned from a bounded
+sample of the range (``SAMPLE_ROWS`` rows, by hash of the id) turn them into binary codes:
+principal directions, then alternating steps that bring the rotated sample near its signs. A
+code is split into substrings. Every segment of a range has one table per substring, from the
+substring's value to the rows that have it. A query looks up every value within
+``PROBE_RADIUS`` bits of its own in every table. By the pigeonhole principle this retrieves
+every code within ``TABLES * (PROBE_RADIUS + 1) - 1`` bits of the query's, and many beyond;
+all retrieved rows are ranked by their original vectors. Where a segment gives fewer than k
+rows, the radius grows until it gives k or is read whole. Every row is indexed, buckets have no
+cap, and a bucket that holds most rows only makes a segment's scan longer, as rows are never
+paired outside a task.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take
 no part, as do rows without an id. Rows that share an id count as one, with the smallest of
@@ -20,9 +24,12 @@ Empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +77,16 @@ def lookup_masks(width: int, radius: int) -> np.ndarray:
     return np.array(made, np.int64)
 
 
+@cache
+def growing_masks(width: int, radius: int) -> list[np.ndarray]:
+    """``lookup_masks`` of every radius from the given one up to all values."""
+    every = np.arange(1 << width, dtype=np.int64)
+    bits = sum((every >> b) & 1 for b in range(width))
+    every = every[np.argsort(bits, kind="stable")]
+    ends = np.cumsum(np.bincount(bits))
+    return [every[:end] for end in ends[min(radius, width) :]]
+
+
 def segment_tables(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Per table the rows in the order of their value, and where each value begins."""
     rows, begins = [], []
@@ -96,13 +113,17 @@ def probe(value: np.ndarray, rows: np.ndarray, begins: np.ndarray, masks: np.nda
 
 def search_segment(
     q: np.ndarray, q_ids: np.ndarray, q_values: np.ndarray, vectors: np.ndarray,
-    ids: np.ndarray, rows: np.ndarray, begins: np.ndarray, masks: np.ndarray, k: int,
+    ids: np.ndarray, rows: np.ndarray, begins: np.ndarray, masks: list[np.ndarray], k: int,
 ) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows for every query; ``masks`` are those of growing radius, the last of all."""
     scores = np.full((len(q), k), -np.inf)
     found = np.full((len(q), k), ABSENT, np.int64)
     for i in range(len(q)):
-        near = probe(q_values[i], rows, begins, masks)
-        near = near[ids[near] != q_ids[i]]
+        for reach in masks:
+            near = probe(q_values[i], rows, begins, reach)
+            near = near[ids[near] != q_ids[i]]
+            if len(near) >= k or len(near) >= len(ids) - 1:
+                break
         if len(near) == 0:
             continue
         score = vectors[near] @ q[i]
@@ -115,55 +136,130 @@ def search_segment(
     return scores, found
 
 
+@dataclass
+class NormRange:
+    """Codes of the rows whose squared norms have the same binary exponent."""
+
+    longest: float
+    width: int
+    blocks: int
+    first: int  # number of the first segment
+    centre: np.ndarray | None = None
+    rotations: np.ndarray | None = None
+
+    def longer(self, vectors: np.ndarray) -> np.ndarray:
+        size = (vectors**2).sum(1)
+        rest = np.sqrt(np.maximum(0.0, self.longest - size))[:, None]
+        return np.hstack([vectors, rest])
+
+    def learned(self, sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Centre and rotations; without finite squares all rows get the same code."""
+        wide = self.longer(sample)
+        centre = wide.mean(0) if len(wide) else np.zeros(wide.shape[1])
+        if not np.isfinite(wide).all() or not np.isfinite(self.longest):
+            return np.zeros(wide.shape[1]), np.zeros((wide.shape[1], bits), np.float32)
+        unit = math.sqrt(self.longest) or 1.0
+        return centre, learn_rotations((wide - centre) / unit, bits)
+
+    def data_values(self, vectors: np.ndarray) -> np.ndarray:
+        return self.values(self.longer(vectors))
+
+    def query_values(self, vectors: np.ndarray) -> np.ndarray:
+        size = np.sqrt((vectors**2).sum(1))[:, None]
+        scaled = vectors * (math.sqrt(self.longest) / np.where(size > 0, size, 1.0))
+        return self.values(np.hstack([scaled, np.zeros_like(size)]))
+
+    def values(self, wide: np.ndarray) -> np.ndarray:
+        unit = math.sqrt(self.longest) or 1.0
+        return substrings((wide - self.centre) / unit, self.rotations, self.width)
+
+
+def norm_ranges(items: DataFrame, dims: int, tables: int) -> dict[int, NormRange]:
+    """Ranges by the binary exponent of the squared norm (column ``power``) of all rows."""
+    facts = items.groupBy("power").agg(
+        F.count("*").alias("rows"), F.max("size").alias("longest")
+    ).orderBy("power").collect()
+    ranges: dict[int, NormRange] = {}
+    first = 0
+    for r in facts:
+        blocks = block_count(r.rows, SEGMENT_ROWS)
+        width = min(16, max(4, int(math.log2(max(2, r.rows / blocks)))))
+        ranges[r.power] = NormRange(r.longest, width, blocks, first)
+        first += blocks
+    if not facts:
+        return ranges
+    taken = F.lit(False)
+    for r in facts:
+        some = hash_fraction(F.col("item"), SAMPLE_ROWS / r.rows, "ann")
+        taken = F.when(F.col("power") == r.power, some).otherwise(taken)
+
+    def learn(key: tuple, table: pa.Table) -> pa.Table:
+        power = key[0].as_py()
+        sample = np.zeros((table.num_rows, dims))
+        order = np.argsort(table["item"].to_numpy(), kind="stable")
+        for i, j in enumerate(order):
+            vec = table["vec"][int(j)].as_py()
+            sample[i, : len(vec)] = vec
+        centre, turned = ranges[power].learned(sample, tables * ranges[power].width)
+        return pa.table({
+            "power": pa.array([power], pa.int32()), "centre": pa.array([packed(centre)]),
+            "rotations": pa.array([packed(turned)]),
+        })
+
+    learned = items.filter(taken).select("power", "item", "vec").groupBy("power").applyInArrow(
+        learn, "power int, centre binary, rotations binary"
+    )
+    for r in learned.collect():
+        ranges[r.power].centre = np.frombuffer(r.centre, np.float64)
+        ranges[r.power].rotations = np.frombuffer(r.rotations, np.float32).reshape(dims + 1, -1)
+    for x in ranges.values():
+        if x.rotations is None:  # no row was sampled
+            x.centre, x.rotations = x.learned(np.zeros((0, dims)), tables * x.width)
+    return ranges
+
+
 def nearest(
     queries: DataFrame, data: DataFrame, k: int = 20, tables: int = TABLES,
     radius: int = PROBE_RADIUS, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """The k nearest rows found for every query: query_id, rank, vec_id, score."""
     alive = F.exists("vec", lambda x: x != 0)
-    items = written(clean_vectors(data, id_col, vector_col).filter(alive))
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    facts = items.agg(
-        F.count("*").alias("rows"), F.max(F.size("vec")).alias("dims"),
-        F.max(square).alias("longest"),
-    ).first()
-    dims, longest = facts.dims or 1, facts.longest or 1.0
-    blocks = block_count(facts.rows, SEGMENT_ROWS)
-    width = min(16, max(4, int(math.log2(max(2, facts.rows / blocks)))))
-    sampled = items.filter(hash_fraction(F.col("item"), SAMPLE_ROWS / max(1, facts.rows), "ann"))
-    sample = np.zeros((0, dims))
-    taken = sampled.orderBy("item").select("vec").limit(2 * SAMPLE_ROWS).collect()
-    if taken:
-        sample = np.zeros((len(taken), dims))
-        for i, r in enumerate(taken):
-            sample[i, : len(r.vec)] = r.vec
-
-    def longer(vectors: np.ndarray, asked: bool) -> np.ndarray:
-        size = (vectors**2).sum(1)
-        rest = np.sqrt(np.maximum(0.0, longest - size))[:, None]
-        return np.hstack([vectors, np.zeros_like(rest) if asked else rest])
-
-    rotations = learn_rotations(longer(sample, False), tables * width)
-    masks = lookup_masks(width, radius)
+    size = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    items = clean_vectors(data, id_col, vector_col).filter(alive).withColumn("size", size)
+    power = F.floor(F.log2(F.greatest("size", F.lit(5e-324)))).cast("int")
+    items = written(items.withColumn("power", power))
+    dims = items.agg(F.max(F.size("vec"))).first()[0] or 1
+    ranges = norm_ranges(items, dims, tables)
+    blocks = max(1, sum(r.blocks for r in ranges.values()))
+    shared = items.sparkSession.sparkContext.broadcast(ranges)
+    segment, range_of = F.lit(0), {0: next(iter(ranges), 0)}
+    for p, r in ranges.items():
+        place = F.lit(r.first) + F.pmod(F.xxhash64("item"), F.lit(r.blocks)).cast("int")
+        segment = F.when(F.col("power") == p, place).otherwise(segment)
+        range_of |= {r.first + i: p for i in range(r.blocks)}
 
-    def pack_data(ids: np.ndarray, vectors: np.ndarray, _: int) -> dict:
-        rows, begins = segment_tables(substrings(longer(vectors, False), rotations, width), width)
-        return {"ids": packed(ids), "vectors": packed(vectors), "rows": packed(rows),
-                "begins": packed(begins)}
+    def pack_data(ids: np.ndarray, vectors: np.ndarray, number: int) -> dict:
+        names = "ids", "vectors", "rows", "begins", "power"
+        own = shared.value.get(range_of[number])
+        if own is None:
+            return dict.fromkeys(names, b"")
+        rows, begins = segment_tables(own.data_values(vectors), own.width)
+        held = ids, vectors, rows, begins, np.array([range_of[number]])
+        return {n: packed(x) for n, x in zip(names, held, strict=True)}
 
     def pack_queries(ids: np.ndarray, vectors: np.ndarray, _: int) -> dict:
-        values = substrings(longer(vectors, True), rotations, width)
-        return {"ids": packed(ids), "vectors": packed(vectors), "codes": packed(values)}
+        return {"ids": packed(ids), "vectors": packed(vectors)}
 
     def kernel(q: dict, d: dict) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(d["ids"], np.int64)
+        own = shared.value[int(np.frombuffer(d["power"], np.int64)[0])]
+        asked = np.frombuffer(q["vectors"], np.float64).reshape(-1, dims)
         return search_segment(
-            np.frombuffer(q["vectors"], np.float64).reshape(-1, dims),
-            np.frombuffer(q["ids"], np.int64),
-            np.frombuffer(q["codes"], np.int64).reshape(-1, tables),
+            asked, np.frombuffer(q["ids"], np.int64), own.query_values(asked),
             np.frombuffer(d["vectors"], np.float64).reshape(-1, dims), ids,
             np.frombuffer(d["rows"], np.int32).reshape(tables, len(ids)),
-            np.frombuffer(d["begins"], np.int32).reshape(tables, -1), masks, k,
+            np.frombuffer(d["begins"], np.int32).reshape(tables, -1),
+            growing_masks(own.width, radius), k,
         )
 
     asked = clean_vectors(queries, id_col, vector_col).filter(alive)
@@ -171,6 +267,6 @@ def nearest(
     q_blocks = block_count(asked.count(), QUERY_ROWS)
     return block_search(
         packed_blocks(asked, q_blocks, pack_queries, dims),
-        packed_blocks(items, blocks, pack_data, dims),
+        packed_blocks(items.select("item", "vec", "power"), blocks, pack_data, dims, segment),
         blocks, kernel, k, "double",
     )

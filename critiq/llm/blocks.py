@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query blocks whose results a task holds before it hands the oldest on.
@@ -34,13 +34,16 @@ def block_count(rows: int, per_block: int) -> int:
 
 
 def packed_blocks(
-    df: DataFrame, blocks: int, pack: Callable[[np.ndarray, np.ndarray, int], dict], dims: int
+    df: DataFrame, blocks: int, pack: Callable[[np.ndarray, np.ndarray, int], dict], dims: int,
+    block: Column | None = None,
 ) -> DataFrame:
     """One row per block: ids and what ``pack(ids, vectors, dims)`` makes of its vectors.
 
-    Vectors shorter than ``dims`` are filled up with zeros.
+    Vectors shorter than ``dims`` are filled up with zeros. Where the caller tells the number
+    of a row's ``block``, ``pack`` gets that number in place of ``dims``.
     """
-    names = list(pack(np.zeros(1, np.int64), np.zeros((1, dims)), dims))
+    told = block is not None
+    names = list(pack(np.zeros(1, np.int64), np.zeros((1, dims)), 0 if told else dims))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         ids = table["item"].to_numpy()
@@ -53,14 +56,15 @@ def packed_blocks(
         else:
             vectors[np.arange(dims)[None, :] < lengths[:, None]] = flat
         order = np.argsort(ids, kind="stable")
-        made = pack(ids[order], vectors[order], dims)
+        made = pack(ids[order], vectors[order], key[0].as_py() if told else dims)
         return pa.table(
             {"block": pa.array([key[0].as_py()], pa.int32())}
             | {n: pa.array([made[n]], pa.binary()) for n in names}
         )
 
     schema = "block int, " + ", ".join(f"{n} binary" for n in names)
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
+    if block is None:
+        block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
     return df.withColumn("block", block).groupBy("block").applyInArrow(build, schema)
 
 

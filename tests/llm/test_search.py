@@ -164,3 +164,40 @@ def test_recall_on_the_given_vectors(spark):
     got = as_dict(found)
     hits = sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in asked)
     assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_recall_with_mixed_norms_and_an_outlier(spark, monkeypatch):
+    """One vector of norm 100 among others whose norms differ by a factor of 25."""
+    monkeypatch.setattr(ann, "SEGMENT_ROWS", 700)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x * np.exp(rng.uniform(np.log(0.2), np.log(5.0), (1500, 1)))
+    x[7] *= 100 / np.linalg.norm(x[7])
+    x = x.astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(1500)]
+    data = table(spark, rows)
+    found = as_dict(ann.nearest(data.filter("vec_id % 20 = 0"), data, k=20))
+    wide = x.astype(np.float64)
+    hits = 0
+    for q in range(0, 1500, 20):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        order = np.lexsort((np.arange(1500), -score))[:20]
+        assert [r for r, *_ in found[q]] == list(range(1, 21))
+        hits += len({i for _, i, _ in found[q]} & set(order.tolist()))
+    assert hits >= 0.9 * 20 * 75
+
+
+def test_queries_get_k_rows_where_they_exist(spark):
+    """Opposite vectors share no bucket within reach."""
+    rows = [(i, [1.0 + i / 1000] * 32) for i in range(40)] + [(99, [-1.0] * 32)]
+    data = table(spark, rows)
+    found = as_dict(ann.nearest(data.filter("vec_id = 99"), data, k=20))
+    assert [r for r, *_ in found[99]] == list(range(1, 21))
+
+
+def test_masks_grow_to_all_values():
+    grown = ann.growing_masks(6, 2)
+    assert sorted(grown[0].tolist()) == sorted(ann.lookup_masks(6, 2).tolist())
+    assert len(grown) == 5 and sorted(grown[-1].tolist()) == list(range(64))
