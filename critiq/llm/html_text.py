@@ -2,10 +2,13 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by what is around
 them (a zone of content or of page furniture, told from tags, roles and class names), by link
-density, and otherwise by length and stop-word density. Short or middling blocks stay open; in
-the second pass they inherit the label of the nearest decided blocks on both sides, headings that of
-the next one. Inside a content zone only blocks of content zones are neighbours, and an open
-block whose neighbours are absent or differ stays; elsewhere its stop words decide then.
+density, length and stop-word density. A content zone lowers what a block needs: inside, a
+block of some length is kept unless it lacks stop words by more than chance explains at the rate
+of the page's zones, links adding to the doubt; outside, it needs length and stop words, whether the page has a content zone or not. Short or
+middling blocks stay open; in the second pass they inherit the label of the nearest decided
+blocks on both sides, headings that of the next one. Blocks inside and outside content zones are
+no neighbours of each other. An open block whose neighbours are absent or differ stays inside a
+content zone; elsewhere its stop words decide then, of which it needs more on a page with a zone.
 
 Defined results: null and empty html, and pages without main text, give the empty string.
 Unclosed comments, scripts and tags run to the end of the page. Repeated rows are treated one
@@ -14,6 +17,7 @@ by one; other columns are ignored. Each page is handled on its own, whole, in it
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,6 +31,7 @@ from critiq.llm.common import map_texts
 SHORT = 70
 LONG = 200
 LOW_STOPS, HIGH_STOPS = 0.15, 0.30
+DOUBT, LINK_WEIGHT = 4.5, 8.0
 LINKED = 0.5
 LINKED_LOOSE = 0.2
 
@@ -210,42 +215,54 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def _stop_density(text: str) -> float:
+def _stop_count(text: str) -> tuple[int, int]:
+    """Stop words and words."""
     words = _WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _stop_density(text: str) -> float:
+    stops, words = _stop_count(text)
+    return stops / words if words else 0.0
 
 
 def decide(found: list[Block]) -> None:
     """First pass: labels 1 and 0, or None where a block stays open."""
-    zoned = any(b.zone > 0 for b in found)
-    for b in found:
+    counts = [_stop_count(b.text) if len(b.text) >= SHORT else (0, 0) for b in found]
+    within = [c for b, c in zip(found, counts, strict=True) if b.zone > 0]
+    usual = sum(k for k, _ in within) / max(1, sum(n for _, n in within))
+    for b, (k, n) in zip(found, counts, strict=True):
+        x = k / max(1, n)
         solid = sum(map(len, b.text.split()))
         density = b.linked / solid if solid else 0.0
         if b.zone < 0 or density > LINKED:
             b.label = 0
         elif b.zone > 0:
-            b.label = 1 if len(b.text) >= SHORT else None
-        elif zoned or density > LINKED_LOOSE:
+            if len(b.text) < SHORT:
+                b.label = None
+            else:
+                spread = math.sqrt(n * usual * (1 - usual))
+                lack = (n * usual - k) / spread if spread and x < LOW_STOPS else 0.0
+                b.label = 0 if lack and lack + LINK_WEIGHT * density > DOUBT else 1
+        elif density > LINKED_LOOSE:
             b.label = 0
         elif len(b.text) < SHORT:
             b.label = None
+        elif x >= HIGH_STOPS and len(b.text) >= LONG:
+            b.label = 1
         else:
-            stops = _stop_density(b.text)
-            if stops >= HIGH_STOPS and len(b.text) >= LONG:
-                b.label = 1
-            else:
-                b.label = None if stops >= LOW_STOPS else 0
+            b.label = None if x >= LOW_STOPS else 0
 
 
-def _nearest(found: list[Block], content: bool) -> tuple[list, list]:
-    """Labels of the nearest decided blocks before and after each block."""
+def _nearest(found: list[Block], zones: tuple[int, ...]) -> tuple[list, list]:
+    """Labels of the nearest decided blocks of some zones before and after each block."""
     sides = []
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):
         near, last = [None] * len(found), None
         for i in order:
             near[i] = last
             b = found[i]
-            if b.label is not None and (b.zone > 0 or not content):
+            if b.label is not None and b.zone in zones:
                 last = b.label
         sides.append(near)
     return sides[0], sides[1]
@@ -253,7 +270,9 @@ def _nearest(found: list[Block], content: bool) -> tuple[list, list]:
 
 def inherit(found: list[Block]) -> None:
     """Second pass: open blocks take the label of the nearest decided neighbours."""
-    sides = {zoned: _nearest(found, zoned) for zoned in (False, True)}
+    zoned = any(b.zone > 0 for b in found)
+    sides = {True: _nearest(found, (1,)), False: _nearest(found, (-1, 0))}
+    least = HIGH_STOPS if zoned else LOW_STOPS
     labels = [b.label for b in found]
     for i, b in enumerate(found):
         if b.label is not None:
@@ -265,11 +284,13 @@ def inherit(found: list[Block]) -> None:
             labels[i] = before
         elif b.zone > 0:
             labels[i] = 1
+        elif zoned:
+            labels[i] = int(len(b.text) >= SHORT and _stop_density(b.text) >= least)
         elif before is None or after is None:
             told = after if before is None else before
-            labels[i] = told if told is not None else int(_stop_density(b.text) >= LOW_STOPS)
+            labels[i] = told if told is not None else int(_stop_density(b.text) >= least)
         else:
-            labels[i] = int(_stop_density(b.text) >= LOW_STOPS)
+            labels[i] = int(_stop_density(b.text) >= least)
     for b, label in zip(found, labels, strict=True):
         b.label = label
 

@@ -51,6 +51,22 @@ def test_pages_without_zones_go_by_density():
     assert main_text(html) == f"A day in town\n{LONG}\nShort.\n{LONG}"
 
 
+TEASER = "A teaser for the other story of the day, which is told in another place of this site."
+LIST = "Sofas Lamps Tables Chairs Carpets Shelves Mirrors Curtains Cushions Wardrobes " * 5
+
+
+@pytest.mark.parametrize("mark", ["<article>", "<div class=text>"])
+def test_articles_outside_the_marked_block(mark):
+    html = (f"<body><h1>A day in town</h1><p>{LONG}</p><p>{STORY}</p><p>{LONG}</p><p>Jobs</p>"
+            f"{mark}{TEASER}{mark[0]}/{mark[1:].split()[0].strip('>')}></body>")
+    assert main_text(html) == f"A day in town\n{LONG}\n{STORY}\n{LONG}\n{TEASER}"
+
+
+def test_adverts_inside_the_zone():
+    html = f"<article><p>{LONG}</p><p>{LIST}</p><p>{LONG}</p><p>{STORY}</p></article>"
+    assert main_text(html) == f"{LONG}\n{LONG}\n{STORY}"
+
+
 def test_very_long_pages_take_linear_time():
     html = "<article>" + "<p>word</p>" * 50_000 + "</article>"
     assert main_text(html).count("\n") == 49_999
