@@ -10,6 +10,10 @@ blocks on both sides, headings that of the next one. Blocks inside and outside c
 no neighbours of each other. An open block whose neighbours are absent or differ stays inside a
 content zone; elsewhere its stop words decide then, of which it needs more on a page with a zone.
 
+Classes and ids name furniture as whole words or with words of place, as in ``site-footer``.
+Forms and such names are evidence only: on a page that has no other text, they count for
+nothing where that brings up a block of some length that is rich in stop words.
+
 Defined results: null and empty html, and pages without main text, give the empty string.
 Unclosed comments, scripts and tags run to the end of the page. Repeated rows are treated one
 by one; other columns are ignored. Each page is handled on its own, whole, in its task.
@@ -70,13 +74,23 @@ _ENDS_P = _BLOCKS - {"option", "optgroup", "legend", "caption"}
 _FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu".split()
 )
-_FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banners?|sponsor(?:ed|s)?|"
-    r"promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|sidebars?|"
-    r"side|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|"
-    r"commentlist|replies|reply|respond|disqus|discussion|social|share|sharing|related|"
-    r"recommended|newsletter|subscribe|subscription|signup|login|widgets?|pagination|pager|"
-    r"tags?|tagcloud|search|copyright|disclaimer|skip|header)(?:$|[\s_-])"
+_FURNITURE_NAMES = frozenset(
+    """
+    ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored
+    sponsors promo promos promotion promotions cookie cookies consent gdpr notice notices alert
+    alerts popup popups modal overlay sidebar sidebars side menu menus nav navbar navigation
+    breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist replies
+    reply respond disqus discussion social share sharing related recommended newsletter subscribe
+    subscription signup login widget widgets pagination pager tag tags tagcloud search copyright
+    disclaimer skip header
+    """.split()
+)
+#: Parts that say nothing of their own beside a word of furniture.
+_PLACE_NAMES = frozenset(
+    """
+    area bar block bottom box buttons cloud column container form global group inner items left
+    link links list main outer primary right secondary section site slot top unit wrap wrapper
+    """.split()
 )
 _CONTENT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:articles?|content|main|post|entry|story|body|text)(?:$|[\s_-])"
@@ -106,13 +120,25 @@ class Block:
     label: int | None = None
 
 
-def _zone(name: str, tag: str, outer: int) -> int:
-    """Zone inside a tag: furniture holds all that is in it, content may hold furniture."""
+def _names_furniture(value: str) -> bool:
+    """Whether some class or id, as a whole, names furniture: ``site-footer``, not ``has-sidebar``."""
+    for token in value.split():
+        parts = {x for x in re.split("[_-]", token) if x and not x.isdigit()}
+        if parts & _FURNITURE_NAMES and parts <= _FURNITURE_NAMES | _PLACE_NAMES:
+            return True
+    return False
+
+
+def _zone(name: str, tag: str, outer: int, marked: bool = True) -> int:
+    """Zone inside a tag: furniture holds all that is in it, content may hold furniture.
+
+    Without ``marked``, forms and names of furniture count for nothing.
+    """
     if outer < 0:
         return outer
     if name in _PAGE:
         return outer
-    if name in _FURNITURE or (name == "header" and outer < 1):
+    if (name in _FURNITURE and (marked or name != "form")) or (name == "header" and outer < 1):
         return -1
     zone = 1 if name in _CONTENT else outer
     if "=" not in tag and "hidden" not in tag:
@@ -120,7 +146,7 @@ def _zone(name: str, tag: str, outer: int) -> int:
     for m in _ATTRIBUTE.finditer(tag, len(name) + 1):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            if name not in _CONTENT and _FURNITURE_NAMES.search(value) and not (
+            if marked and name not in _CONTENT and _names_furniture(value) and not (
                 name == "header" and outer > 0
             ):
                 return -1
@@ -138,8 +164,8 @@ def _zone(name: str, tag: str, outer: int) -> int:
     return zone
 
 
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order."""
+def blocks(html: str, marked: bool = True) -> list[Block]:
+    """The text blocks of a page in order; ``marked`` as in ``_zone``."""
     found: list[Block] = []
     stack: list[tuple[str, int]] = []
     zone, links, block = 0, 0, Block(0, False)
@@ -202,7 +228,7 @@ def blocks(html: str) -> list[Block]:
                     break
         if name == "a":
             links += 1
-        inner = _zone(name, tag, zone)
+        inner = _zone(name, tag, zone, marked)
         if name not in _VOID and not tag.endswith("/>"):
             stack.append((name, zone))
             zone = inner
@@ -298,6 +324,12 @@ def inherit(found: list[Block]) -> None:
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     decide(found)
+    if not any(b.label for b in found):
+        opened = blocks(html or "", marked=False)
+        decide(opened)
+        if any(b.label and len(b.text) >= SHORT and _stop_density(b.text) >= HIGH_STOPS
+               for b in opened):
+            found = opened
     inherit(found)
     return "\n".join(b.text for b in found if b.label)
 

@@ -67,6 +67,24 @@ def test_adverts_inside_the_zone():
     assert main_text(html) == f"{LONG}\n{LONG}\n{STORY}"
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='content has-sidebar'>", "<div class='page with-comments'>", "<form action=/x>",
+     "<div class='post tag-news'>", "<div class=sidebar><div>", "<div id=comments>"],
+)
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_with_names_of_furniture(wrapper, inner):
+    html = (f"<body><nav>Home News</nav>{wrapper}<{inner}><p>{LONG}</p><p>{STORY}</p></{inner}>"
+            f"</div></form><footer>{LONG}</footer></body>")
+    assert main_text(html) == f"{LONG}\n{STORY}"
+
+
+def test_headline_in_a_named_header():
+    html = (f"<article><div class='post-header'><h1>A day in town</h1></div><p>{LONG}</p>"
+            f"<div class='site-footer'>{LONG}</div><div class='ad-slot-3'>{LONG}</div></article>")
+    assert main_text(html) == f"A day in town\n{LONG}"
+
+
 def test_very_long_pages_take_linear_time():
     html = "<article>" + "<p>word</p>" * 50_000 + "</article>"
     assert main_text(html).count("\n") == 49_999
