@@ -2,7 +2,8 @@
 
 A source's weight is its token share to the power of an exponent, normalised. The exponent is
 bisected (``POINTS`` trial values per pass over the table of sources) to the most even mix that
-repeats no source more than a limit, or to a given entropy. The token budget, by default the
+repeats no source more than a limit, or to a given entropy, beyond 1 if that is below the
+entropy of the natural shares; a target that no exponent meets is an error. The token budget, by default the
 least that draws the largest source once and so leaves out no document, times the weights
 gives each source its tokens. They are realised as block permutations: a source's documents lie
 in ``BLOCKS`` blocks by hash; each epoch has its own order of blocks and of rows inside blocks.
@@ -58,26 +59,44 @@ def _row_order(key: Column, epoch: Column) -> Column:
 def solve_exponent(
     shares: DataFrame, budget_share: float | None, max_repeats: float | None, entropy: float | None
 ) -> float:
-    """The exponent in [0, 1] for a table of (share), by repeated division of the bracket."""
+    """The exponent for a table of (share), by repeated division of the bracket.
+
+    It lies in [0, 1], or above 1 where an entropy asks for it. Raises ``ValueError`` where no
+    exponent meets the target.
+    """
     low, high = 0.0, 1.0
     least, most = shares.agg(F.min("share"), F.max("share")).first()
     if least is None:
         return 1.0
-    for _ in range(PASSES):
-        tried = np.linspace(low, high, POINTS + 2)
+    unit = most if entropy is not None else 1.0  # keeps high powers from vanishing
+
+    def met(tried: np.ndarray, spare: float = 0.0) -> list[bool]:
         sums = []
         for x in tried:
-            power = F.pow("share", F.lit(float(x)))
-            sums += [F.sum(power), F.sum(power * F.log("share"))]
+            ratio = F.col("share") / F.lit(float(unit))
+            power = F.pow(ratio, F.lit(float(x)))
+            sums += [F.sum(power), F.sum(power * F.log(ratio))]
         row = shares.agg(*sums).first()
         fits = []
         for i, x in enumerate(tried):
             total, logs = row[2 * i], row[2 * i + 1]
             if entropy is not None:
-                fits.append(np.log(total) - x * logs / total <= entropy)
+                fits.append(np.log(total) - x * logs / total <= entropy + spare)
             else:
                 budget = budget_share / total if budget_share else most ** (1.0 - x)
-                fits.append(budget * least ** (x - 1.0) <= max_repeats)
+                fits.append(budget * least ** (x - 1.0) <= max_repeats + spare)
+        return fits
+
+    # At 1 all sources repeat alike; beyond it, the largest repeats more. Entropy falls on.
+    reach = 2.0 ** np.arange(0, 1 if entropy is None else 60)
+    first = next((i for i, f in enumerate(met(reach, 1e-9)) if f), None)
+    if first is None:
+        raise ValueError("no exponent meets the target of the mix")
+    high = float(reach[first])
+    low = high / 2 if first else 0.0
+    for _ in range(PASSES):
+        tried = np.linspace(low, high, POINTS + 2)
+        fits = met(tried)
         # Both measures fall as the exponent grows: the first that fits ends the bracket.
         first = next((i for i, f in enumerate(fits) if f), len(tried) - 1)
         low, high = float(tried[max(0, first - 1)]), float(tried[first])
@@ -109,12 +128,12 @@ def plan_mix(
     total = sizes.agg(F.sum("size")).first()[0] or 0
     shares = sizes.withColumn("share", F.col("size") / F.lit(float(max(1, total))))
     exponent = solve_exponent(shares, budget_share, max_repeats, entropy)
-    raised = F.pow("share", F.lit(exponent))
-    norm, most = shares.agg(F.sum(raised), F.max("share")).first()
-    repeats = (
-        F.pow("share", F.lit(exponent - 1.0)) * F.lit(budget_share / norm) if budget_share and norm
-        else F.pow(F.col("share") / F.lit(most or 1.0), F.lit(exponent - 1.0))
-    )
+    most = shares.agg(F.max("share")).first()[0] or 1.0
+    ratio = F.col("share") / F.lit(most)  # keeps high powers from vanishing
+    norm = shares.agg(F.sum(F.pow(ratio, F.lit(exponent)))).first()[0]
+    repeats = F.pow(ratio, F.lit(exponent - 1.0))
+    if budget_share and norm:
+        repeats = repeats * F.lit(budget_share / (norm * most))
     target = F.floor(F.col("size") * repeats + 1e-6)
     lines = written(shares.select(
         "__source", "size", target.alias("target"),

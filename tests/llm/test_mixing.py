@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from critiq.llm.mixing import mix_sources, mixed_rows, plan_mix
+from critiq.llm.mixing import mix_sources, mixed_rows, plan_mix, solve_exponent
 
 DOCS = "doc_id long, text string, source string, epochs int, `end` int, block int"
 
@@ -111,3 +111,17 @@ def test_odd_rows_and_columns(spark):
     assert Counter(r.doc_id for r in mix_sources(docs).collect()) == times
     with pytest.raises(ValueError):
         plan_mix(docs, max_repeats=2.0, entropy=1.0)
+
+
+def test_targets_beyond_the_natural_shares(spark):
+    shares = spark.createDataFrame([(0.6,), (0.3,), (0.1,)], "share double")
+    x = solve_exponent(shares, None, None, 0.3)
+    w = [s**x for s in (0.6, 0.3, 0.1)]
+    w = [y / sum(w) for y in w]
+    assert x > 1 and abs(-sum(y * math.log(y) for y in w) - 0.3) < 1e-6
+    even = spark.createDataFrame([(0.5,), (0.5,)], "share double")
+    with pytest.raises(ValueError):
+        solve_exponent(even, None, None, 0.3)
+    with pytest.raises(ValueError):
+        solve_exponent(shares, 3.0, 2.0, None)
+    assert solve_exponent(shares, 2.0, 2.0, None) == 1.0
