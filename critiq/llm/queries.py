@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from critiq.llm.ann import nearest
 from critiq.llm.common import read_table
+from critiq.llm.exact_dup import exact_duplicates
 from critiq.llm.exact_topk import exact_topk
 from critiq.llm.html_text import extract_text
 from critiq.llm.lm_score import fit_lm, score_lm
@@ -94,6 +95,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equal texts."""
+    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_html_text": op2_html_text,
@@ -105,6 +111,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
+    "op13_exact_dup": op13_exact_dup,
 }
 
 LLM_ORACLES: dict[str, str] = {
@@ -231,4 +238,14 @@ LLM_ORACLES: dict[str, str] = {
                d.doc_id = k.component_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)
     """,
+    "op13_exact_dup": r"""
+        WITH n AS (
+            SELECT doc_id,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
+            FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM n WINDOW w AS (PARTITION BY t)
+    """,
 }
