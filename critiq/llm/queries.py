@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from critiq.llm.ann import nearest
 from critiq.llm.common import read_table
+from critiq.llm.conversations import damaged, repaired
 from critiq.llm.exact_dup import exact_duplicates
 from critiq.llm.exact_topk import exact_topk
 from critiq.llm.html_text import extract_text
@@ -19,6 +20,7 @@ from critiq.llm.packing import pack
 from critiq.llm.pii import find_pii, fit_pii
 from critiq.llm.quality import fit_quality, score_quality
 from critiq.llm.url_rules import judge_urls
+from critiq.llm.whitening import whitened_rows
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +97,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with its faults and its cheapest repair."""
+    rows = read_table(spark, sf_dir, "conversations")
+    return repaired(damaged(rows), rows)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen uncorrelated components of every embedding."""
+    return whitened_rows(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its equal texts."""
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
@@ -111,6 +124,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
+    "op11_conversations": op11_conversations,
+    "op12_whitening": op12_whitening,
     "op13_exact_dup": op13_exact_dup,
 }
 

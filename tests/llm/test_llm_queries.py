@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert [x for x in LLM_QUERIES if x.startswith(f"op{n}_")], n
     assert set(LLM_QUERIES) | {"pipeline"} <= names
 
@@ -22,8 +22,12 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", [n for n in LLM_QUERIES if n not in LLM_ORACLES])
 def test_query_covers_its_table(spark, name):
     rows = LLM_QUERIES[name](spark, SF).toPandas()
-    key, table = ("query_id", "embeddings") if name == "op6_ann" else (
-        ("page_id", "pages") if name == "op2_html_text" else ("doc_id", "documents"))
+    key, table = {
+        "op2_html_text": ("page_id", "pages"),
+        "op6_ann": ("query_id", "embeddings"),
+        "op11_conversations": ("conv_id", "conversations"),
+        "op12_whitening": ("vec_id", "embeddings"),
+    }.get(name, ("doc_id", "documents"))
     given = spark.read.parquet(f"{SF}/{table}.parquet").toPandas()
     ids = set(given[given.columns[0]])
     want = {i for i in ids if i % 20 == 0} if name == "op6_ann" else ids
