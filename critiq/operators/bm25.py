@@ -25,7 +25,9 @@ _EVERY = ""
 
 
 def tokenized(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return documents.select(id_column, tokens(F.col(text_column)).alias("tokens"))
+    """``id, tokens``; a document without text has none, and is a document."""
+    words = F.coalesce(tokens(F.col(text_column)), F.array().cast("array<string>"))
+    return documents.select(id_column, words.alias("tokens"))
 
 
 def query_terms(queries: DataFrame, query_column: str, text_column: str) -> DataFrame:

@@ -89,22 +89,33 @@ def _directions(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
 
 
-def _distances(rows: np.ndarray, queries: np.ndarray, metric: str, k: int) -> np.ndarray:
-    """Distances rows x queries; pairs that cannot be among the k best are inf."""
-    if metric == "ip":
-        return 1.0 - rows @ queries.T
-    if metric == "cosine":
-        return 1.0 - _directions(rows) @ _directions(queries).T
+def _distances(
+    rows: np.ndarray, queries: np.ndarray, metric: str, k: int, met: np.ndarray | None = None
+) -> np.ndarray:
+    """Distances rows x queries; pairs that cannot be among the k best are inf.
+
+    ``met`` tells which pairs count at all.
+    """
+    if metric in ("ip", "cosine"):
+        if metric == "cosine":
+            rows, queries = _directions(rows), _directions(queries)
+        out = 1.0 - rows @ queries.T
+        if met is not None:
+            out[~met] = np.inf
+        return out
     # The expanded square loses digits to cancellation: use it, with a margin,
     # only to find the pairs worth the plain sum of squared differences.
     size = (rows**2).sum(axis=1)[:, None] + (queries**2).sum(axis=1)[None, :]
     rough = size - 2.0 * (rows @ queries.T)
     margin = 1e-12 * size
+    if met is not None:
+        rough[~met] = np.inf
     out = np.full(rough.shape, np.inf)
     limit = np.inf
     if len(rows) > k:
         limit = np.partition(rough + margin, k - 1, axis=0)[k - 1]
-    d, q = np.nonzero(rough - margin <= limit)
+    close = rough - margin <= limit
+    d, q = np.nonzero(close if met is None else close & met)
     for start in range(0, len(d), 65_536):
         i, j = d[start : start + 65_536], q[start : start + 65_536]
         out[i, j] = ((rows[i] - queries[j]) ** 2).sum(axis=1)
@@ -190,10 +201,13 @@ def _search_pass(
                 step = max(1, _CELLS // max(len(block), rows.shape[1]))
                 for start in range(0, len(rows), step):
                     part = rows[start : start + step]
-                    distance = _distances(part, block, metric, len(rows) if bounds else k)
+                    met = None
                     for b, value, limit in zip(bounds, values, limit_of, strict=True):
-                        met = b.met(value[start : start + len(part)], limit[first : first + _BLOCK])
-                        distance[~met] = np.inf
+                        fits = b.met(
+                            value[start : start + len(part)], limit[first : first + _BLOCK]
+                        )
+                        met = fits if met is None else met & fits
+                    distance = _distances(part, block, metric, k, met)
                     yield batch.column(0).slice(start, len(part)), first, -distance
 
     return scan(corpus, id_column, queries.schema[query_column], query_ids, score, k)

@@ -16,7 +16,9 @@ from critiq.operators.documents import build_documents, metadata_entries
 from critiq.operators.evaluate import evaluate_answers, evaluate_bm25, retrieval_observations
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews, violations
+from critiq.operators.postings import search_postings, write_postings
 from critiq.operators.reconcile import missing_documents, reconcile_index, reconciled, stale_ids
+from critiq.operators.vector_cells import search_cells, write_cells
 from critiq.operators.vector_search import Bound, search, vector_search
 from critiq.plans import tables as T
 from critiq.session import materialize, scratch_dir
@@ -190,6 +192,14 @@ def vector_topk_ip(spark, sf):
     return _nearest(spark, sf, "ip")
 
 
+def vector_topk_cells(spark, sf):
+    """The rows nearest to the mean of each label, from an index of cells."""
+    index = T.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    cells = write_cells(index, scratch_dir(spark), id_column="vec_id", rows_per_cell=256)
+    found = search_cells(cells, T.label_centroids(spark, sf), 10, id_column="vec_id")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 def vector_topk_filtered(spark, sf):
     wanted = materialize(embed(T.questions(spark, sf), T.letter_counts, "question"))
     found = search(T.letter_index(spark, sf), wanted, T.TOP_K, criteria=INDEX_VIEW)
@@ -244,6 +254,15 @@ def bm25_topk(spark, sf):
     return T.keyword_matches(spark, sf).withColumn("score", F.round("score", 6))
 
 
+def bm25_stored_topk(spark, sf):
+    """The best documents of every passage from postings that are written first."""
+    postings = write_postings(
+        T.documents(spark, sf), scratch_dir(spark), id_column="doc_id", text_column="text"
+    )
+    found = search_postings(postings, T.questions(spark, sf), T.TOP_K, id_column="doc_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
 def bm25_document_check(spark, sf):
     turns = T.read_table(spark, sf, "conversations").select(
         F.when(F.col("turn") > 0, F.col("conv_id").cast("string")).alias("source_id")
@@ -597,6 +616,7 @@ QUERIES: dict[str, Query] = {
     "reconcile": reconcile,
     "embed": embedded,
     "vector_topk": vector_topk,
+    "vector_topk_cells": vector_topk_cells,
     "vector_topk_cosine": vector_topk_cosine,
     "vector_topk_ip": vector_topk_ip,
     "vector_topk_filtered": vector_topk_filtered,
@@ -607,6 +627,7 @@ QUERIES: dict[str, Query] = {
     "bm25_document_frequencies": bm25_document_frequencies,
     "bm25_postings": bm25_postings,
     "bm25_topk": bm25_topk,
+    "bm25_stored_topk": bm25_stored_topk,
     "bm25_document_check": bm25_document_check,
     "gold_pairs": gold_pairs,
     "hits_per_case": hits_per_case,
