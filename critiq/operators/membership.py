@@ -34,7 +34,7 @@ class KeyBitmap:
     def marked(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
         """``rows`` with a boolean column that is false where no key can be equal.
 
-        ``key`` is a bigint; columns of ``rows`` must not begin with an underscore.
+        ``key`` is a bigint; no column of ``rows`` may be called _word, _at or _bits.
         """
         place = F.pmod(key, F.lit(self.size))
         return (

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from critiq.session import materialize
+
 SCHEMA_VERSION = 3
 # Share of the ranks on either side of the middle that an estimate may be off.
 _MEDIAN_SLACK = 0.001
 _MEDIAN_ACCURACY = 10_000
+#: Distinct values of the middle that are put in order at the end.
+MEDIAN_ROWS = 10_000
 
 
 def report_counts(cases: DataFrame, observed: DataFrame) -> DataFrame:
@@ -34,49 +38,48 @@ def report_counts(cases: DataFrame, observed: DataFrame) -> DataFrame:
 def exact_median(df: DataFrame, column: str) -> DataFrame:
     """One row ``median``; null over nothing.
 
-    Values are counted first. Approximate percentiles then bracket the middle,
-    so that only the few values between them are put in order.
+    Selection by narrowing: approximate percentiles bracket the middle rank, a count tells how
+    many values lie below and inside, and the next round looks inside only, a few thousandths
+    of the last one's values. Rounds are plain aggregates; the last bracket is read as at most
+    ``MEDIAN_ROWS`` (value, count) rows.
     """
-    values = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("v"))
-        .agg(F.count("*").alias("n"))
+    spark = df.sparkSession
+    values = materialize(
+        df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     )
-    bounds = df.agg(
-        F.percentile_approx(
-            F.col(column).cast("double"),
-            [0.5 - _MEDIAN_SLACK, 0.5 + _MEDIAN_SLACK],
-            _MEDIAN_ACCURACY,
-        )
-    ).scalar()
-    values = values.withColumn("b", bounds)
-    low, high = F.get("b", F.lit(0)), F.get("b", F.lit(1))
-    totals = values.agg(
-        F.struct(
-            F.sum("n").alias("all"),
-            F.coalesce(F.sum(F.when(F.col("v") < low, F.col("n"))), F.lit(0)).alias("below"),
-        )
-    ).scalar()
-    # The middle ranks lie in the bracket; an even count has two of them.
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    middle = (
-        values.filter((F.col("v") >= low) & (F.col("v") <= high))
-        .withColumn("last", F.sum("n").over(upto))
-        .withColumn("t", totals)
-        .select(
-            "v",
-            (F.col("t.below") + F.col("last") - F.col("n") + 1).alias("from_rank"),
-            (F.col("t.below") + F.col("last")).alias("to_rank"),
-            F.floor((F.col("t.all") + 1) / 2).alias("first"),
-            F.floor((F.col("t.all") + 2) / 2).alias("second"),
-        )
-    )
-
-    def at(rank: str) -> Column:
-        inside = F.col(rank).between(F.col("from_rank"), F.col("to_rank"))
-        return F.max(F.when(inside, F.col("v")))
-
-    return middle.agg(((at("first") + at("second")) / 2).alias("median"))
+    count = values.count()
+    if not count:
+        return spark.createDataFrame([(None,)], "median double")
+    middle = [_ranked(values, rank, count) for rank in {(count + 1) // 2, count // 2 + 1}]
+    return spark.createDataFrame([(sum(middle) / len(middle),)], "median double")
+
+
+def _ranked(values: DataFrame, rank: int, count: int) -> float:
+    """The value of a rank, from 1, of ``count`` values ``v``."""
+    inside = values
+    while True:
+        counted = inside.groupBy("v").agg(F.count("*").alias("n"))
+        if count <= MEDIAN_ROWS or len(counted.limit(MEDIAN_ROWS + 1).select("v").take(
+            MEDIAN_ROWS + 1
+        )) <= MEDIAN_ROWS:
+            for row in sorted(counted.collect(), key=lambda r: (r["v"] != r["v"], r["v"])):
+                rank -= row["n"]
+                if rank <= 0:
+                    return row["v"]
+        share = (rank - 0.5) / count
+        low, high = inside.agg(
+            F.percentile_approx(
+                "v",
+                [max(0.0, share - _MEDIAN_SLACK), min(1.0, share + _MEDIAN_SLACK)],
+                _MEDIAN_ACCURACY,
+            )
+        ).head()[0]
+        between = inside.filter((F.col("v") >= low) & (F.col("v") <= high))
+        below = inside.filter(F.col("v") < low).count()
+        held = between.count()
+        if not below < rank <= below + held or held == count:
+            raise ArithmeticError("percentiles did not bracket the middle")
+        inside, rank, count = between, rank - below, held
 
 
 def latency_summary(observed: DataFrame) -> DataFrame:

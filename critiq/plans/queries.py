@@ -22,8 +22,10 @@ from critiq.operators.vector_cells import search_cells, write_cells
 from critiq.operators.vector_search import Bound, search, vector_search
 from critiq.plans import tables as T
 from critiq.session import materialize, scratch_dir
-from critiq.sources.index import read_index, write_batch
-from critiq.sources.registry import register_dataset
+from critiq.sources.cases import read_cases
+from critiq.sources.index import index_count, read_index, write_batch
+from critiq.sources.registry import file_digests, file_facts, register_dataset
+from critiq.sources.report import write_report
 from critiq.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,6 +502,80 @@ def evaluation_report(spark, sf):
     return _rounded(rows)
 
 
+def report_files(spark, sf):
+    """Label counts of an evaluation, written with its observations and read back."""
+    path = scratch_dir(spark)
+    observed = _observed(spark, sf)
+    gold = materialize(_document_gold(spark, sf))
+    write_report(
+        report.latency_summary(observed), path, gold=gold,
+        observations={"rag": report.serialize_observations(observed, gold)},
+        counts=report.report_counts(T.passage_cases(spark, sf, gold), observed),
+    )
+    return spark.read.schema("kind string, label string, n bigint").json(f"{path}/counts")
+
+
+def _manifest(spark, sf):
+    """The passages as the one JSON document of a case manifest; returns its path."""
+    key = F.col("item_id")
+    abstain, name = key % 5 == 0, F.concat(F.lit("doc-"), key.cast("string"))
+    nothing = F.array().cast("array<string>")
+    fact = F.struct(
+        F.array(F.concat(F.lit(" "), name)).alias("answer_terms"),
+        F.array(F.substring("text", 1, 5)).alias("source_terms"),
+    )
+    case = F.struct(
+        F.concat(F.lit("case-"), key.cast("string")).alias("id"),
+        F.lit("test").alias("split"), F.lit("easy").alias("difficulty"),
+        F.concat(F.lit("kind "), (key % 3).cast("string")).alias("category"),
+        F.concat(F.lit("\t"), "text", F.lit(" ")).alias("question"),
+        F.when(abstain, "abstain").otherwise("answer").alias("expected_action"),
+        F.when(abstain, nothing).otherwise(F.array(name)).alias("gold_source_ids"),
+        F.when(abstain, nothing).otherwise(F.array(name)).alias("source_labels"),
+        F.when(abstain, F.array().cast("array<struct<answer_terms:array<string>,"
+                                       "source_terms:array<string>>>"))
+        .otherwise(F.array(fact)).alias("reference_facts"),
+    )
+    whole = T.read_table(spark, sf, "benchmark").agg(F.to_json(F.struct(
+        F.lit("rag-eval-cases/2.0").alias("schema_version"),
+        F.lit("passages").alias("evaluation_set_id"),
+        F.collect_list(case).alias("cases"),
+    )).alias("value"))
+    path = scratch_dir(spark)
+    whole.coalesce(1).write.text(path)
+    return path
+
+
+def case_manifest(spark, sf):
+    """Cases of the passages, written as a manifest and read back."""
+    rows = read_cases(spark, _manifest(spark, sf))
+    return rows.select(
+        "id", "question", "category", "split", "difficulty", "expected_action",
+        F.array_join("gold_source_ids", ",").alias("gold"),
+        F.array_join(F.flatten(F.transform("reference_facts", lambda f: f["answer_terms"])), ",")
+        .alias("answer_terms"),
+        F.size("mistyped").alias("mistyped"),
+    )
+
+
+def source_integrity(spark, sf):
+    """Rows of the documents as CSV, and files whose digest depends on how it is made."""
+    folder = _csv_copy(spark, sf)
+    facts = file_facts(spark, folder)
+    streamed = file_digests(spark, folder, whole_bytes=0)
+    torn = facts.join(streamed, facts["sha256"] == streamed["digest"], "left_anti")
+    return facts.agg(F.max("row_count").alias("row_count")).withColumn(
+        "differing", torn.agg(F.count("*")).scalar()
+    )
+
+
+def index_size(spark, sf):
+    """Rows of an index of the documents."""
+    path = scratch_dir(spark)
+    write_batch(spark, path, T.letter_index(spark, sf).select("source_id", "embedding"))
+    return spark.range(1).select(F.lit(index_count(spark, path)).cast("bigint").alias("documents"))
+
+
 def case_violations(spark, sf):
     return cases.case_violations(T.faulty_cases(spark, sf))
 
@@ -652,6 +728,10 @@ QUERIES: dict[str, Query] = {
     "latency_summary": latency_summary,
     "serialized_observations": serialized_observations,
     "evaluation_report": evaluation_report,
+    "report_files": report_files,
+    "case_manifest": case_manifest,
+    "source_integrity": source_integrity,
+    "index_size": index_size,
     "case_violations": case_violations,
     "incomplete_observations": incomplete_observations,
     "registered_dataset": registered_dataset,

@@ -209,6 +209,15 @@ def test_exact_median(spark, n):
     assert R.exact_median(df, "v").head()[0] == (median(values) if values else None)
 
 
+@pytest.mark.parametrize("n", [30_000, 30_001])
+def test_median_by_several_brackets(spark, monkeypatch, n):
+    monkeypatch.setattr(R, "MEDIAN_ROWS", 10)
+    df = spark.range(n).selectExpr("CAST((id * 7919) % 1000003 AS DOUBLE) * id AS v").repartition(4)
+    values = sorted(float((i * 7919) % 1000003) * i for i in range(n))
+    want = (values[(n - 1) // 2] + values[n // 2]) / 2
+    assert R.exact_median(df, "v").head()[0] == want
+
+
 def test_median_of_copies(spark):
     df = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN id ELSE 5 END AS v")
     assert R.exact_median(df, "v").head()[0] == 5.0

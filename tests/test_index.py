@@ -10,7 +10,7 @@ from critiq.operators.normalize import normalize_reviews
 from critiq.operators.reconcile import reconcile_index
 from critiq.plans.tables import letter_counts
 from critiq.sources.index import commits, index_count, read_index
-from critiq.sources.registry import dataset_digest, register_dataset
+from critiq.sources.registry import dataset_digest, file_digests, register_dataset
 from critiq.streaming.jobs import add_reviews, stream_index, stream_search
 
 
@@ -78,6 +78,29 @@ def test_registry(spark, tmp_path):
     assert len(dataset_digest(spark, str(tmp_path / "many"))) == 64
 
 
+@pytest.mark.parametrize("content", [
+    b"\n", b"a", b"a\n", b"a\n\n", b"\r\n\xff\x00b\rc", b"\xef\xbb\xbfmark\nx",
+    b"line\n" * 3000,
+])
+def test_streamed_digest_is_that_of_the_bytes(spark, tmp_path, content):
+    (tmp_path / "f.csv").write_bytes(content)
+    for suffix in (b"", b"\0x"):
+        want = sha256(content + suffix).hexdigest()
+        for above in (-1, 1 << 20):
+            found = file_digests(spark, str(tmp_path / "f.csv"), suffix, whole_bytes=above)
+            assert [(r.length, r.digest) for r in found.collect()] == [(len(content), want)]
+
+
+def test_digest_of_a_dataset_is_one_rule(spark, tmp_path):
+    sums = 0
+    for name in ("1", "2", "3"):
+        (tmp_path / f"{name}.csv").write_text(f"Review\n{name}\n")
+        sums += int(sha256(f"Review\n{name}\n".encode()).hexdigest(), 16)
+    assert dataset_digest(spark, str(tmp_path)) == f"{sums % 2**256:064x}"
+    one = sha256(b"Review\n1\n").hexdigest()
+    assert dataset_digest(spark, str(tmp_path / "1.csv")) == one
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     path = str(tmp_path / "index")
     batch = normalize_reviews(spark.createDataFrame([("a",), ("a",)], "Review string"))
