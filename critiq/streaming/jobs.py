@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from critiq.functions.plugins import EmbedFunction, embed
 from critiq.operators.documents import build_documents
 from critiq.operators.identity import (
-    ID_DIGITS, assign_source_ids, copies_held, with_digest,
+    ID_DIGITS, assign_source_ids, copies_held, with_digest, with_occurrence,
 )
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews, raise_on_violations, violations
@@ -21,6 +23,11 @@ from critiq.session import materialize
 from critiq.sources.csv import CSV_OPTIONS, null_words_as_null
 from critiq.sources.index import has_tag, read_index, write_batch
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_RECORD = "__record"
+_OCCURRENCE = "__occurrence"
+
 
 def add_reviews(
     spark: SparkSession,
@@ -50,6 +57,46 @@ def add_reviews(
     write_batch(spark, index_path, embed(documents, embed_fn), tag=tag)
 
 
+class CopyCounter(StatefulProcessor):
+    """Numbers the copies of a record: the state of a digest is how many there were."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.copies = handle.getValueState("copies", "copies bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        copies = self.copies.get()[0] if self.copies.exists() else 0
+        for part in rows:
+            numbers = np.arange(copies + 1, copies + 1 + len(part))
+            copies += len(part)
+            yield part.assign(occurrence=numbers)
+        self.copies.update((copies,))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.copies.update((int(initialState["copies"].iloc[0]),))
+
+    def close(self) -> None:
+        pass
+
+
+def numbered_copies(
+    rows: DataFrame, mapping: ColumnMapping, held: DataFrame | None = None
+) -> DataFrame:
+    """``record, id_digest, occurrence`` of a stream of raw rows.
+
+    Occurrences count on over the life of the stream in its state store, beginning with
+    ``held`` (of ``copies_held``). ``record`` is the raw row as JSON.
+    """
+    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    keyed = with_digest(normalize_reviews(rows.withColumn(_RECORD, raw), mapping, keep=[_RECORD]))
+    keyed = keyed.select(
+        F.col(_RECORD).alias("record"), F.substring("digest", 1, ID_DIGITS).alias("id_digest")
+    )
+    return keyed.groupBy("id_digest").transformWithStateInPandas(
+        CopyCounter(), "record string, id_digest string, occurrence bigint", "Append", "None",
+        initialState=None if held is None else held.groupBy("id_digest"),
+    )
+
+
 def stream_index(
     spark: SparkSession,
     folder: str,
@@ -60,26 +107,51 @@ def stream_index(
     checkpoint: str,
     name: str = "index",
 ) -> StreamingQuery:
-    """Watch a folder of CSV files and index what arrives, until none is left."""
+    """Watch a folder of CSV files and index what arrives, until none is left.
+
+    Copies of a record are counted in the stream's state, which starts from the index as it
+    is when the stream first starts; from then on the stream is its only writer. No batch
+    reads the index.
+    """
     schema = StructType([StructField(c, StringType()) for c in columns])
     arriving = null_words_as_null(
         # Each file's own header must be that of the stream.
         spark.readStream.schema(schema).options(**CSV_OPTIONS, enforceSchema=False).csv(folder)
     )
+    existing = read_index(spark, index_path, ["source_id"])
+    numbered = numbered_copies(
+        arriving, mapping, None if existing is None else copies_held(existing)
+    )
 
     def add(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        raise_on_violations(violations(batch, mapping))
-        add_reviews(
-            session, index_path, normalize_reviews(batch, mapping), embed_fn, f"{name}:{epoch}"
+        session, tag = batch.sparkSession, f"{name}:{epoch}"
+        if has_tag(session, index_path, tag):
+            return
+        # Read twice below; the state must be asked for once.
+        batch = materialize(batch)
+        rows = batch.select(F.from_json("record", schema).alias("r"), "occurrence").select(
+            "r.*", F.col("occurrence").alias(_OCCURRENCE)
         )
-
-    return (
-        arriving.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        raise_on_violations(violations(rows.drop(_OCCURRENCE), mapping))
+        reviews = normalize_reviews(rows, mapping, keep=[_OCCURRENCE])
+        identified = with_occurrence(reviews, _OCCURRENCE).drop(_OCCURRENCE)
+        write_batch(session, index_path, embed(build_documents(identified), embed_fn), tag=tag)
+
+    # State with values of its own needs this store; the query keeps the setting it starts with.
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKS)
+    try:
+        return (
+            numbered.writeStream.foreachBatch(add)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(_STATE_STORE)
+        else:
+            spark.conf.set(_STATE_STORE, before)
 
 
 def stream_search(
@@ -89,12 +161,20 @@ def stream_search(
     output: str,
     checkpoint: str,
     k: int = 5,
+    event_time: str | None = None,
+    late: str = "1 hour",
 ) -> StreamingQuery:
     """Answer a stream of ``query_id, question`` with the k nearest documents.
 
     Each batch has its own output folder, so that a repeated batch replaces it.
-    Without an index a batch fails, and its questions come again.
+    Without an index a batch fails, and its questions come again. With the column of an
+    ``event_time`` a question that comes again within ``late`` is answered once; one that is
+    later than that beside the latest event is left out.
     """
+    if event_time is not None:
+        questions = questions.withWatermark(event_time, late).dropDuplicatesWithinWatermark(
+            ["query_id"]
+        )
 
     def answer(batch: DataFrame, epoch: int) -> None:
         index = read_index(batch.sparkSession, index_path)

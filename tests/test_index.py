@@ -143,6 +143,51 @@ def test_streams(spark, tmp_path):
     assert [(r.query_id, r.rating, r.rank) for r in found] == [(7, 1, 1)]
 
 
+def test_stream_counts_copies_on_in_its_state(spark, tmp_path):
+    """From an index that is there, over restarts, and without reading it again."""
+    folder, path = tmp_path / "in", str(tmp_path / "index")
+    folder.mkdir()
+    batch = normalize_reviews(spark.createDataFrame([("a",), ("a",), ("b",)], "Review string"))
+    add_reviews(spark, path, batch, letter_counts, "batch:0")
+    for i, text in enumerate(["a\nc", "b\na\na", "c\nd"]):
+        (folder / f"{i}.csv").write_text(f"Review\n{text}\n")
+        stream_index(
+            spark, str(folder), ["Review"], ColumnMapping(review="Review"), path, letter_counts,
+            str(tmp_path / "cp"),
+        ).awaitTermination()
+    found = sorted((r.content, r.source_id.partition("_")[2][32:])
+                   for r in read_index(spark, path).collect())
+    assert found == [
+        ("Review: a", ""), ("Review: a", "_2"), ("Review: a", "_3"), ("Review: a", "_4"),
+        ("Review: a", "_5"), ("Review: b", ""), ("Review: b", "_2"), ("Review: c", ""),
+        ("Review: c", "_2"), ("Review: d", ""),
+    ]
+
+
+def test_a_question_sent_twice_is_answered_once(spark, tmp_path):
+    path, asks = str(tmp_path / "index"), tmp_path / "asks"
+    asks.mkdir()
+    batch = normalize_reviews(spark.createDataFrame([("a",), ("b",)], "Review string"))
+    add_reviews(spark, path, batch, letter_counts, "batch:0")
+    lines = [
+        '{"query_id": 1, "question": "a", "at": "2024-01-01T00:00:00Z"}\n',
+        '{"query_id": 1, "question": "a", "at": "2024-01-01T00:10:00Z"}\n'
+        '{"query_id": 2, "question": "b", "at": "2024-01-01T09:00:00Z"}\n',
+        '{"query_id": 3, "question": "b", "at": "2024-01-01T00:20:00Z"}\n',
+    ]
+    for i, line in enumerate(lines):
+        (asks / f"{i}.json").write_text(line)
+        questions = spark.readStream.schema("query_id int, question string, at timestamp").json(
+            str(asks)
+        )
+        stream_search(
+            questions, path, letter_counts, str(tmp_path / "out"), str(tmp_path / "cp"), 1,
+            event_time="at",
+        ).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.query_id for r in found) == [1, 2]
+
+
 def test_two_writers_at_once_keep_their_rows(spark, tmp_path, monkeypatch):
     """Both see the same log before they write."""
     from critiq.sources import index as I
