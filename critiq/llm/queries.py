@@ -181,30 +181,50 @@ LLM_ORACLES: dict[str, str] = {
                            lambda x: x <> ''), lambda x: 'key:' || x)
                    ))) ELSE [] END AS tokens
             FROM f
-        ), b AS (
-            SELECT t.*, unnest(list_transform(
-                CAST(range(1, CAST(1 AS BIGINT) << len(tokens)) AS BIGINT[]),
-                lambda m: list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1))) AS part
-            FROM (SELECT DISTINCT tokens FROM t) t
         ), g AS (
-            SELECT tokens, CASE WHEN l.bad = 1 THEN 'block' ELSE 'allow' END AS label
+            SELECT tokens, CASE WHEN l.bad = 1 THEN 'block' ELSE 'allow' END AS label,
+                   row_number() OVER () AS u
             FROM t JOIN (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0
                                                  THEN 1 ELSE 0 END) AS bad
                          FROM labels GROUP BY 1) l USING (doc_id)
             WHERE len(tokens) > 0
         ), n AS (
-            SELECT ceil(greatest(0.01, 5.0 / count(*)) * count(*)) AS least FROM g
+            SELECT count(*) AS n, greatest(5, ceil(0.00001 * count(*))) AS least FROM g
+        ), e AS (SELECT u, label, unnest(tokens) AS token FROM g
+        ), c AS (
+            SELECT token, label, count(*) AS freq,
+                   CAST(sum(count(*)) OVER (PARTITION BY token) AS BIGINT) AS whole
+            FROM e GROUP BY token, label
+        ), o AS (
+            SELECT DISTINCT token, whole FROM c, n
+            WHERE whole >= least AND freq < whole AND whole < n
+        ), s AS (
+            SELECT u, label, list_sort(list(token ORDER BY whole, token)[1:8]) AS tokens
+            FROM e JOIN o USING (token) GROUP BY u, label HAVING count(*) > 1
+        ), b AS (
+            SELECT tokens, unnest(list_filter(list_transform(
+                CAST(range(1, CAST(1 AS BIGINT) << len(tokens)) AS BIGINT[]),
+                lambda m: list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)),
+                lambda p: len(p) > 1)) AS part
+            FROM (SELECT DISTINCT tokens FROM s) s
         ), p AS (
-            SELECT part, count(*) AS n, count(*) FILTER (label = 'block') AS block,
-                   count(*) FILTER (label = 'allow') AS allow
-            FROM g JOIN b USING (tokens) GROUP BY 1
+            SELECT part, label, count(*) AS freq,
+                   CAST(sum(count(*)) OVER (PARTITION BY part) AS BIGINT) AS whole
+            FROM s JOIN b USING (tokens) GROUP BY part, label
+            UNION ALL SELECT [token], label, freq, whole FROM c
         ), r AS (
-            SELECT part,
-                   CASE WHEN block >= least AND block / n >= 0.5 THEN block / n ELSE 0 END AS block,
-                   CASE WHEN allow >= least AND allow / n >= 0.5 THEN allow / n ELSE 0 END AS allow
-            FROM p, n
+            SELECT part, label, freq / whole AS sure FROM p, n
+            WHERE freq >= CASE WHEN len(part) > 1 THEN least ELSE 5 END AND freq / whole >= 0.5
+              AND (freq >= 0.01 * n
+                   OR (freq / whole + 1.645 * 1.645 / (2 * whole)
+                       - 1.645 * sqrt(freq / whole * (1 - freq / whole) / whole
+                                      + 1.645 * 1.645 / (4 * whole * whole)))
+                      / (1 + 1.645 * 1.645 / whole) >= 0.5)
         ), v AS (
-            SELECT tokens, max(block) > max(allow) AS bad FROM b JOIN r USING (part) GROUP BY 1
+            SELECT tokens, coalesce(max(sure) FILTER (label = 'block'), 0)
+                           > coalesce(max(sure) FILTER (label = 'allow'), 0) AS bad
+            FROM (SELECT DISTINCT tokens FROM t) d JOIN r ON list_has_all(d.tokens, r.part)
+            GROUP BY 1
         ), k AS (
             SELECT t.page_id, host, path, coalesce(bad, false) AS bad,
                 CASE WHEN (host = 'example.net' OR host LIKE '%.example.net')
