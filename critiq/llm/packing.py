@@ -4,9 +4,10 @@ Documents are tokenised once; the pieces' lengths form a histogram of at most ``
 bars, whatever the number of documents. On it a configuration linear program (fewest
 sequences, each filled by one pattern of lengths) is solved by multiplicative weights: a
 knapsack dynamic program over the capacity prices patterns, and each round raises the use of
-the near-best pattern of every length and lowers the weight of the lengths it covers. Whole
-parts of the solution are taken; what is left, and the free room of the patterns, is filled by
-best fit over groups of equal sequences. The plan has a size bound given by the capacity alone.
+the best full patterns of the lengths that are covered least, whose prices then fall. Uses are
+rounded from the largest on, and the program is solved anew for what is left, until it places
+little more; that rest is filled in by best fit over groups of equal sequences. The plan has a
+size bound given by the capacity alone.
 Pieces are numbered within their length in salted groups and look up their place in the plan.
 
 Defined results: null text is empty and gives one piece of the end token. Longer documents are
@@ -34,11 +35,20 @@ from critiq.llm.common import map_texts, written
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 100
-#: A pattern counts as near-best from this share of the best pattern's value.
-NEAR = 0.9
-#: Patterns that leave a larger share of a sequence free aren't rounded in; best fit does better.
-WASTE = 0.002
+ROUNDS = 30
+#: An item's price is less by so many tokens, so that patterns of few items come first.
+PER_ITEM = 4.0
+NOISE = 0.01
+#: How fast the price of a length falls with the share of its items that is covered.
+RATE = 20.0
+#: A round uses no length more than so many times its part.
+SPREAD = 4.0
+#: A pattern is used at least so often in a round.
+MIN_STEP = 0.1
+#: A solution that places less of the room left than this is the last one, and so is one that
+#: leaves less than ``MIN_ROOM`` sequences.
+MIN_GAIN = 0.1
+MIN_ROOM = 40
 ROWS_PER_GROUP = 1000
 #: Texts of these characters only, with no long run and no special token, are split alike by
 #: both tokenizer libraries; others go to the slower one.
@@ -154,42 +164,68 @@ def _trace(last: np.ndarray, lengths: np.ndarray, c: int) -> list[int]:
 def configuration_program(
     lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS
 ) -> dict[tuple[int, ...], float]:
-    """Fractional uses of patterns (ascending indices into ``lengths``) that cover all items."""
+    """Fractional uses of full patterns (ascending indices into ``lengths``).
+
+    Covering by multiplicative weights: a length's price is the room it takes, times a weight
+    that falls with the share of its items that is covered. Each round prices patterns by one
+    knapsack program and raises, for the lengths that are covered least, the use of the best
+    pattern with that length, until a ``1 / rounds`` part of all room is used.
+    """
+    rng = np.random.default_rng(5)
     used: dict[tuple[int, ...], float] = {}
-    weight, covered = np.ones(len(lengths)), np.zeros(len(lengths))
+    covered = np.zeros(len(lengths))
+    room = float((lengths * counts).sum()) / rounds
     for _ in range(rounds):
-        best, last = _knapsack(lengths, weight / counts, capacity)
-        value = weight / counts + best[capacity - lengths]
-        batch: dict[tuple[int, ...], float] = {}
-        usage = np.zeros(len(lengths))
-        for lead in np.flatnonzero(value >= NEAR * value.max()):
-            items = _trace(last, lengths, int(capacity - lengths[lead]))
-            times = np.bincount([lead, *items], minlength=0)
-            there = np.flatnonzero(times)
-            if (times[there] > counts[there]).any():
-                kept = np.minimum(times[there], counts[there]).astype(np.int64)
-                items = np.repeat(there, kept)
-            else:
-                items = np.repeat(there, times[there])
-            pattern = tuple(int(i) for i in items)
-            if pattern in batch:
+        weight = np.exp(-RATE * (covered - covered.min()))
+        # Equal prices are told apart by a little noise, else all patterns share their fillers.
+        price = lengths * weight * (1 + NOISE * rng.random(len(lengths))) - PER_ITEM
+        _, last = _knapsack(lengths, price, capacity)
+        taken, limit = np.zeros(len(lengths)), np.maximum(1.0, SPREAD * counts / rounds)
+        filled = 0.0
+        for lead in np.argsort(covered - lengths * 1e-9, kind="stable"):
+            if filled >= room:
+                break
+            items = np.array([lead, *_trace(last, lengths, int(capacity - lengths[lead]))])
+            size = int(lengths[items].sum())
+            if size < capacity:
                 continue
             which, times = np.unique(items, return_counts=True)
-            step = float((counts[which] / times).min())
-            batch[pattern] = step
-            usage[which] += step * times / counts[which]
-        scale = 1.0 / max(1.0, usage.max(initial=0.0))
-        for pattern, step in batch.items():
-            used[pattern] = used.get(pattern, 0.0) + step * scale
-        covered += usage * scale
-        rate = np.log(len(lengths) + 1.0) / max(1e-9, np.sqrt(covered.mean() + 1.0))
-        weight = np.exp(-rate * (covered - covered.min()))
-        weight = np.maximum(weight, 1e-12)
-    total = sum(x * lengths[list(p)].sum() for p, x in used.items())
-    share = float((lengths * counts).sum()) / total if total else 0.0
-    # A pattern is used less where one of its lengths is covered more than once over all.
-    cover = np.maximum(1.0, covered * share)
-    return {p: x * share / float(cover[list(p)].max()) for p, x in used.items()}
+            step = float(((limit[which] - taken[which]) / times).min())
+            if (times > counts[which]).any() or step < MIN_STEP:
+                continue
+            pattern = tuple(int(x) for x in np.repeat(which, times))
+            used[pattern] = used.get(pattern, 0.0) + step
+            taken[which] += step * times
+            filled += step * size
+        covered += taken / counts
+        if not filled:
+            break
+    return used
+
+
+def rounded_program(
+    lengths: np.ndarray, left: np.ndarray, capacity: int
+) -> list[tuple[int, tuple[int, ...]]]:
+    """Whole uses of patterns, by solving and rounding in turn; lowers ``left``.
+
+    Uses are rounded from the largest on, as far as the items go that are still left; what
+    remains is solved anew, until a solution places little more.
+    """
+    plan: list[tuple[int, tuple[int, ...]]] = []
+    while True:
+        some = np.flatnonzero(left)
+        before = int((lengths[some] * left[some]).sum())
+        if before < MIN_ROOM * capacity:
+            return plan
+        solved = configuration_program(lengths[some], left[some].astype(float), capacity)
+        for pattern, use in sorted(solved.items(), key=lambda x: (-x[1], x[0])):
+            which, times = np.unique(some[list(pattern)], return_counts=True)
+            n = min(max(1, int(use)), int((left[which] // times).min()))
+            if n:
+                left[which] -= n * times
+                plan.append((n, tuple(int(x) for x in np.repeat(lengths[which], times))))
+        if before - int((lengths * left).sum()) < MIN_GAIN * before:
+            return plan
 
 
 def packing_plan(
@@ -201,18 +237,9 @@ def packing_plan(
     lengths, left = lengths[short].astype(np.int64), counts[short].astype(np.int64)
     if len(lengths) == 0:
         return plan
-    solved = configuration_program(lengths, left.astype(float), capacity)
     rooms: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
-    spare = {p: capacity - int(lengths[list(p)].sum()) for p in solved}
-    for pattern, use in sorted(solved.items(), key=lambda x: (spare[x[0]], -x[1], x[0])):
-        if spare[pattern] > WASTE * capacity:
-            break
-        which, times = np.unique(np.array(pattern), return_counts=True)
-        n = min(int(use), int((left[which] // times).min()))
-        if n:
-            left[which] -= n * times
-            items = tuple(int(lengths[i]) for i in pattern)
-            rooms.setdefault(capacity - sum(items), []).append((n, items))
+    for n, items in rounded_program(lengths, left, capacity):
+        rooms.setdefault(capacity - sum(items), []).append((n, items))
     for i in np.argsort(-lengths, kind="stable"):
         length, todo = int(lengths[i]), int(left[i])
         while todo:

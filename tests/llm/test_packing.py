@@ -8,7 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from critiq.llm.packing import cut, pack, packing_plan, token_ids, tokenizer_files
+from critiq.llm import packing
+from critiq.llm.packing import (
+    cut, pack, packing_plan, rounded_program, token_ids, tokenizer_files,
+)
 
 FILES = tokenizer_files()
 EXACT = Tokenizer.from_file(FILES[0])
@@ -77,6 +80,31 @@ def test_plans_need_few_sequences(seed):
     assert used <= 1.002 * first_fit_decreasing(items, 256) + 1
 
 
+def long_tailed(seed, n):
+    """Histogram of lengths like those of a corpus: many short documents, few long ones."""
+    drawn = np.random.default_rng(seed).lognormal(6.3, 1.1, n).astype(int).clip(1, 2047)
+    return np.unique(drawn, return_counts=True)
+
+
+def test_the_program_places_most_pieces():
+    lengths, counts = long_tailed(1, 2500)
+    left = counts.astype(np.int64)
+    made = held(rounded_program(lengths.astype(np.int64), left, 2048), 2048)
+    assert sum(made.values()) >= 0.5 * counts.sum()
+    assert all(made[x] + n == c for x, n, c in zip(lengths, left, counts))
+    used = sum(n for n, _ in packing_plan(lengths, counts, 2048))
+    assert used <= -(-int((lengths * counts).sum()) // 2048) + 1
+
+
+def test_the_program_helps_where_there_are_many(monkeypatch):
+    lengths, counts = long_tailed(2, 1200)
+    counts = counts * 100
+    used = sum(n for n, _ in packing_plan(lengths, counts, 2048))
+    monkeypatch.setattr(packing, "rounded_program", lambda *_: [])
+    alone = sum(n for n, _ in packing_plan(lengths, counts, 2048))
+    assert used <= alone
+
+
 def test_configurations_beat_best_fit():
     """Thirds of the capacity that a decreasing fit pairs badly."""
     lengths, counts = np.array([26, 36, 38]), np.array([300, 300, 300])
