@@ -137,13 +137,13 @@ def run_hashes(
     return mixed((total[ends] - total[starts]) * back[starts])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of documents, and each document's first word.
-
-    Returns (hashes, bounds): document i has ``hashes[bounds[i]:bounds[i + 1]]``.
-    """
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of documents begin and end, and each document's first word."""
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, np.zeros(len(offsets), np.int64)
     solid = ~SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -153,8 +153,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first[inner] = solid[inner]
     last[inner - 1] = solid[inner - 1]
     starts = np.flatnonzero(first)
-    hashes = run_hashes(LOWER[data], starts, np.flatnonzero(last) + 1)
-    return hashes, np.searchsorted(starts, offsets)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of documents, and each document's first word.
+
+    Returns (hashes, bounds): document i has ``hashes[bounds[i]:bounds[i + 1]]``.
+    """
+    starts, ends, bounds = word_spans(data, offsets)
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), bounds
+    return run_hashes(LOWER[data], starts, ends), bounds
 
 
 def packed(array: np.ndarray) -> bytes:
