@@ -7,13 +7,18 @@ bound, and reads exact vectors in the order of their bounds until the k-th resul
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as
 do rows without an id. Rows that share an id count as one, with the smallest of their vectors.
-Shorter vectors are filled up with zeros (an empty vector is all zeros). Scaled components
-beyond 32 bits are held at the 32-bit limit. Equal scores go by the smaller id. Empty tables
-give no rows; other columns of the input are ignored.
+Shorter vectors are filled up with zeros (an empty vector is all zeros). Components have no
+limit: blocks with one beyond ``WIDE`` are kept as they are and multiplied in Python's whole
+numbers, without cells. A score beyond 64 bits is given as the nearest one the result's type
+holds. Equal scores go by the smaller id. Empty tables give no rows; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import operator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +32,36 @@ SCALE = 256
 CELL_BITS = 6
 DATA_ROWS = 8192
 QUERY_ROWS = 1024
-_LIMIT = (1 << 31) - 1
+#: Vectors with a larger component have no place in the cells.
+WIDE = float(1 << 22)
 _AT_ONCE = 128
 
 
-def scaled(vec: str = "vec"):
-    """floor(256 * x) of every component, within 32 bits."""
-    top, low = F.lit(float(_LIMIT)), F.lit(float(-_LIMIT))
-    return F.transform(vec, lambda x: F.floor(F.least(F.greatest(x * SCALE, low), top)))
+def whole_numbers(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 * x) of finite components, in 64-bit integers or in Python's."""
+    if np.abs(vectors).max(initial=0.0) <= WIDE:
+        return np.floor(vectors * SCALE).astype(np.int64)
+    # Beyond 2^53 a component is whole by itself.
+    exact = [math.floor(x * SCALE) if abs(x) < 2.0**53 else int(x) * SCALE for x in vectors.flat]
+    made = np.empty(vectors.size, object)
+    made[:] = exact
+    return made.reshape(vectors.shape)
+
+
+def search_wide(
+    q: np.ndarray, q_ids: np.ndarray, exact: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (scores, ids) of one data block for every query, without cells."""
+    edge = np.iinfo(np.int64)
+    scores = np.full((len(q), k), edge.min, np.int64)
+    found = np.full((len(q), k), ABSENT, np.int64)
+    for i in range(len(q)):
+        rows = np.flatnonzero(ids != q_ids[i])
+        every = [sum(map(operator.mul, row, q[i].tolist())) for row in exact[rows].tolist()]
+        best = sorted(zip(every, ids[rows].tolist()), key=lambda r: (-r[0], r[1]))[:k]
+        scores[i, : len(best)] = [min(max(s, edge.min + 1), edge.max) for s, _ in best]
+        found[i, : len(best)] = [n for _, n in best]
+    return scores, found
 
 
 def cells(vectors: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -111,42 +138,53 @@ def exact_topk(
     Returns query_id, rank, vec_id, score. The two tables need the same kind of ids: a row
     is a query's own if the ids are equal.
     """
-    items = written(
-        clean_vectors(data, id_col, vector_col).select("item", scaled().alias("vec"))
-    )
+    items = written(clean_vectors(data, id_col, vector_col))
+    narrow = items.filter(F.forall("vec", lambda x: F.abs(x) <= WIDE))
     edges = (
-        items.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim")
-        .agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("dim").collect()
+        narrow.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim")
+        .agg(F.min(F.floor(F.col("x") * SCALE)).alias("low"), F.max(F.floor(F.col("x") * SCALE)).alias("high"))
+        .orderBy("dim").collect()
     )
-    dims = max(1, len(edges))
-    low = np.array([min(0, r.low) if len(edges) == 0 else r.low for r in edges] or [0], np.int64)
-    high = np.array([r.high for r in edges] or [0], np.int64)
-    shortest = items.agg(F.min(F.size("vec")).alias("n"), F.count("*").alias("rows")).first()
-    if shortest.n is not None and shortest.n < dims:
+    sizes = items.agg(
+        F.min(F.size("vec")).alias("n"), F.max(F.size("vec")).alias("most"),
+        F.count("*").alias("rows"),
+    ).first()
+    dims = max(1, sizes.most or 0)
+    # Dimensions that only vectors without cells have are zero in the others.
+    rest = [0] * (dims - len(edges))
+    low = np.array([r.low for r in edges] + rest, np.int64)
+    high = np.array([r.high for r in edges] + rest, np.int64)
+    if sizes.n is not None and sizes.n < dims:
         low, high = np.minimum(low, 0), np.maximum(high, 0)
     width = -((low - high - 1) // (1 << cell_bits))
-    blocks = block_count(shortest.rows, DATA_ROWS)
+    blocks = block_count(sizes.rows, DATA_ROWS)
 
     def pack_data(ids: np.ndarray, vectors: np.ndarray, _: int) -> dict:
-        whole = vectors.astype(np.int64)
-        return {"ids": packed(ids), "codes": packed(cells(np.clip(whole, low, high), low, width)),
+        if np.abs(vectors).max(initial=0.0) > WIDE:
+            return {"ids": packed(ids), "codes": b"", "exact": packed(vectors)}
+        whole = whole_numbers(vectors)
+        return {"ids": packed(ids), "codes": packed(cells(whole, low, width)),
                 "exact": packed(whole.astype(np.int32))}
 
     def pack_queries(ids: np.ndarray, vectors: np.ndarray, _: int) -> dict:
-        return {"ids": packed(ids), "exact": packed(vectors.astype(np.int32))}
+        return {"ids": packed(ids), "exact": packed(vectors)}
 
     asked = clean_vectors(queries, id_col, vector_col)
-    asked = asked.select("item", F.slice(scaled(), 1, dims).alias("vec"))
+    asked = asked.select("item", F.slice("vec", 1, dims).alias("vec"))
     q_blocks = block_count(asked.count(), QUERY_ROWS)
 
     def kernel(q: dict, d: dict) -> tuple[np.ndarray, np.ndarray]:
-        return search_block(
-            np.frombuffer(q["exact"], np.int32).reshape(-1, dims).astype(np.int64),
-            np.frombuffer(q["ids"], np.int64),
-            np.frombuffer(d["codes"], np.uint8).reshape(-1, dims),
-            np.frombuffer(d["exact"], np.int32).reshape(-1, dims),
-            np.frombuffer(d["ids"], np.int64), low, width, k,
-        )
+        asked = whole_numbers(np.frombuffer(q["exact"]).reshape(-1, dims))
+        q_ids, ids = np.frombuffer(q["ids"], np.int64), np.frombuffer(d["ids"], np.int64)
+        wide = len(ids) > 0 and not len(d["codes"])
+        if wide:
+            exact = whole_numbers(np.frombuffer(d["exact"]).reshape(-1, dims))
+        else:
+            exact = np.frombuffer(d["exact"], np.int32).reshape(-1, dims)
+        if wide or asked.dtype == object:
+            return search_wide(asked, q_ids, exact, ids, k)
+        codes = np.frombuffer(d["codes"], np.uint8).reshape(-1, dims)
+        return search_block(asked, q_ids, codes, exact, ids, low, width, k)
 
     return block_search(
         packed_blocks(asked, q_blocks, pack_queries, dims),

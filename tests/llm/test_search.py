@@ -64,13 +64,23 @@ def test_exact_topk_equals_plain_ranking(spark, monkeypatch):
     assert as_dict(found) == brute(rows, asked, 5, floor)
 
 
-def test_exact_topk_of_large_components_and_few_rows(spark):
-    rows = [(1, [1e9, 1.0]), (2, [1e9, -1.0]), (3, [3e38, -2.0])]
+def test_exact_topk_of_large_components_and_few_rows(spark, monkeypatch):
+    """2^24 components and more; 9e6 becomes 2,304,000,000."""
+    rows = [(1, [9e6, 1.0]), (2, [9e6, -1.0]), (3, [8e6, 0.5]), (4, [-16777217.0, 3.0]),
+            (5, [0.5, 0.25]), (6, [-0.3, 0.1]), (7, [3e38, -2.0])]
+    rows += [(10 + i, v) for i, (_, v) in enumerate(vectors(40, 2))]
     data = table(spark, rows)
-    found = as_dict(exact_topk.exact_topk(data, data, k=5))
-    limit = (1 << 31) - 1
-    assert found[1] == [(1, 2, limit**2 - 256**2), (2, 3, limit**2 - 2 * 256**2)]
-    assert {q: len(v) for q, v in found.items()} == {1: 2, 2: 2, 3: 2}
+    floor = lambda x: int(float(np.float32(x)) * 256 // 1)
+    want = brute(rows, [r[0] for r in rows], 5, floor)
+    assert any(abs(s) > 1 << 62 for _, _, s in want[1])
+    top = np.iinfo(np.int64)
+    want = {q: [(r, i, min(max(s, top.min + 1), top.max)) for r, i, s in found]
+            for q, found in want.items() if q != 7}
+    for rows_per_block in (8192, 8):
+        monkeypatch.setattr(exact_topk, "DATA_ROWS", rows_per_block)
+        found = as_dict(exact_topk.exact_topk(data, data, k=5))
+        found.pop(7)
+        assert found == want
 
 
 def test_searches_of_empty_tables(spark):
