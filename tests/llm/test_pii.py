@@ -161,3 +161,18 @@ def test_nothing_to_learn_from(spark):
 def test_masks_of_overlapping_spans():
     assert masked("ab12cd", [(0, 0, 4), (2, 2, 4)]) == "<email>cd"
     assert masked("ab", []) == "ab"
+
+
+def test_negatives_come_from_all_of_a_text_of_any_length():
+    import pyarrow as pa
+
+    from critiq.llm.pii import NEGATIVES, WINDOW, _training_windows
+
+    for n in (300, 9000):
+        text = " ".join(f"n{i}x" if i % 3 else "word" for i in range(n))
+        (batch,) = _training_windows([pa.record_batch({"text": pa.array([text])})])
+        kinds = batch.column(0).to_pylist()
+        assert kinds.count(1) == NEGATIVES and kinds.count(0) == 1
+    # Not the first ones: windows at the very beginning would be shorter on the left.
+    lengths = {len(w) for w in batch.column(2).to_pylist()}
+    assert lengths == {4 * 8 * (2 * WINDOW + 1)}
