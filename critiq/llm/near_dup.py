@@ -3,7 +3,9 @@
 A document is the set of its distinct five-word shingles. Each of ``PERMUTATIONS`` random
 functions of a set gives two signature values, the least and the greatest hash, so that half
 the hash evaluations of plain MinHash are needed. Bands of ``BAND_ROWS`` values are bucket
-keys. At a similarity of 0.75 a pair shares no band with a probability of 5 in a million.
+keys. At a similarity of 0.75 a pair of large sets shares no band with a probability of 5 in a
+million; of sets of 3 and 4 shingles, whose least and greatest hash agree less often together,
+with 1 in 10,000. A pair that shares a band is never lost.
 
 1. One scan gives set size, set fingerprint and bucket keys. Equal sets form one class;
    only the class representative goes on.
@@ -12,8 +14,7 @@ keys. At a similarity of 0.75 a pair shares no band with a probability of 5 in a
 3. Buckets whose members are still in several components are compared in full, but for pairs
    inside the largest of them: in pairs of blocks of about ``BLOCK`` members, so that a hot
    bucket is dealt to many tasks, and inside a task
-   by signature and by an upper bound of what two sets share, so that hardly other pairs than
-   links leave it. They are confirmed on full sets as well. Pairs inside one component need
+   by an upper bound of what two sets share, so that hardly other pairs than links leave it. They are confirmed on full sets as well. Pairs inside one component need
    no confirmation.
 
 No bucket, group or number of partners is capped.
@@ -42,11 +43,10 @@ SHINGLE_WORDS = 5
 PERMUTATIONS = 64
 BAND_ROWS = 4
 SIMILAR = (75, 100)
-#: Signature agreement below which a pair of round 3 isn't confirmed: 4.5 standard errors
-#: under the threshold.
-AGREEMENT = 0.58
 BLOCK = 256
 FULL_BAR = 255
+#: Bars are first compared folded to at most so many.
+FOLD = 128
 _SEED = 20240917
 _STEP = 0xD6E8FEB86659FD93
 
@@ -220,9 +220,25 @@ def _pairs_in_block(key: tuple, table: pa.Table) -> pa.Table:
     one, two = key[1].as_py(), key[2].as_py()
     docs, comps, sizes = (table[c].to_numpy() for c in ("doc", "comp", "n"))
     sides = table["side"].to_numpy()
-    signs = np.array([np.frombuffer(x, np.uint32) for x in table["signature"].to_pylist()])
     counts = [np.frombuffer(x, np.uint8) for x in table["bars"].to_pylist()]
     part, whole = SIMILAR
+    widths = np.array([len(c) for c in counts])
+    full = np.array([c.max(initial=0) == FULL_BAR for c in counts])
+    folds: dict[int, np.ndarray] = {}
+
+    def reachable(i: int, other: np.ndarray) -> np.ndarray:
+        """Those whose folded bars don't rule a link out, by one bound for all of them."""
+        width = min(int(widths[other].min()), int(widths[i]), FOLD)
+        if width not in folds:
+            folds[width] = np.array([
+                c.reshape(-1, width).sum(0, dtype=np.int32) if len(c) >= width
+                else np.zeros(width, np.int32) for c in counts
+            ])
+        held = folds[width]
+        most = np.minimum(held[other], held[i]).sum(1, dtype=np.int64)
+        near = whole * most >= part * (sizes[other] + sizes[i] - most)
+        return other[near | full[other] | full[i]]
+
     left = np.flatnonzero(sides == one)
     right = left if one == two else np.flatnonzero(sides == two)
     a, b = [], []
@@ -234,7 +250,7 @@ def _pairs_in_block(key: tuple, table: pa.Table) -> pa.Table:
             & (sizes[i] * whole >= size * part)
         ]
         if len(other):
-            other = other[(signs[other] == signs[i]).mean(1) >= AGREEMENT]
+            other = reachable(i, other)
             fine = [may_be_similar(counts[i], counts[j], sizes[i], sizes[j]) for j in other]
             other = other[np.array(fine, bool)]
             a.append(np.full(len(other), docs[i]))
@@ -316,8 +332,9 @@ def near_duplicates(
         .withColumn("other", F.explode(F.sequence(
             F.when(is_main, F.lit(0)).otherwise(-F.col("mains")), F.col("rests") - 1)))
         .withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
-        .join(heads.dropDuplicates(["doc"]), "doc").join(sets.select("doc", "bars"), "doc")
-        .select("key", "one", "two", "doc", "comp", "n", "side", "signature", "bars")
+        .join(heads.dropDuplicates(["doc"]).select("doc", "n"), "doc")
+        .join(sets.select("doc", "bars"), "doc")
+        .select("key", "one", "two", "doc", "comp", "n", "side", "bars")
     )
     more = rows.groupBy("key", "one", "two").applyInArrow(_pairs_in_block, "a long, b long")
     further = written(confirmed(more.distinct(), sets))
