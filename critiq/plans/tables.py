@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critiq.functions.plugins import embed
-from critiq.functions.text import tokens
-from critiq.operators.bm25 import PAIRS_PER_PASS, bm25_search, tokenized
+from critiq.operators.bm25 import bm25_search
 from critiq.operators.mapping import ColumnMapping
 from critiq.operators.normalize import normalize_reviews
+from critiq.operators.patterns import containing
 from critiq.operators.scan_topk import with_documents
 from critiq.operators.vector_search import vector_search
 from critiq.session import READ_PARTITIONS, materialize
 
 TOP_K = 5
-# A passage of so many words has one that cannot be cut.
-INNER_WORDS = 3
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,78 +174,12 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``item_id, doc_id`` where a document contains a benchmark passage.
-
-    The words inside a passage, without its first and last, which may be cut,
-    are words of any document that contains it. Documents are looked up by the
-    rarest of them and then compared in full. Passages without inner words are
-    searched for in a scan of their own.
-    """
-    docs = documents(spark, sf_dir)
-    passages = read_table(spark, sf_dir, "benchmark")
-    words = tokens(F.col("text"))
-    long = F.size(words) >= INNER_WORDS
-    inside = passages.filter(long).select("item_id", words.alias("words")).select(
-        "item_id",
-        F.explode(F.array_distinct(F.expr("slice(words, 2, size(words) - 2)"))).alias("term"),
+    """``item_id, doc_id`` where a document contains a benchmark passage."""
+    return containing(
+        documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"),
+        id_column="doc_id", text_column="text",
+        passage_column="item_id", passage_text_column="text",
     )
-    short = passages.filter(~long & F.col("text").isNotNull())
-    corpus = tokenized(docs, "doc_id", "text")
-    wanted = inside.select("term").distinct()
-    bounded = inside.limit(PAIRS_PER_PASS + 1).count() <= PAIRS_PER_PASS
-    small = F.broadcast if bounded else (lambda df: df)
-    postings = corpus.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    held = (
-        postings.join(small(wanted), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("documents"))
-    )
-    anchors = (
-        inside.join(held, "term", "left")
-        .groupBy("item_id")
-        .agg(
-            F.count_if(F.col("documents").isNull()).alias("unknown"),
-            F.min(F.struct("documents", "term")).alias("rarest"),
-        )
-        .filter("unknown = 0")
-        .select("item_id", "rarest.term")
-    )
-    candidates = postings.join(small(anchors), "term")
-    return (
-        candidates.join(passages.withColumnRenamed("text", "passage"), "item_id")
-        .join(read_table(spark, sf_dir, "documents"), "doc_id")
-        .filter(F.contains("text", F.col("passage")))
-        .select("item_id", "doc_id")
-        .unionByName(_short_passage_gold(docs, short))
-    )
-
-
-def _short_passage_gold(docs: DataFrame, short: DataFrame) -> DataFrame:
-    """Pairs of ``short`` passages and the documents that contain them.
-
-    The passages, fewer than three words each, are a stated query set; every
-    document is read once and looks for all of them.
-    """
-    listed = short.select("item_id", "text").toArrow()
-    ids, texts = listed["item_id"].to_pylist(), listed["text"].to_pylist()
-
-    def find(batches):
-        for batch in batches:
-            found = [
-                (item, doc)
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                if text is not None
-                for item, passage in zip(ids, texts)
-                if passage in text
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()),
-                 pa.array([f[1] for f in found], pa.int64())],
-                names=["item_id", "doc_id"],
-            )
-
-    rows = docs.select("doc_id", "text") if ids else docs.select("doc_id", "text").limit(0)
-    return rows.mapInArrow(find, "item_id long, doc_id long")
 
 
 def keyword_matches(
