@@ -10,9 +10,12 @@ blocks on both sides, headings that of the next one. Blocks inside and outside c
 no neighbours of each other. An open block whose neighbours are absent or differ stays inside a
 content zone; elsewhere its stop words decide then, of which it needs more on a page with a zone.
 
-Classes and ids name furniture as whole words or with words of place, as in ``site-footer``.
-Forms and such names are evidence only: on a page that has no other text, they count for
-nothing where that brings up a block of some length that is rich in stop words.
+Classes and ids name furniture as whole words or with words of place, as in ``site-footer``;
+words of comments and adverts do whatever stands beside them, but where it denies them, as in
+``has-comments``. Forms and such names are evidence only: on a page that has no other text, they count for
+nothing where that brings up a block of some length that is rich in stop words. On a page of mostly other than Latin letters,
+for which there are no stop words, sentence marks stand for them. At either end of the text a
+block without any inherits nothing, as menus have none.
 
 Defined results: null and empty html, and pages without main text, give the empty string.
 Unclosed comments, scripts and tags run to the end of the page. Repeated rows are treated one
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -85,6 +89,18 @@ _FURNITURE_NAMES = frozenset(
     disclaimer skip header
     """.split()
 )
+#: Parts that name furniture whatever stands beside them, and parts that deny it.
+_STRONG_NAMES = frozenset(
+    """
+    ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors
+    comment comments commentlist reply replies disqus discussion
+    """.split()
+)
+_DENYING_NAMES = frozenset(
+    """
+    allowed closed count disabled enabled free has hide no non not off on open with without
+    """.split()
+)
 #: Parts that say nothing of their own beside a word of furniture.
 _PLACE_NAMES = frozenset(
     """
@@ -107,6 +123,9 @@ _ATTRIBUTE = re.compile(
     r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S
 )
 _WORD = re.compile(r"[^\W\d_]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Ends of sentences and clauses in many scripts.
+_MARK = re.compile(r"[.!?,;:。！？、，；।॥؟،؛։።]")
 
 
 @dataclass
@@ -118,12 +137,24 @@ class Block:
     breaks: int = 0
     text: str = ""
     label: int | None = None
+    stops: float = 0.0  # share of stop words, or what stands for it
+
+
+def _name_parts(value: str) -> Iterator[set[str]]:
+    for token in value.split():
+        yield {x for x in re.split("[_-]", token) if x and not x.isdigit()}
+
+
+def _names_comments(value: str) -> bool:
+    """Whether some class or id has a word of comments or adverts: ``user-comments``."""
+    return any(
+        parts & _STRONG_NAMES and not parts & _DENYING_NAMES for parts in _name_parts(value)
+    )
 
 
 def _names_furniture(value: str) -> bool:
     """Whether some class or id, as a whole, names furniture: ``site-footer``, not ``has-sidebar``."""
-    for token in value.split():
-        parts = {x for x in re.split("[_-]", token) if x and not x.isdigit()}
+    for parts in _name_parts(value):
         if parts & _FURNITURE_NAMES and parts <= _FURNITURE_NAMES | _PLACE_NAMES:
             return True
     return False
@@ -144,8 +175,11 @@ def _zone(name: str, tag: str, outer: int, marked: bool = True) -> int:
     if "=" not in tag and "hidden" not in tag:
         return zone
     for m in _ATTRIBUTE.finditer(tag, len(name) + 1):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
+            value = _HUMP.sub("-", value).lower()
+            if marked and _names_comments(value):
+                return -1
             if marked and name not in _CONTENT and _names_furniture(value) and not (
                 name == "header" and outer > 0
             ):
@@ -153,13 +187,16 @@ def _zone(name: str, tag: str, outer: int, marked: bool = True) -> int:
             if _CONTENT_NAMES.search(value):
                 zone = 1
         elif key == "role":
+            value = value.lower()
             if value in _FURNITURE_ROLES:
                 return -1
             if value in ("main", "article"):
                 zone = 1
-        elif key == "hidden" or (key == "aria-hidden" and value == "true"):
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return -1
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        elif key == "style" and re.search(
+            r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()
+        ):
             return -1
     return zone
 
@@ -168,6 +205,9 @@ def blocks(html: str, marked: bool = True) -> list[Block]:
     """The text blocks of a page in order; ``marked`` as in ``_zone``."""
     found: list[Block] = []
     stack: list[tuple[str, int]] = []
+    # How often a name is open, and places of open block tags: no tag is looked for in vain.
+    opened: Counter[str] = Counter()
+    open_blocks: list[int] = []
     zone, links, block = 0, 0, Block(0, False)
 
     def closed(heading: bool = False) -> Block:
@@ -176,6 +216,15 @@ def blocks(html: str, marked: bool = True) -> list[Block]:
             found.append(block)
         return Block(zone, heading)
 
+    def leave(place: int) -> int:
+        """Close the tags from a place on; the zone around them."""
+        outer = stack[place][1]
+        opened.subtract(n for n, _ in stack[place:])
+        while open_blocks and open_blocks[-1] >= place:
+            open_blocks.pop()
+        del stack[place:]
+        return outer
+
     def say(text: str) -> None:
         if text:
             block.parts.append(text)
@@ -198,10 +247,8 @@ def blocks(html: str, marked: bool = True) -> list[Block]:
         if tag[1] == "/":
             if name == "a":
                 links = max(0, links - 1)
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if place is not None:
-                zone = stack[place][1]
-                del stack[place:]
+            if opened[name] > 0:
+                zone = leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             if name in _BLOCKS or block.zone != zone:
                 block = closed()
             continue
@@ -218,19 +265,18 @@ def blocks(html: str, marked: bool = True) -> list[Block]:
             if block.breaks == 2:
                 block = closed(block.heading)
             continue
-        if name in _ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or (name == "li" and stack[i][0] == "li"):
-                    zone = stack[i][1]
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BLOCKS:
-                    break
+        if name in _ENDS_P and open_blocks:
+            innermost = stack[open_blocks[-1]][0]
+            if innermost == "p" or name == innermost == "li":
+                zone = leave(open_blocks[-1])
         if name == "a":
             links += 1
         inner = _zone(name, tag, zone, marked)
         if name not in _VOID and not tag.endswith("/>"):
+            if name in _BLOCKS:
+                open_blocks.append(len(stack))
             stack.append((name, zone))
+            opened[name] += 1
             zone = inner
         if name in _BLOCKS or block.zone != zone:
             links = links if name == "a" else 0
@@ -247,18 +293,31 @@ def _stop_count(text: str) -> tuple[int, int]:
     return sum(w in STOP_WORDS for w in words), len(words)
 
 
-def _stop_density(text: str) -> float:
-    stops, words = _stop_count(text)
-    return stops / words if words else 0.0
+def _told_by_marks(found: list[Block]) -> bool:
+    """Whether most letters of the page's longer blocks are other than Latin ones."""
+    latin = other = 0
+    for b in found:
+        if b.zone >= 0 and len(b.text) >= SHORT:
+            letters = "".join(_WORD.findall(b.text))
+            beyond = sum(c > "\u024f" for c in letters)
+            latin, other = latin + len(letters) - beyond, other + beyond
+    return other > latin
 
 
 def decide(found: list[Block]) -> None:
     """First pass: labels 1 and 0, or None where a block stays open."""
-    counts = [_stop_count(b.text) if len(b.text) >= SHORT else (0, 0) for b in found]
-    within = [c for b, c in zip(found, counts, strict=True) if b.zone > 0]
+    marks = _told_by_marks(found)
+    long = SHORT if marks else LONG
+    counts = [_stop_count(b.text) for b in found]
+    longer = [c if len(b.text) >= SHORT else (0, 0) for b, c in zip(found, counts, strict=True)]
+    within = [c for b, c in zip(found, longer, strict=True) if b.zone > 0]
     usual = sum(k for k, _ in within) / max(1, sum(n for _, n in within))
     for b, (k, n) in zip(found, counts, strict=True):
-        x = k / max(1, n)
+        b.stops = k / max(1, n)
+        if marks:
+            several = len(_MARK.findall(b.text))
+            b.stops = HIGH_STOPS if several > 1 and several * 100 >= len(b.text) else 0.0
+        x = b.stops if len(b.text) >= SHORT else 0.0
         solid = sum(map(len, b.text.split()))
         density = b.linked / solid if solid else 0.0
         if b.zone < 0 or density > LINKED:
@@ -267,14 +326,14 @@ def decide(found: list[Block]) -> None:
             if len(b.text) < SHORT:
                 b.label = None
             else:
-                spread = math.sqrt(n * usual * (1 - usual))
+                spread = 0.0 if marks else math.sqrt(n * usual * (1 - usual))
                 lack = (n * usual - k) / spread if spread and x < LOW_STOPS else 0.0
                 b.label = 0 if lack and lack + LINK_WEIGHT * density > DOUBT else 1
         elif density > LINKED_LOOSE:
             b.label = 0
         elif len(b.text) < SHORT:
             b.label = None
-        elif x >= HIGH_STOPS and len(b.text) >= LONG:
+        elif x >= HIGH_STOPS and len(b.text) >= long:
             b.label = 1
         else:
             b.label = None if x >= LOW_STOPS else 0
@@ -311,12 +370,15 @@ def inherit(found: list[Block]) -> None:
         elif b.zone > 0:
             labels[i] = 1
         elif zoned:
-            labels[i] = int(len(b.text) >= SHORT and _stop_density(b.text) >= least)
+            labels[i] = int(len(b.text) >= SHORT and b.stops >= least)
         elif before is None or after is None:
             told = after if before is None else before
-            labels[i] = told if told is not None else int(_stop_density(b.text) >= least)
+            if told is None:
+                labels[i] = int(b.stops >= least)
+            else:
+                labels[i] = told if _MARK.search(b.text) else 0
         else:
-            labels[i] = int(_stop_density(b.text) >= least)
+            labels[i] = int(b.stops >= least)
     for b, label in zip(found, labels, strict=True):
         b.label = label
 
@@ -327,8 +389,7 @@ def main_text(html: str | None) -> str:
     if not any(b.label for b in found):
         opened = blocks(html or "", marked=False)
         decide(opened)
-        if any(b.label and len(b.text) >= SHORT and _stop_density(b.text) >= HIGH_STOPS
-               for b in opened):
+        if any(b.label and len(b.text) >= SHORT and b.stops >= HIGH_STOPS for b in opened):
             found = opened
     inherit(found)
     return "\n".join(b.text for b in found if b.label)

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -119,3 +120,53 @@ def test_given_pages_hold_their_documents(spark):
         whole += body == want and want.startswith(title.rstrip())
         assert want.endswith(r.text[-20:].strip()) or "html>" not in r.text
     assert whole >= 0.95 * len(found)
+
+
+@pytest.mark.parametrize("html", [
+    "<article>" + "<i>" * 20_000 + "x" + "</b>" * 20_000,
+    "<p><table>" + "<i>" * 20_000 + "<hr>" * 20_000,
+    "<ul>" + "<li><b>" * 20_000 + "</u>" * 20_000,
+    "<div>" * 20_000 + "</p>" * 20_000 + "</div>" * 20_000,
+])
+def test_unclosed_markup_takes_linear_time(html):
+    started = time.perf_counter()
+    main_text(html)
+    assert time.perf_counter() - started < 5
+
+
+@pytest.mark.parametrize("mark", [
+    "<div class=user-comments>", "<section id=reader-discussion-thread>", "<div id=google_ads>",
+    "<div class='box sponsored-content'>", "<div class=userComments>", "<article class=comment>",
+    "<ol class='comment-thread depth-1'>",
+])
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_and_adverts_beside_other_words(mark, inside):
+    name = mark[1:].split()[0].strip(">")
+    extra = f"{mark}<p>{LONG}</p></{name}>"
+    start, end = ("<article>", "</article>") if inside else ("<article>", "")
+    story = f"<p>{STORY}</p><p>{LONG}</p>"
+    html = f"{start}{story}{extra}{end}" if inside else f"<article>{story}</article>{extra}"
+    assert main_text(html) == f"{STORY}\n{LONG}"
+
+
+@pytest.mark.parametrize("mark", [
+    "<div class=has-comments>", "<div class='post comments-open'>", "<div class=ad-free>",
+])
+def test_denied_names_are_none(mark):
+    assert main_text(f"<body>{mark}<p>{STORY}</p><p>{LONG}</p></div>") == f"{STORY}\n{LONG}"
+
+
+def test_menu_above_an_unmarked_article():
+    html = f"<body><div>Home About Contact</div><h1>A day</h1><p>{LONG}</p><p>{LONG}</p></body>"
+    assert main_text(html) == f"A day\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("said", [
+    "Вчера вечером в городе прошёл сильный дождь, и многие улицы оказались под водой. "
+    "Жители говорят, что такого они не видели уже много лет, а службы работают всю ночь.",
+    "昨日の夜、町では激しい雨が降り、多くの道路が水に浸かりました。住民によると、このような雨は"
+    "何年も見たことがないそうです。消防や市の職員は一晩中働き、朝までに主な道路を開きました。",
+])
+def test_languages_without_stop_words(said):
+    html = f"<body><div>Меню ホーム</div><p>{said}</p><p>{said}</p><div><a href=/>{said}</a></div></body>"
+    assert main_text(html) == f"{said}\n{said}"
