@@ -9,9 +9,11 @@ principal directions, then alternating steps that bring the rotated sample near
 code is split into substrings. Every segment of a range has one table per substring, from the
 substring's value to the rows that have it. A query looks up every value within
 ``PROBE_RADIUS`` bits of its own in every table. By the pigeonhole principle this retrieves
-every code within ``TABLES * (PROBE_RADIUS + 1) - 1`` bits of the query's, and many beyond;
-all retrieved rows are ranked by their original vectors. Where a segment gives fewer than k
-rows, the radius grows until it gives k or is read whole. Every row is indexed, buckets have no
+every code within ``TABLES * (PROBE_RADIUS + 1) - 1`` bits of the query's, and many beyond.
+Retrieved rows are put in the order of their whole codes' distance; in that order their original
+vectors are read and ranked, in batches of ``BATCH`` times k, until the k-th score stays the
+same over ``PATIENCE`` batches. Where a segment gives fewer than k rows, the radius grows until
+it gives k or is read whole. Every row is indexed, buckets have no
 cap, and a bucket that holds most rows only makes a segment's scan longer, as rows are never
 paired outside a task.
 
@@ -41,6 +43,10 @@ PROBE_RADIUS = 2
 SEGMENT_ROWS = 8192
 QUERY_ROWS = 1024
 SAMPLE_ROWS = 4096
+BATCH = 2
+PATIENCE = 4
+#: Rounding of a norm that must not part equal vectors.
+NORM_SLACK = 1e-6
 LEARN_STEPS = 20
 
 
@@ -62,11 +68,22 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 7) -> np.ndarray:
     return np.hstack(made)[:, :bits].astype(np.float32)
 
 
-def substrings(vectors: np.ndarray, rotations: np.ndarray, width: int) -> np.ndarray:
+def code_bits(vectors: np.ndarray, rotations: np.ndarray) -> np.ndarray:
+    return vectors.astype(np.float32) @ rotations >= 0
+
+
+def substrings(bits: np.ndarray, width: int) -> np.ndarray:
     """Values (rows x tables) of the codes' substrings."""
-    tables = rotations.shape[1] // width
-    signs = (vectors.astype(np.float32) @ rotations >= 0).reshape(len(vectors), tables, width)
-    return signs @ (1 << np.arange(width, dtype=np.int64)[::-1])
+    parts = bits.reshape(len(bits), -1, width)
+    return parts @ (1 << np.arange(width, dtype=np.int64)[::-1])
+
+
+def packed_codes(bits: np.ndarray) -> np.ndarray:
+    """Codes in 64-bit words (rows x words)."""
+    eighths = np.packbits(bits, axis=1)
+    whole = np.zeros((len(bits), -(-eighths.shape[1] // 8) * 8), np.uint8)
+    whole[:, : eighths.shape[1]] = eighths
+    return whole.view(np.uint64)
 
 
 def lookup_masks(width: int, radius: int) -> np.ndarray:
@@ -112,28 +129,38 @@ def probe(value: np.ndarray, rows: np.ndarray, begins: np.ndarray, masks: np.nda
 
 
 def search_segment(
-    q: np.ndarray, q_ids: np.ndarray, q_values: np.ndarray, vectors: np.ndarray,
-    ids: np.ndarray, rows: np.ndarray, begins: np.ndarray, masks: list[np.ndarray], k: int,
-) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows for every query; ``masks`` are those of growing radius, the last of all."""
+    q: np.ndarray, q_ids: np.ndarray, q_values: np.ndarray, q_codes: np.ndarray,
+    vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, begins: np.ndarray,
+    codes: np.ndarray, masks: list[np.ndarray], k: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows for every query, and how many vectors were read for it.
+
+    ``masks`` are those of growing radius, the last of all values.
+    """
     scores = np.full((len(q), k), -np.inf)
     found = np.full((len(q), k), ABSENT, np.int64)
+    read = np.zeros(len(q), np.int64)
     for i in range(len(q)):
         for reach in masks:
             near = probe(q_values[i], rows, begins, reach)
             near = near[ids[near] != q_ids[i]]
             if len(near) >= k or len(near) >= len(ids) - 1:
                 break
-        if len(near) == 0:
-            continue
-        score = vectors[near] @ q[i]
-        if len(near) > k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            some = score >= least
-            near, score = near[some], score[some]
-        order = np.lexsort((ids[near], -score))[:k]
-        scores[i, : len(order)], found[i, : len(order)] = score[order], ids[near[order]]
-    return scores, found
+        apart = np.bitwise_count(codes[near] ^ q_codes[i]).sum(axis=1, dtype=np.int64)
+        near = near[np.lexsort((ids[near], apart))]
+        best, best_ids, kth, same = np.zeros(0), np.zeros(0, np.int64), -np.inf, 0
+        while read[i] < len(near) and same < PATIENCE:
+            part = near[read[i] : read[i] + BATCH * k]
+            read[i] += len(part)
+            best = np.concatenate([best, vectors[part] @ q[i]])
+            best_ids = np.concatenate([best_ids, ids[part]])
+            order = np.lexsort((best_ids, -best))[:k]
+            best, best_ids = best[order], best_ids[order]
+            if len(best) == k:
+                same = same + 1 if best[-1] == kth else 0
+                kth = best[-1]
+        scores[i, : len(best)], found[i, : len(best)] = best, best_ids
+    return scores, found, read
 
 
 @dataclass
@@ -161,17 +188,17 @@ class NormRange:
         unit = math.sqrt(self.longest) or 1.0
         return centre, learn_rotations((wide - centre) / unit, bits)
 
-    def data_values(self, vectors: np.ndarray) -> np.ndarray:
-        return self.values(self.longer(vectors))
+    def data_bits(self, vectors: np.ndarray) -> np.ndarray:
+        return self.bits(self.longer(vectors))
 
-    def query_values(self, vectors: np.ndarray) -> np.ndarray:
+    def query_bits(self, vectors: np.ndarray) -> np.ndarray:
         size = np.sqrt((vectors**2).sum(1))[:, None]
         scaled = vectors * (math.sqrt(self.longest) / np.where(size > 0, size, 1.0))
-        return self.values(np.hstack([scaled, np.zeros_like(size)]))
+        return self.bits(np.hstack([scaled, np.zeros_like(size)]))
 
-    def values(self, wide: np.ndarray) -> np.ndarray:
+    def bits(self, wide: np.ndarray) -> np.ndarray:
         unit = math.sqrt(self.longest) or 1.0
-        return substrings((wide - self.centre) / unit, self.rotations, self.width)
+        return code_bits((wide - self.centre) / unit, self.rotations)
 
 
 def norm_ranges(items: DataFrame, dims: int, tables: int) -> dict[int, NormRange]:
@@ -226,7 +253,8 @@ def nearest(
     alive = F.exists("vec", lambda x: x != 0)
     size = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     items = clean_vectors(data, id_col, vector_col).filter(alive).withColumn("size", size)
-    power = F.floor(F.log2(F.greatest("size", F.lit(5e-324)))).cast("int")
+    slack = F.greatest("size", F.lit(5e-324)) * (1 + NORM_SLACK)
+    power = F.floor(F.log2(slack)).cast("int")
     items = written(items.withColumn("power", power))
     dims = items.agg(F.max(F.size("vec"))).first()[0] or 1
     ranges = norm_ranges(items, dims, tables)
@@ -239,12 +267,13 @@ def nearest(
         range_of |= {r.first + i: p for i in range(r.blocks)}
 
     def pack_data(ids: np.ndarray, vectors: np.ndarray, number: int) -> dict:
-        names = "ids", "vectors", "rows", "begins", "power"
+        names = "ids", "vectors", "rows", "begins", "codes", "power"
         own = shared.value.get(range_of[number])
         if own is None:
             return dict.fromkeys(names, b"")
-        rows, begins = segment_tables(own.data_values(vectors), own.width)
-        held = ids, vectors, rows, begins, np.array([range_of[number]])
+        bits = own.data_bits(vectors)
+        rows, begins = segment_tables(substrings(bits, own.width), own.width)
+        held = ids, vectors, rows, begins, packed_codes(bits), np.array([range_of[number]])
         return {n: packed(x) for n, x in zip(names, held, strict=True)}
 
     def pack_queries(ids: np.ndarray, vectors: np.ndarray, _: int) -> dict:
@@ -254,13 +283,16 @@ def nearest(
         ids = np.frombuffer(d["ids"], np.int64)
         own = shared.value[int(np.frombuffer(d["power"], np.int64)[0])]
         asked = np.frombuffer(q["vectors"], np.float64).reshape(-1, dims)
-        return search_segment(
-            asked, np.frombuffer(q["ids"], np.int64), own.query_values(asked),
-            np.frombuffer(d["vectors"], np.float64).reshape(-1, dims), ids,
+        bits = own.query_bits(asked)
+        scores, found, _ = search_segment(
+            asked, np.frombuffer(q["ids"], np.int64), substrings(bits, own.width),
+            packed_codes(bits), np.frombuffer(d["vectors"], np.float64).reshape(-1, dims), ids,
             np.frombuffer(d["rows"], np.int32).reshape(tables, len(ids)),
             np.frombuffer(d["begins"], np.int32).reshape(tables, -1),
+            np.frombuffer(d["codes"], np.uint64).reshape(len(ids), -1),
             growing_masks(own.width, radius), k,
         )
+        return scores, found
 
     asked = clean_vectors(queries, id_col, vector_col).filter(alive)
     asked = asked.select("item", F.slice("vec", 1, dims).alias("vec"))

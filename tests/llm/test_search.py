@@ -211,3 +211,38 @@ def test_masks_grow_to_all_values():
     grown = ann.growing_masks(6, 2)
     assert sorted(grown[0].tolist()) == sorted(ann.lookup_masks(6, 2).tolist())
     assert len(grown) == 5 and sorted(grown[-1].tolist()) == list(range(64))
+
+
+@pytest.mark.parametrize("clusters", [0, 50])
+def test_a_tenth_of_the_rows_is_read_at_most(clusters):
+    """10,000 rows in one segment: recall and vectors read."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((10_000, 64))
+    if clusters:
+        x = rng.standard_normal((clusters, 64))[rng.integers(0, clusters, len(x))] + 0.7 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = ann.NormRange(1.0 + 1e-9, 13, 1, 0)
+    own.centre, own.rotations = own.learned(x[: ann.SAMPLE_ROWS], ann.TABLES * 13)
+    bits, ids = own.data_bits(x), np.arange(len(x))
+    rows, begins = ann.segment_tables(ann.substrings(bits, 13), 13)
+    asked = own.query_bits(x[::100])
+    _, found, read = ann.search_segment(
+        x[::100], ids[::100], ann.substrings(asked, 13), ann.packed_codes(asked), x, ids, rows,
+        begins, ann.packed_codes(bits), ann.growing_masks(13, ann.PROBE_RADIUS), 20,
+    )
+    hits = 0
+    for q, got in zip(ids[::100], found):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & set(got.tolist()))
+    assert hits >= 0.9 * 20 * 100
+    assert read.mean() <= 0.1 * len(x)
+
+
+def test_unit_vectors_share_a_range():
+    x = np.random.default_rng(1).standard_normal((400, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    size = (x.astype(np.float64) ** 2).sum(1)
+    assert (size < 1).any() and (size >= 1).any()
+    powers = np.floor(np.log2(size * (1 + ann.NORM_SLACK)))
+    assert set(powers) == {0.0}
