@@ -238,7 +238,7 @@ def fit_quality(
     mean, scale = x[~check].mean(0), x[~check].std(0) + 1e-6
     layers = train_network((x[~check] - mean) / scale, y[~check])
     model = QualityModel(vectors, mean, scale, layers, 1.0)
-    model.temperature = max(1.0, calibrated_temperature(model.logits(x[check]), y[check]))
+    model.temperature = calibrated_temperature(model.logits(x[check]), y[check])
     return model
 
 
