@@ -22,6 +22,7 @@ from critiq.operators.vector_cells import search_cells, write_cells
 from critiq.operators.vector_search import Bound, search, vector_search
 from critiq.plans import tables as T
 from critiq.session import materialize, scratch_dir
+from critiq.sources import index as sources_index
 from critiq.sources.cases import read_cases
 from critiq.sources.index import index_count, read_index, write_batch
 from critiq.sources.registry import file_digests, file_facts, register_dataset
@@ -569,6 +570,26 @@ def source_integrity(spark, sf):
     )
 
 
+def index_fingerprint(spark, sf):
+    """Fingerprint of an index that first held other records, from its commits alone."""
+    path = scratch_dir(spark)
+    records = T.plain_records(spark, sf)
+    half = records.filter(F.col("doc_id") % 2 == 0).withColumn("Country", F.lit("none"))
+    for part in (half, records):
+        identified = identity.assign_source_ids(part, ["doc_id"])
+        built = build_documents(identified, keep=("digest",)).select("source_id", "digest")
+        existing = read_index(spark, path, ["source_id"])
+        if existing is None:
+            write_batch(spark, path, built)
+        else:
+            write_batch(
+                spark, path, missing_documents(existing, built), stale_ids(existing, built)
+            )
+    return spark.range(1).select(
+        F.lit(sources_index.index_fingerprint(spark, path)).alias("fingerprint")
+    )
+
+
 def index_size(spark, sf):
     """Rows of an index of the documents."""
     path = scratch_dir(spark)
@@ -732,6 +753,7 @@ QUERIES: dict[str, Query] = {
     "case_manifest": case_manifest,
     "source_integrity": source_integrity,
     "index_size": index_size,
+    "index_fingerprint": index_fingerprint,
     "case_violations": case_violations,
     "incomplete_observations": incomplete_observations,
     "registered_dataset": registered_dataset,

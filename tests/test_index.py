@@ -219,6 +219,26 @@ def test_compaction_shortens_the_log(spark, tmp_path):
     assert index_count(spark, path) == 4 and len(commits(spark, path)) == 2
 
 
+def test_fingerprint_of_a_snapshot_without_its_rows(spark, tmp_path):
+    from critiq.operators.documents import build_documents
+    from critiq.operators.identity import assign_source_ids, sum_fingerprint
+    from critiq.operators.reconcile import reconcile_index
+    from critiq.sources import index as I
+
+    path = str(tmp_path / "index")
+    assert I.index_fingerprint(spark, path) is None
+    for texts in (["a", "a", "b"], ["a", "b", "c", "c"], ["d"], ["d", "a"]):
+        reviews = normalize_reviews(spark.createDataFrame([(t,) for t in texts], "Review string"))
+        documents = build_documents(assign_source_ids(reviews), keep=("digest",))
+        reconcile_index(spark, path, documents, letter_counts)
+        assert I.index_fingerprint(spark, path) == sum_fingerprint(reviews).head()[0]
+    I.compact_index(spark, path)
+    assert len(list((tmp_path / "index" / "commits").glob("*.parquet"))) == 1
+    assert I.index_fingerprint(spark, path) == sum_fingerprint(reviews).head()[0]
+    I.write_batch(spark, path, spark.createDataFrame([("x",)], "source_id string"))
+    assert I.index_fingerprint(spark, path) is None
+
+
 def test_half_written_datasets_are_written_again(spark, tmp_path):
     path, root = tmp_path / "r.csv", str(tmp_path / "store")
     path.write_text("Review\n" + "".join(f"text {i}\n" for i in range(100)))
