@@ -180,3 +180,32 @@ def test_empty_tables_and_tokens(spark):
                            "part:b", "part:com", "path:x", "path:0", "ending:html", "key:k",
                            "key:z"]), [], []]
     assert df.select(host(F.col("url")), path(F.col("url"))).count() == 3
+
+
+def test_combinations_beyond_the_rarest_tokens_count(spark):
+    """Nine undecided tokens of every URL are rarer than the pair that decides."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        part = [t for t in ("often0", "often1") if rng.random() < 0.7]
+        label = "block" if len(part) == 2 else "allow"
+        part += [f"rare{i % 4}k{j}" for j in range(9)]
+        rows.append((sorted(part), label))
+    marked = spark.createDataFrame(rows, "tokens array<string>, label string")
+    rules = {(tuple(r.antecedent), r.consequent): r.confidence
+             for r in mined_rules(marked).collect()}
+    assert rules[("often0", "often1"), "block"] == 1.0
+    asked = [("often0", "often1"), ("often0", "often1", "rare1k3"), ("new",)]
+    sets = spark.createDataFrame([(list(t),) for t in asked], "tokens array<string>")
+    got = {tuple(r.tokens): r.mined for r in U.rule_verdicts(sets, mined_rules(marked)).collect()}
+    assert [got.get(t, "allow") for t in asked] == ["block", "block", "allow"]
+
+
+def test_rare_combinations_count_among_many_urls(spark):
+    """Five URLs of 600,015, less than a share of 1e-5."""
+    few = [(["x", "y"], "block"), (["v", "x"], "allow"), (["v", "y"], "allow")] * 5
+    many = spark.range(600_000).select(F.array(F.lit("z")).alias("tokens"),
+                                       F.lit("allow").alias("label"))
+    marked = many.unionByName(spark.createDataFrame(few, many.schema))
+    rules = {(tuple(r.antecedent), r.consequent) for r in mined_rules(marked).collect()}
+    assert (("x", "y"), "block") in rules
