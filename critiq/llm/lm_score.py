@@ -14,8 +14,11 @@ is approximate and nothing that grows is broadcast. A class of such words keeps
 for words that were never seen. So the probabilities of all words and of the unseen ones of
 each class sum to 1 in every window.
 
-The network and the classes are fitted to at most about ``SAMPLE`` windows, taken by hash from
-all positions of all documents.
+All windows of all documents make the model. The classes come from exact sums over them. The
+network begins with about ``SAMPLE`` windows, taken by hash from all positions; then every task
+trains its own copy on all windows of its documents, and the copies are averaged, embeddings by
+how often a task met their word. As many tasks train as the cluster has cores, so that what they
+exchange doesn't grow with the documents. Other files of the same documents give other steps.
 
 Defined results: null texts and texts without words have no words and score 0. Repeated rows
 count as often as they occur and are each scored. Without any document all classes are alike.
@@ -25,15 +28,16 @@ Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from critiq.llm.common import (
-    LOWER, chunks, map_texts, mixed, run_hashes, text_buffers, word_spans, written,
+    LOWER, chunks, map_texts, mixed, packed, run_hashes, text_buffers, word_spans, written,
 )
 
 VOCABULARY = 1 << 17
@@ -45,8 +49,13 @@ SAMPLE = 400_000
 UNSEEN = 0.5
 _EPOCHS = 3
 _BATCH = 1024
+#: Windows of a step on all documents.
+_WIDE = 4096
 _RATE = 0.05
-_BLOCK = 1 << 14
+#: Windows whose class scores stay in a core's cache.
+_BLOCK = 1 << 10
+#: Embedding rows that tasks exchange at once.
+_ROWS = 1 << 12
 #: Window positions: two words before, two after.
 _STEPS = (-1, -2, 1, 2)
 
@@ -178,6 +187,26 @@ class WindowModel:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    def target_logs(self, window: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Log-probability of one class for each row of window places."""
+        z = np.tanh(self._sum(window)) @ self.output + self.offset
+        z -= z.max(axis=1, keepdims=True)
+        chosen = z[np.arange(len(z)), classes]
+        return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+
+    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Embedding rows of words and of the words around them."""
+        own = self.places(words.hashes, words.endings)
+        at, inside = words.window()
+        return own, np.where(inside, own[at], len(self.words) + RARE)
+
+    def targets(self, own: np.ndarray) -> np.ndarray:
+        """Classes of embedding rows."""
+        rare = own >= len(self.words)
+        classes = np.where(rare, SINGLE + GROUPS + own - len(self.words), 0)
+        classes[~rare] = self.classes[own[~rare]]
+        return classes
+
     def _sum(self, window: np.ndarray) -> np.ndarray:
         return (
             self.left[window[:, 0]] + self.far * self.left[window[:, 1]]
@@ -186,18 +215,13 @@ class WindowModel:
 
     def token_logs(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Per word its log-probability, without the log count of a rare one; and which are."""
-        own = self.places(words.hashes, words.endings)
-        at, inside = words.window()
-        window = np.where(inside, own[at], len(self.words) + RARE)
+        own, window = self.windows(words)
         rare = own >= len(self.words)
-        classes = np.empty(len(own), np.int64)
-        classes[~rare] = self.classes[own[~rare]]
-        classes[rare] = SINGLE + GROUPS + words.endings[rare]
+        classes = self.targets(own)
         logs = np.empty(len(own))
         for a in range(0, len(own), _BLOCK):
             part = slice(a, a + _BLOCK)
-            found = self.class_logs(window[part])
-            logs[part] = found[np.arange(len(found)), classes[part]]
+            logs[part] = self.target_logs(window[part], classes[part])
         logs[~rare] += self.shares[own[~rare]]
         logs[rare] -= np.log(self.rare_totals[words.endings[rare]])
         return logs, rare
@@ -217,66 +241,206 @@ def _grouped(features: np.ndarray, groups: int, rounds: int = 10) -> np.ndarray:
     return place
 
 
-def _classes(words: np.ndarray, counts: np.ndarray, own: np.ndarray, window: np.ndarray):
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of an ascending array, and where each begins."""
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return ordered[starts], starts
+
+
+def _summed(places: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places, ascending, and the sums of their rows."""
+    order = np.argsort(places, kind="stable")
+    rows, starts = _runs(places[order])
+    return rows, np.add.reduceat(parts.take(order, axis=0), starts)
+
+
+def _shared_out(docs: DataFrame, text_col: str) -> DataFrame:
+    """The texts in no more parts than there are cores, as each part sends a whole model."""
+    return docs.select(text_col).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+
+
+def _contexts(
+    docs: DataFrame, text_col: str, model: WindowModel, signs: np.ndarray
+) -> np.ndarray:
+    """Sums of the signs of the words left and right of every frequent word, over all documents."""
+    n = len(model.words)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((replace(model, left=None, right=None), signs))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, signs = shared.value
+        sums = np.zeros((n, 2 * HIDDEN), np.int64)
+        for batch in batches:
+            for _, words in _words(batch.column(0)):
+                own, window = model.windows(words)
+                frequent = own < n
+                if frequent.any():
+                    order = np.flatnonzero(frequent)
+                    order = order[np.argsort(own[order], kind="stable")]
+                    rows, starts = _runs(own[order])
+                    for side, j in ((0, 0), (1, 2)):
+                        around = signs[side].take(window[order, j], axis=0)
+                        added = np.add.reduceat(around, starts, dtype=np.int32)
+                        sums[rows, side * HIDDEN : (side + 1) * HIDDEN] += added
+        for a in range(0, n, _ROWS):
+            if sums[a : a + _ROWS].any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a], pa.int32()), pa.array([packed(sums[a : a + _ROWS])])],
+                    names=["first", "sums"],
+                )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["sums"])
+        return pa.table({"first": table["first"][:1],
+                         "sums": pa.array([packed(total.astype(np.float32))])})
+
+    schema = "first int, sums binary"
+    parts = map_texts(_shared_out(docs, text_col), gather, schema)
+    features = np.zeros((n, 2 * HIDDEN), np.float32)
+    for row in parts.groupBy("first").applyInArrow(add, schema).toArrow().to_pylist():
+        found = np.frombuffer(row["sums"], np.float32).reshape(-1, 2 * HIDDEN)
+        features[row["first"] : row["first"] + len(found)] = found
+    shared.destroy()
+    return features
+
+
+def _classes(docs: DataFrame, text_col: str, model: WindowModel, counts: np.ndarray) -> np.ndarray:
     """Class of every frequent word: by itself, or by the windows it stands in."""
+    words = model.words
     order = np.lexsort((words, -counts))
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     rng = np.random.default_rng(17)
     rows = len(words) + RARE + 1
-    signs = rng.choice(np.array([-1.0, 1.0], np.float32), (2, rows, HIDDEN))
+    signs = rng.choice(np.array([-5, 5], np.int8), (2, rows, HIDDEN))
     # What lies beyond the thousand most frequent words says little by itself.
-    signs[:, : len(words)][:, rank >= 1000] *= 0.2
-    features = np.zeros((len(words), 2 * HIDDEN), np.float32)
-    frequent = own < len(words)
-    for j, side in ((0, 0), (2, 1)):
-        np.add.at(
-            features[:, side * HIDDEN : (side + 1) * HIDDEN], own[frequent],
-            signs[side, window[frequent, j]],
-        )
-    classes = SINGLE + _grouped(features, GROUPS)
+    signs[:, : len(words)][:, rank >= 1000] //= 5
+    classes = SINGLE + _grouped(_contexts(docs, text_col, model, signs), GROUPS)
     classes[order[:SINGLE]] = np.arange(min(SINGLE, len(words)))
     return classes
 
 
-def train_network(model: WindowModel, window: np.ndarray, target: np.ndarray) -> None:
-    """Fit the layers to windows and classes in place: Adagrad on the mean log loss."""
-    rng = np.random.default_rng(3)
-    layers = {n: getattr(model, n) for n in ("left", "right", "far", "bias", "output", "offset")}
-    past = {n: np.full_like(v, 1e-6) for n, v in layers.items()}
+_DENSE = ("far", "bias", "output", "offset")
+
+
+class Training:
+    """Fits the layers of a model in place: Adagrad on the mean log loss."""
+
+    def __init__(self, model: WindowModel, past: dict[str, np.ndarray] | None = None):
+        self.model = model
+        self.layers = {n: getattr(model, n) for n in ("left", "right", *_DENSE)}
+        self.past = past or {n: np.full_like(v, 1e-6) for n, v in self.layers.items()}
+
+    def _step(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
+        past = self.past[name][rows] + gradient**2
+        self.past[name][rows] = past
+        self.layers[name][rows] -= _RATE * gradient / np.sqrt(past)
+
+    def batch(self, seen: np.ndarray, goal: np.ndarray) -> None:
+        model = self.model
+        hidden = np.tanh(model._sum(seen))
+        p = hidden @ model.output + model.offset
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(goal)), goal] -= 1.0
+        p /= len(goal)
+        back = (p @ model.output.T) * (1 - hidden**2)
+        beyond = model.left[seen[:, 1]] + model.right[seen[:, 3]]
+        self._step("output", hidden.T @ p)
+        self._step("offset", p.sum(axis=0))
+        self._step("bias", back.sum(axis=0))
+        parts = np.vstack([back, back * model.far])
+        self._step("far", (back * beyond).sum(axis=0))
+        for name, near, second in (("left", 0, 1), ("right", 2, 3)):
+            rows, sums = _summed(np.concatenate([seen[:, near], seen[:, second]]), parts)
+            self._step(name, sums, rows)
+
+    def epoch(
+        self, window: np.ndarray, target: np.ndarray, rng: np.random.Generator,
+        size: int = _BATCH,
+    ) -> None:
+        order = rng.permutation(len(target))
+        for a in range(0, len(order), size):
+            take = order[a : a + size]
+            self.batch(window[take], target[take])
 
-    def step(name: str, gradient: np.ndarray, rows=slice(None)) -> None:
-        past[name][rows] += gradient**2
-        layers[name][rows] -= _RATE * gradient / np.sqrt(past[name][rows])
 
-    for _ in range(_EPOCHS):
-        order = rng.permutation(len(target))
-        for a in range(0, len(order), _BATCH):
-            take = order[a : a + _BATCH]
-            seen, goal = window[take], target[take]
-            hidden = np.tanh(model._sum(seen))
-            z = hidden @ model.output + model.offset
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(goal)), goal] -= 1.0
-            p /= len(goal)
-            back = (p @ model.output.T) * (1 - hidden**2)
-            beyond = model.left[seen[:, 1]] + model.right[seen[:, 3]]
-            step("output", hidden.T @ p)
-            step("offset", p.sum(axis=0))
-            step("bias", back.sum(axis=0))
-            scaled = back * model.far
-            step("far", (back * beyond).sum(axis=0))
-            for name, near, second in (("left", 0, 1), ("right", 2, 3)):
-                places = np.concatenate([seen[:, near], seen[:, second]])
-                parts = np.vstack([back, scaled])
-                rows, inverse = np.unique(places, return_inverse=True)
-                sums = np.zeros((len(rows), HIDDEN), parts.dtype)
-                by_row = np.argsort(inverse, kind="stable")
-                starts = np.searchsorted(inverse[by_row], np.arange(len(rows)))
-                sums[:] = np.add.reduceat(parts[by_row], starts)
-                step(name, sums, rows)
+def _trained_on_all(
+    docs: DataFrame, text_col: str, model: WindowModel, past: dict[str, np.ndarray]
+) -> None:
+    """Train on every window of all documents, in place.
+
+    Tasks send by how much their copies changed, those of embeddings in half precision.
+    """
+    rows = len(model.left)
+    shared = docs.sparkSession.sparkContext.broadcast((model, past))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, before = shared.value
+        own_copy = replace(start, **{n: getattr(start, n).copy() for n in before})
+        training = Training(own_copy, {n: v.copy() for n, v in before.items()})
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng((3, part))
+        met = {"left": np.zeros(rows, np.int64), "right": np.zeros(rows, np.int64)}
+        seen = 0
+        for batch in batches:
+            for _, words in _words(batch.column(0)):
+                if not len(words.hashes):
+                    continue
+                own, window = own_copy.windows(words)
+                training.epoch(window, own_copy.targets(own), rng, _WIDE)
+                seen += len(own)
+                met["left"] += np.bincount(window[:, :2].ravel(), minlength=rows)
+                met["right"] += np.bincount(window[:, 2:].ravel(), minlength=rows)
+        if not seen:
+            return
+        change = {n: v - getattr(start, n) for n, v in training.layers.items()}
+        dense = np.concatenate([change[n].ravel() for n in _DENSE])
+        sent = [("dense", 0, np.array([seen]), dense)]
+        for name, often in met.items():
+            for a in range(0, rows, _ROWS):
+                if often[a : a + _ROWS].any():
+                    sent.append((name, a, often[a : a + _ROWS],
+                                 change[name][a : a + _ROWS].astype(np.float16)))
+        for name, first, often, layer in sent:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([first], pa.int32()), pa.array([part], pa.int32()),
+                 pa.array([packed(often)]), pa.array([packed(layer)])],
+                names=["name", "first", "part", "often", "layer"],
+            )
+
+    def average(table: pa.Table) -> pa.Table:
+        total = weights = 0
+        for row in table.sort_by("part").to_pylist():
+            often = np.frombuffer(row["often"], np.int64).astype(np.float64)
+            kind = np.float32 if row["name"] == "dense" else np.float16
+            layer = np.frombuffer(row["layer"], kind).reshape(len(often), -1)
+            total = total + often[:, None] * layer
+            weights = weights + often
+        mean = total / np.maximum(weights, 1.0)[:, None]
+        return pa.table({"name": table["name"][:1], "first": table["first"][:1],
+                         "met": pa.array([packed(weights > 0)]),
+                         "layer": pa.array([packed(mean.astype(np.float32))])})
+
+    copies = map_texts(
+        _shared_out(docs, text_col), train,
+        "name string, first int, part int, often binary, layer binary",
+    )
+    averaged = copies.groupBy("name", "first").applyInArrow(
+        average, "name string, first int, met binary, layer binary"
+    )
+    for row in averaged.toArrow().to_pylist():
+        met, layer = np.frombuffer(row["met"], bool), np.frombuffer(row["layer"], np.float32)
+        if row["name"] == "dense":
+            for name in _DENSE:
+                held = getattr(model, name)
+                held += layer[: held.size].reshape(held.shape)
+                layer = layer[held.size :]
+        else:
+            held = getattr(model, row["name"])[row["first"] : row["first"] + len(met)]
+            held[met] += layer.reshape(len(met), -1)[met]
+    shared.destroy()
 
 
 def fit_lm(docs: DataFrame, text_col: str = "text") -> tuple[WindowModel, DataFrame]:
@@ -303,10 +467,7 @@ def fit_lm(docs: DataFrame, text_col: str = "text") -> tuple[WindowModel, DataFr
         far=np.full(HIDDEN, 0.5, np.float32), bias=np.zeros(HIDDEN, np.float32),
         output=np.zeros((HIDDEN, CLASSES), np.float32), offset=np.zeros(CLASSES, np.float32),
     )
-    hashes, tails = _sampled(docs, text_col, SAMPLE / max(tokens, 1))
-    places = model.places(hashes.ravel(), tails.ravel()).reshape(-1, 5)
-    own, window = places[:, 0], places[:, 1:]
-    model.classes = _classes(words, often, own, window)
+    model.classes = _classes(docs, text_col, model, often)
     totals = np.bincount(model.classes, weights=often, minlength=CLASSES)
     model.shares = np.log(often / totals[model.classes])
     totals[SINGLE + GROUPS :] = rare_totals
@@ -314,10 +475,12 @@ def fit_lm(docs: DataFrame, text_col: str = "text") -> tuple[WindowModel, DataFr
         start = np.log(totals / max(totals.sum(), 1.0))
     # Classes without words are never predicted.
     model.offset[:] = np.where(totals > 0, start, -1e9)
-    rare = own >= len(words)
-    target = np.where(rare, SINGLE + GROUPS + own - len(words), 0)
-    target[~rare] = model.classes[own[~rare]]
-    train_network(model, window, target)
+    hashes, tails = _sampled(docs, text_col, SAMPLE / max(tokens, 1))
+    places = model.places(hashes.ravel(), tails.ravel()).reshape(-1, 5)
+    training, rng = Training(model), np.random.default_rng(3)
+    for _ in range(_EPOCHS):
+        training.epoch(places[:, 1:], model.targets(places[:, 0]), rng)
+    _trained_on_all(docs, text_col, model, training.past)
     return model, counts
 
 

@@ -169,3 +169,39 @@ def test_empty_corpus_and_repeats(spark):
     docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], DOCS)
     assert score_lm(docs, fit_lm(docs)).count() == 3
 
+
+
+def test_all_documents_train_the_network(spark, monkeypatch):
+    """The beginning meets next to none of the windows; all of them teach what follows what."""
+    monkeypatch.setattr(lm_score, "SAMPLE", 20)
+    texts = corpus(n=1200)
+    docs = table(spark, texts).repartition(3)
+    asked = ["the noun1 is kind77ing the noun2", "le noun1 est kind77ing le noun2"]
+    model = fit_lm(docs)
+    got = {r.doc_id: r.log_likelihood for r in score_lm(table(spark, asked), model).collect()}
+    assert got[0] > got[1] + 4
+    calls = []
+    monkeypatch.setattr(lm_score, "_trained_on_all", lambda *a: calls.append(a))
+    alone = fit_lm(docs)
+    assert calls and not np.array_equal(alone[0].output, model[0].output)
+    assert (alone[0].classes == model[0].classes).all()
+
+
+def test_classes_come_from_all_windows(spark):
+    """Sums of signs over every window, however the documents lie."""
+    texts = corpus(n=60)
+    model, _ = fit_lm(table(spark, texts))
+    n = len(model.words)
+    signs = np.random.default_rng(1).integers(-5, 6, (2, n + RARE + 1, lm_score.HIDDEN))
+    got = lm_score._contexts(table(spark, texts).repartition(5), "text", model,
+                             signs.astype(np.int8))
+    plain = Plain(model, {})
+    want = np.zeros_like(got)
+    for t in texts:
+        said = [None, *words(t), None]
+        for i in range(1, len(said) - 1):
+            if plain.row(said[i]) < n:
+                want[plain.row(said[i])] += np.r_[
+                    signs[0, plain.row(said[i - 1])], signs[1, plain.row(said[i + 1])]
+                ]
+    assert np.array_equal(got, want)
