@@ -20,6 +20,8 @@ B = 0.75
 PAIRS_PER_PASS = 1_000_000
 _CELLS = 4_000_000
 _BLOCK = 256
+#: Tokens that are scored at once, with a dozen arrays of their number.
+_TOKENS = 1 << 18
 # Stands for "any document" beside the terms; tokens are never empty.
 _EVERY = ""
 
@@ -135,6 +137,19 @@ def bm25_search(
     )
 
 
+def _small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``_TOKENS`` tokens; a longer document stands alone."""
+    for batch in batches:
+        lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(np.nan_to_num(lengths).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + _TOKENS, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _search_pass(
     corpus: DataFrame,
     pairs: DataFrame,
@@ -169,7 +184,7 @@ def _search_pass(
     def score(batches: Iterator[pa.RecordBatch]):
         words, weight, pair_term, pair_query = shared.value
         stride = max(len(words), 1)
-        for batch in batches:
+        for batch in _small_parts(batches):
             lists = batch.column(1)
             length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             length = np.nan_to_num(length).astype(np.int64)

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from critiq.operators.scan_topk import query_passes
+from critiq.session import small_batches
 
 # Characters of passages that one automaton holds.
 CHARACTERS_PER_PASS = 1_000_000
@@ -103,4 +104,5 @@ def _in_one_walk(
                     rows, numbers = [], []
             yield pairs()
 
+    small_batches(texts.sparkSession)
     return texts.mapInArrow(walk, schema)

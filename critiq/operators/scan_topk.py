@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from critiq.session import small_batches
+
 # Scores are compared after rounding, so that the order of float sums is not seen.
 SCORE_DIGITS = 9
 # Rows of IDs and numbers, about a hundred bytes each.
@@ -108,6 +110,7 @@ def scan(
             ]
             yield pa.RecordBatch.from_arrays(columns, arrow.names)
 
+    small_batches(corpus.sparkSession)
     return corpus.mapInArrow(run, schema)
 
 

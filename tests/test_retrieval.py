@@ -267,3 +267,43 @@ def test_filters_of_each_question(spark):
             assert found.get((metric, q), []) == want
     shown = search(index, queries, 5, bounds=bounds).collect()
     assert {r.query_id for r in shown} == {1, 2, 3, 4}
+
+
+def test_batches_are_scored_in_parts_of_bounded_tokens(spark, monkeypatch):
+    """However many long documents a batch has, and with nulls and empty lists among them."""
+    import pyarrow as pa
+
+    from critiq.operators import bm25
+
+    monkeypatch.setattr(bm25, "_TOKENS", 10)
+    lists = [["a"] * n for n in (3, 0, 7, 1, 25, 10, 0)] + [None, ["b"] * 4, ["c"] * 6, ["d"]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))],
+        names=["id", "tokens"],
+    )
+    parts = list(bm25._small_parts([batch, batch.slice(4, 3), batch.slice(0, 0)]))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [*range(len(lists)), 4, 5, 6]
+    for part in parts:
+        assert part.num_rows == 1 or len(part.column(1).flatten()) <= 10
+    assert len(parts) < 10
+
+
+def test_python_workers_get_few_texts_at_once(spark):
+    from critiq.operators.bm25 import bm25_search
+    from critiq.operators.patterns import containing
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    documents = spark.createDataFrame([("d1", "some words")], "source_id string, content string")
+    asked = spark.createDataFrame([(1, "words")], "query_id long, question string")
+    try:
+        for use in (
+            lambda: bm25_search(documents, asked),
+            lambda: containing(documents, asked, id_column="source_id", text_column="content",
+                               passage_column="query_id", passage_text_column="question"),
+        ):
+            spark.conf.set(name, "10000")
+            assert use().count() == 1
+            assert int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, before)
