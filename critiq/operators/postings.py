@@ -185,12 +185,18 @@ def _scored(
 ) -> DataFrame:
     """``query, id, score`` of all documents of (question, block) pairs with a shared term."""
     buckets = [r[0] for r in weights.select(_bucket("term")).distinct().collect()]
-    wanted = blocks.select(query_column, "block").join(weights, query_column)
+    pairs = blocks.select(query_column, "block")
     held = postings.rows.filter(F.col("bucket").isin(buckets))
     part = _weighted(F.col("frequency"), F.col("d.length"), postings.average_length, k1, b)
+    if all(df.limit(PAIRS_PER_PASS + 1).count() <= PAIRS_PER_PASS for df in (weights, pairs)):
+        # Document lists stay where they are read.
+        met = held.join(F.broadcast(weights), "term").join(
+            F.broadcast(pairs), [query_column, "block"]
+        )
+    else:
+        met = held.join(pairs.join(weights, query_column), ["term", "block"])
     return (
-        held.join(wanted, ["term", "block"])
-        .select(query_column, "weight", "frequency", F.explode("held").alias("d"))
+        met.select(query_column, "weight", "frequency", F.explode("held").alias("d"))
         .select(query_column, F.col("d.id").alias("id"), (F.col("weight") * part).alias("part"))
         .groupBy(query_column, "id")
         .agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))

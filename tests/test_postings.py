@@ -120,3 +120,26 @@ def test_documents_without_tokens_count(spark, tmp_path):
     postings = write_postings(documents, str(tmp_path / "p"))
     assert (postings.documents, postings.total_length) == (4, 2)
     assert rows_of(search_postings(postings, asked, 3)) == rows_of(bm25_search(documents, asked, 3))
+
+
+@pytest.mark.parametrize("most, shuffled", [(1_000_000, 0), (3, 2)])
+def test_document_lists_are_not_exchanged(spark, tmp_path, monkeypatch, most, shuffled):
+    """Nothing but scores is, up to the bound; beyond it the same rows come out."""
+    from critiq.operators import postings as P
+
+    documents, asked = corpus(spark, 300), questions(spark, 30)
+    postings = write_postings(documents, str(tmp_path / "p"), documents_per_block=16)
+    monkeypatch.setattr(P, "PAIRS_PER_PASS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights, bounds = block_bounds(
+            postings, query_terms(asked, "query_id", "question"), "query_id"
+        )
+        scored = P._scored(postings, weights, bounds, "query_id", 1.5, 0.75)
+        plan = scored._jdf.queryExecution().sparkPlan().toString()
+        joins = plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin")
+        assert joins == shuffled
+        got = rows_of(search_postings(postings, asked, 4))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == rows_of(bm25_search(documents, asked, 4))
