@@ -18,7 +18,13 @@ All windows of all documents make the model. The classes come from exact sums ov
 network begins with about ``SAMPLE`` windows, taken by hash from all positions; then every task
 trains its own copy on all windows of its documents, and the copies are averaged, embeddings by
 how often a task met their word. As many tasks train as the cluster has cores, so that what they
-exchange doesn't grow with the documents. Other files of the same documents give other steps.
+exchange doesn't grow with the documents; they send rows that they met only, sums in the
+shortest types that hold them. Other files of the same documents give other steps.
+
+Texts lie in one stream with two ends between them, so that a word's window is what lies beside
+it. Training takes runs of neighbouring words in random order, ``_WIDE`` windows a step: the
+embeddings of a run are read once, and the gradients of the windows that share a word are added
+by shifts before rows are summed.
 
 Defined results: null texts and texts without words have no words and score 0. Repeated rows
 count as often as they occur and are each scored. Without any document all classes are alike.
@@ -51,6 +57,8 @@ _EPOCHS = 3
 _BATCH = 1024
 #: Windows of a step on all documents.
 _WIDE = 4096
+#: Neighbouring words that are trained on together.
+_RUN = 64
 _RATE = 0.05
 #: Windows whose class scores stay in a core's cache.
 _BLOCK = 1 << 10
@@ -58,6 +66,16 @@ _BLOCK = 1 << 10
 _ROWS = 1 << 12
 #: Window positions: two words before, two after.
 _STEPS = (-1, -2, 1, 2)
+_REACH = 2
+#: Where a sample's columns (the word, then its window) lie in a run.
+_IN_ORDER = (2, 1, 0, 3, 4)
+#: Rows that occur at most so often are summed turn by turn.
+_TURNS = 16
+#: Frequent words are found by the first bits of their hash.
+_SHIFT = np.uint64(64 - 18)
+#: Exponents within float32, even for sums.
+_TAME = 80.0
+_SHORT = (np.int8, np.int16, np.int32, np.int64)
 
 
 @dataclass
@@ -68,15 +86,23 @@ class Words:
     endings: np.ndarray
     bounds: np.ndarray
 
-    def window(self) -> tuple[np.ndarray, np.ndarray]:
+    def window(self, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words around each word (words x 4), and whether they are there."""
-        n = len(self.hashes)
-        document = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
-        at = np.arange(n)[:, None] + np.array(_STEPS)[None, :]
+        of = np.arange(len(self.hashes)) if of is None else of
+        document = np.searchsorted(self.bounds, of, "right") - 1
+        at = of[:, None] + np.array(_STEPS)[None, :]
         low, high = self.bounds[:-1][document], self.bounds[1:][document]
         inside = (at >= low[:, None]) & (at < high[:, None])
         return np.where(inside, at, 0), inside
 
+    def laid_out(self, values: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+        """Where words lie in a stream with two ends around every text, and the stream."""
+        size = np.diff(self.bounds)
+        spots = np.arange(len(values)) + _REACH * np.repeat(np.cumsum(size > 0), size)
+        stream = np.full(len(values) + _REACH * (np.count_nonzero(size) + 1), end, values.dtype)
+        stream[spots] = values
+        return spots, stream
+
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, Words]]:
     """(first document, words) of chunks of a text column."""
@@ -115,41 +141,41 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def _sampled(docs: DataFrame, text_col: str, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and endings (windows x 5: the word, then its window); no word has ending -1."""
+def _sampled(docs: DataFrame, text_col: str, model: WindowModel, share: float) -> np.ndarray:
+    """Embedding rows (windows x 5: the word, then its window)."""
     cut = np.uint64(min(share, 1.0) * (2**64 - 1025))
+    shared = docs.sparkSession.sparkContext.broadcast(model.without_layers())
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for _, words in _words(batch.column(0)):
                 if not len(words.hashes):
                     continue
-                at, inside = words.window()
+                spots, stream = words.laid_out(words.hashes, np.uint64(0))
                 key = words.hashes.copy()
-                around = np.where(inside, words.hashes[at], np.uint64(0))
-                for j in range(len(_STEPS)):
-                    key = mixed(key + around[:, j])
-                first = words.bounds[:-1][
-                    np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
-                ]
-                key = mixed(key + (np.arange(len(key)) - first).astype(np.uint64))
-                chosen = np.flatnonzero(key <= cut)
-                hashes = np.column_stack([words.hashes[chosen], around[chosen]])
-                endings = np.where(inside, words.endings[at], -1)[chosen]
-                endings = np.column_stack([words.endings[chosen], endings])
+                for step in _STEPS:
+                    key += stream[spots + step]
+                    key = mixed(key)
+                size = np.diff(words.bounds)
+                key += (np.arange(len(key)) - np.repeat(words.bounds[:-1], size)).astype(np.uint64)
+                chosen = np.flatnonzero(mixed(key) <= cut)
+                at, inside = words.window(chosen)
+                own = model.places(words.hashes[chosen], words.endings[chosen])
+                around = model.places(words.hashes[at].ravel(), words.endings[at].ravel())
+                around = np.where(inside, around.reshape(at.shape), model.end)
+                rows = [own, *around.T]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[:, j].astype(np.int64)) for j in range(5)]
-                    + [pa.array(endings[:, j], pa.int32()) for j in range(5)],
-                    names=[f"h{j}" for j in range(5)] + [f"e{j}" for j in range(5)],
+                    [pa.array(r.astype(np.int32)) for r in rows],
+                    names=[f"r{j}" for j in range(5)],
                 )
 
-    schema = ", ".join([f"h{j} long" for j in range(5)] + [f"e{j} int" for j in range(5)])
+    schema = ", ".join(f"r{j} int" for j in range(5))
     found = map_texts(docs.select(text_col), take, schema).limit(2 * SAMPLE).toArrow()
-    hashes = np.column_stack([found[f"h{j}"].to_numpy() for j in range(5)]).astype(np.int64)
-    endings = np.column_stack([found[f"e{j}"].to_numpy() for j in range(5)]).astype(np.int64)
+    shared.destroy()
+    rows = np.column_stack([found[f"r{j}"].to_numpy() for j in range(5)]).astype(np.int64)
     # A fixed order, whatever order the tasks came in.
-    order = np.lexsort(np.hstack([hashes, endings]).T)
-    return hashes[order].view(np.uint64), endings[order]
+    return rows[np.lexsort(rows.T)]
 
 
 @dataclass
@@ -157,71 +183,95 @@ class WindowModel:
     """Frequent words, their classes and log shares, and the network's layers.
 
     Embedding rows: the frequent words in the order of their hashes, then one per ending,
-    then that of a text's end.
+    then that of a text's end. Their first half holds for words before, the second after.
     """
 
     words: np.ndarray
     classes: np.ndarray
     shares: np.ndarray
     rare_totals: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    sides: np.ndarray
     far: np.ndarray
     bias: np.ndarray
     output: np.ndarray
     offset: np.ndarray
 
+    def __post_init__(self):
+        starts = np.arange(1 << (64 - int(_SHIFT)), dtype=np.uint64) << _SHIFT
+        self._first = np.searchsorted(self.words, starts).astype(np.int32)
+        self._ended = np.append(self.words, np.uint64(2**64 - 1))
+
+    @property
+    def end(self) -> int:
+        """Embedding row of a text's end."""
+        return len(self.words) + RARE
+
+    def without_layers(self) -> WindowModel:
+        """What places of words need."""
+        return replace(self, **{n: None for n in ("sides", *_DENSE)})
+
     def places(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         """Embedding rows of words."""
         n = len(self.words)
-        rare = n + np.where(endings < 0, RARE, endings)
-        if not n:
-            return rare
-        at = np.minimum(np.searchsorted(self.words, hashes), n - 1)
-        return np.where((self.words[at] == hashes) & (endings >= 0), at, rare)
+        at = self._first.take((hashes >> _SHIFT).astype(np.int64)).astype(np.int64)
+        later = np.flatnonzero(self._ended.take(at) < hashes)
+        while len(later):
+            at[later] += 1
+            later = later[self._ended.take(at[later]) < hashes[later]]
+        return np.where((self._ended.take(at) == hashes) & (at < n), at, n + endings)
+
+    def stream(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embedding rows of words; where words lie in the stream of all rows, and the stream."""
+        own = self.places(words.hashes, words.endings)
+        return own, *words.laid_out(own, self.end)
+
+    def hidden(self, near: np.ndarray) -> np.ndarray:
+        """Hidden layer of all words of runs but two at either end.
+
+        ``near`` are their embeddings (runs x words x 2 HIDDEN).
+        """
+        left, right = near[..., :HIDDEN], near[..., HIDDEN:]
+        total = left[:, :-4] + right[:, 4:]
+        total *= self.far
+        total += left[:, 1:-3]
+        total += right[:, 3:-1]
+        total += self.bias
+        return np.tanh(total, out=total)
+
+    def class_scores(self, hidden: np.ndarray) -> np.ndarray:
+        """Scores of the classes, less each row's largest where exponents might not hold them."""
+        z = hidden @ self.output
+        z += self.offset
+        reach = np.abs(self.output).sum(axis=0)
+        if (self.offset + reach).max() > _TAME or (self.offset - reach).max() < -_TAME:
+            z -= z.max(axis=1, keepdims=True)
+        return z
 
     def class_logs(self, window: np.ndarray) -> np.ndarray:
         """Log-probabilities of the classes for rows of window places (words x 4)."""
-        hidden = np.tanh(self._sum(window))
-        z = hidden @ self.output + self.offset
-        z -= z.max(axis=1, keepdims=True)
+        runs = np.insert(window, 0, self.end, axis=1)[:, _IN_ORDER]
+        z = self.class_scores(self.hidden(self.sides[runs])[:, 0])
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def target_logs(self, window: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Log-probability of one class for each row of window places."""
-        z = np.tanh(self._sum(window)) @ self.output + self.offset
-        z -= z.max(axis=1, keepdims=True)
-        chosen = z[np.arange(len(z)), classes]
-        return chosen - np.log(np.exp(z, out=z).sum(axis=1))
-
-    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Embedding rows of words and of the words around them."""
-        own = self.places(words.hashes, words.endings)
-        at, inside = words.window()
-        return own, np.where(inside, own[at], len(self.words) + RARE)
-
     def targets(self, own: np.ndarray) -> np.ndarray:
         """Classes of embedding rows."""
-        rare = own >= len(self.words)
-        classes = np.where(rare, SINGLE + GROUPS + own - len(self.words), 0)
-        classes[~rare] = self.classes[own[~rare]]
-        return classes
-
-    def _sum(self, window: np.ndarray) -> np.ndarray:
-        return (
-            self.left[window[:, 0]] + self.far * self.left[window[:, 1]]
-            + self.right[window[:, 2]] + self.far * self.right[window[:, 3]] + self.bias
-        )
+        return np.append(self.classes, SINGLE + GROUPS + np.arange(RARE)).take(own)
 
     def token_logs(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Per word its log-probability, without the log count of a rare one; and which are."""
-        own, window = self.windows(words)
+        own, spots, stream = self.stream(words)
         rare = own >= len(self.words)
-        classes = self.targets(own)
-        logs = np.empty(len(own))
-        for a in range(0, len(own), _BLOCK):
-            part = slice(a, a + _BLOCK)
-            logs[part] = self.target_logs(window[part], classes[part])
+        goal = np.zeros(len(stream), np.int64)
+        goal[spots] = self.targets(own)
+        logs = np.empty(len(stream))
+        ones = np.ones(CLASSES, np.float32)
+        for a in range(0, len(stream) - 2 * _REACH, _BLOCK):
+            part = stream[a : a + _BLOCK + 2 * _REACH]
+            z = self.class_scores(self.hidden(self.sides.take(part, axis=0)[None])[0])
+            inner = slice(a + _REACH, a + _REACH + len(z))
+            chosen = z[np.arange(len(z)), goal[inner]]
+            logs[inner] = chosen - np.log(np.exp(z, out=z) @ ones)
+        logs = logs[spots]
         logs[~rare] += self.shares[own[~rare]]
         logs[rare] -= np.log(self.rare_totals[words.endings[rare]])
         return logs, rare
@@ -247,11 +297,43 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[starts], starts
 
 
-def _summed(places: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct places, ascending, and the sums of their rows."""
+def _summed(places: np.ndarray, parts: np.ndarray, kind=None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places, most frequent first, and the sums of their rows."""
     order = np.argsort(places, kind="stable")
     rows, starts = _runs(places[order])
-    return rows, np.add.reduceat(parts.take(order, axis=0), starts)
+    often = np.diff(starts, append=len(order))
+    by = np.argsort(-often, kind="stable")
+    starts, often = starts[by], often[by]
+    sums = parts.take(order[starts], axis=0).astype(kind or parts.dtype, copy=False)
+    many = int(np.searchsorted(-often, -_TURNS))
+    for i in range(many):
+        same = order[starts[i] : starts[i] + often[i]]
+        sums[i] = parts.take(same, axis=0).sum(axis=0, dtype=sums.dtype)
+    for turn in range(1, _TURNS):
+        last = int(np.searchsorted(-often, -turn))
+        if last > many:
+            sums[many:last] += parts.take(order[starts[many:last] + turn], axis=0)
+    return rows[by], sums
+
+
+def _shortened(sums: np.ndarray) -> tuple[bytes, bytes]:
+    """The shortest type that holds each row of whole numbers (0: all are 0), and the rows."""
+    least = np.minimum(sums.min(axis=1), -sums.max(axis=1))
+    kinds = np.searchsorted([0, 2**7 - 1, 2**15 - 1, 2**31 - 1], -least).astype(np.uint8)
+    rows = [packed(sums[kinds == k].astype(t)) for k, t in enumerate(_SHORT, 1)]
+    return packed(kinds), b"".join(rows)
+
+
+def _lengthened(kinds: bytes, rows: bytes) -> np.ndarray:
+    """The rows of ``_shortened``."""
+    kinds, first = np.frombuffer(kinds, np.uint8), 0
+    sums = np.zeros((len(kinds), 2 * HIDDEN), np.int64)
+    for k, kind in enumerate(_SHORT, 1):
+        here = kinds == k
+        n = np.count_nonzero(here) * 2 * HIDDEN
+        sums[here] = np.frombuffer(rows, kind, n, first).reshape(-1, 2 * HIDDEN)
+        first += n * np.dtype(kind).itemsize
+    return sums
 
 
 def _shared_out(docs: DataFrame, text_col: str) -> DataFrame:
@@ -265,37 +347,38 @@ def _contexts(
     """Sums of the signs of the words left and right of every frequent word, over all documents."""
     n = len(model.words)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((replace(model, left=None, right=None), signs))
+    shared = spark.sparkContext.broadcast((model.without_layers(), np.hstack(list(signs))))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, signs = shared.value
         sums = np.zeros((n, 2 * HIDDEN), np.int64)
         for batch in batches:
             for _, words in _words(batch.column(0)):
-                own, window = model.windows(words)
-                frequent = own < n
-                if frequent.any():
-                    order = np.flatnonzero(frequent)
-                    order = order[np.argsort(own[order], kind="stable")]
-                    rows, starts = _runs(own[order])
-                    for side, j in ((0, 0), (1, 2)):
-                        around = signs[side].take(window[order, j], axis=0)
-                        added = np.add.reduceat(around, starts, dtype=np.int32)
-                        sums[rows, side * HIDDEN : (side + 1) * HIDDEN] += added
+                if not len(words.hashes):
+                    continue
+                stream = model.stream(words)[2]
+                near = signs.take(stream, axis=0)
+                around = np.hstack([near[:-2, :HIDDEN], near[2:, HIDDEN:]])
+                own = stream[1:-1]
+                frequent = np.flatnonzero(own < n)
+                if len(frequent):
+                    rows, added = _summed(own[frequent], around.take(frequent, axis=0), np.int32)
+                    sums[rows] += added
         for a in range(0, n, _ROWS):
             if sums[a : a + _ROWS].any():
+                kinds, rows = _shortened(sums[a : a + _ROWS])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a], pa.int32()), pa.array([packed(sums[a : a + _ROWS])])],
-                    names=["first", "sums"],
+                    [pa.array([a], pa.int32()), pa.array([kinds]), pa.array([rows])],
+                    names=["first", "kinds", "rows"],
                 )
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["sums"])
+        total = sum(_lengthened(r["kinds"], r["rows"]) for r in table.to_pylist())
         return pa.table({"first": table["first"][:1],
                          "sums": pa.array([packed(total.astype(np.float32))])})
 
     schema = "first int, sums binary"
-    parts = map_texts(_shared_out(docs, text_col), gather, schema)
+    parts = map_texts(_shared_out(docs, text_col), gather, "first int, kinds binary, rows binary")
     features = np.zeros((n, 2 * HIDDEN), np.float32)
     for row in parts.groupBy("first").applyInArrow(add, schema).toArrow().to_pylist():
         found = np.frombuffer(row["sums"], np.float32).reshape(-1, 2 * HIDDEN)
@@ -328,42 +411,84 @@ class Training:
 
     def __init__(self, model: WindowModel, past: dict[str, np.ndarray] | None = None):
         self.model = model
-        self.layers = {n: getattr(model, n) for n in ("left", "right", *_DENSE)}
+        self.layers = {n: getattr(model, n) for n in ("sides", *_DENSE)}
         self.past = past or {n: np.full_like(v, 1e-6) for n, v in self.layers.items()}
 
-    def _step(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
-        past = self.past[name][rows] + gradient**2
-        self.past[name][rows] = past
-        self.layers[name][rows] -= _RATE * gradient / np.sqrt(past)
-
-    def batch(self, seen: np.ndarray, goal: np.ndarray) -> None:
+    def _step(self, name: str, gradient: np.ndarray) -> None:
+        past = self.past[name]
+        past += gradient**2
+        self.layers[name] -= _RATE * gradient / np.sqrt(past)
+
+    def _step_rows(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        past = self.past["sides"].take(rows, axis=0)
+        past += gradient**2
+        self.past["sides"][rows] = past
+        np.divide(gradient, np.sqrt(past, out=past), out=past)
+        past *= _RATE
+        self.layers["sides"][rows] -= past
+
+    def _softmax(self, hidden: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Step of the output layer; the loss by what the hidden layer's tanh is taken of."""
+        model = self.model
+        n = np.float32(np.count_nonzero(goal >= 0))
+        back = np.empty_like(hidden)
+        output, offset = np.zeros_like(model.output), np.zeros_like(model.offset)
+        ones = np.ones(CLASSES, np.float32)
+        for a in range(0, len(goal), _BLOCK):
+            h, g = hidden[a : a + _BLOCK], goal[a : a + _BLOCK]
+            p = model.class_scores(h)
+            np.exp(p, out=p)
+            total = p @ ones
+            p[np.arange(len(g)), g] -= total
+            share = np.where(g >= 0, 1 / (n * total), np.float32(0))
+            output += (h * share[:, None]).T @ p
+            offset += share @ p
+            part = np.matmul(p, model.output.T, out=back[a : a + _BLOCK])
+            part *= share[:, None]
+            part *= 1 - h**2
+        self._step("output", output)
+        self._step("offset", offset)
+        return back
+
+    def batch(self, runs: np.ndarray, goal: np.ndarray) -> None:
+        """Step on runs of rows; classes of all but two at either end, -1 for a text's end."""
         model = self.model
-        hidden = np.tanh(model._sum(seen))
-        p = hidden @ model.output + model.offset
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(goal)), goal] -= 1.0
-        p /= len(goal)
-        back = (p @ model.output.T) * (1 - hidden**2)
-        beyond = model.left[seen[:, 1]] + model.right[seen[:, 3]]
-        self._step("output", hidden.T @ p)
-        self._step("offset", p.sum(axis=0))
-        self._step("bias", back.sum(axis=0))
-        parts = np.vstack([back, back * model.far])
-        self._step("far", (back * beyond).sum(axis=0))
-        for name, near, second in (("left", 0, 1), ("right", 2, 3)):
-            rows, sums = _summed(np.concatenate([seen[:, near], seen[:, second]]), parts)
-            self._step(name, sums, rows)
+        near = model.sides.take(runs.ravel(), axis=0).reshape(*runs.shape, 2 * HIDDEN)
+        hidden = model.hidden(near)
+        back = self._softmax(hidden.reshape(-1, HIDDEN), goal.ravel()).reshape(hidden.shape)
+        beyond = near[:, :-4, :HIDDEN] + near[:, 4:, HIDDEN:]
+        beyond *= back
+        further = back * model.far
+        gradient = np.zeros_like(near)
+        left, right = gradient[..., :HIDDEN], gradient[..., HIDDEN:]
+        left[:, 1:-3] = back
+        left[:, :-4] += further
+        right[:, 3:-1] = back
+        right[:, 4:] += further
+        self._step("bias", back.reshape(-1, HIDDEN).sum(axis=0))
+        self._step("far", beyond.reshape(-1, HIDDEN).sum(axis=0))
+        self._step_rows(*_summed(runs.ravel(), gradient.reshape(-1, 2 * HIDDEN)))
 
     def epoch(
-        self, window: np.ndarray, target: np.ndarray, rng: np.random.Generator,
-        size: int = _BATCH,
+        self, runs: np.ndarray, goal: np.ndarray, rng: np.random.Generator, size: int = _BATCH
     ) -> None:
-        order = rng.permutation(len(target))
+        """Train on all runs in random order, about ``size`` windows at once."""
+        order = rng.permutation(len(goal))
+        size = max(1, size // goal.shape[1])
         for a in range(0, len(order), size):
             take = order[a : a + size]
-            self.batch(window[take], target[take])
+            self.batch(runs[take], goal[take])
+
+
+def _in_runs(stream: np.ndarray, spots: np.ndarray, classes: np.ndarray, end: int):
+    """Runs of a stream, two words longer at either end than what they train, and classes."""
+    n = -(-(len(stream) - 2 * _REACH) // _RUN) * _RUN
+    rows = np.full(n + 2 * _REACH, end, stream.dtype)
+    rows[: len(stream)] = stream
+    goal = np.full(n, -1, np.int64)
+    goal[spots - _REACH] = classes
+    runs = np.lib.stride_tricks.sliding_window_view(rows, _RUN + 2 * _REACH)[::_RUN]
+    return runs, goal.reshape(-1, _RUN)
 
 
 def _trained_on_all(
@@ -373,7 +498,7 @@ def _trained_on_all(
 
     Tasks send by how much their copies changed, those of embeddings in half precision.
     """
-    rows = len(model.left)
+    rows = len(model.sides)
     shared = docs.sparkSession.sparkContext.broadcast((model, past))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,21 +513,25 @@ def _trained_on_all(
             for _, words in _words(batch.column(0)):
                 if not len(words.hashes):
                     continue
-                own, window = own_copy.windows(words)
-                training.epoch(window, own_copy.targets(own), rng, _WIDE)
+                own, spots, stream = own_copy.stream(words)
+                runs, goal = _in_runs(stream, spots, own_copy.targets(own), own_copy.end)
+                training.epoch(runs, goal, rng, _WIDE)
                 seen += len(own)
-                met["left"] += np.bincount(window[:, :2].ravel(), minlength=rows)
-                met["right"] += np.bincount(window[:, 2:].ravel(), minlength=rows)
+                for side, steps in (("left", _STEPS[:2]), ("right", _STEPS[2:])):
+                    for step in steps:
+                        met[side] += np.bincount(stream[spots + step], minlength=rows)
         if not seen:
             return
         change = {n: v - getattr(start, n) for n, v in training.layers.items()}
         dense = np.concatenate([change[n].ravel() for n in _DENSE])
         sent = [("dense", 0, np.array([seen]), dense)]
+        halves = {"left": change["sides"][:, :HIDDEN], "right": change["sides"][:, HIDDEN:]}
         for name, often in met.items():
             for a in range(0, rows, _ROWS):
-                if often[a : a + _ROWS].any():
-                    sent.append((name, a, often[a : a + _ROWS],
-                                 change[name][a : a + _ROWS].astype(np.float16)))
+                here = often[a : a + _ROWS]
+                if here.any():
+                    sent.append((name, a, here,
+                                 halves[name][a : a + _ROWS][here > 0].astype(np.float16)))
         for name, first, often, layer in sent:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.array([first], pa.int32()), pa.array([part], pa.int32()),
@@ -415,7 +544,10 @@ def _trained_on_all(
         for row in table.sort_by("part").to_pylist():
             often = np.frombuffer(row["often"], np.int64).astype(np.float64)
             kind = np.float32 if row["name"] == "dense" else np.float16
-            layer = np.frombuffer(row["layer"], kind).reshape(len(often), -1)
+            here = np.flatnonzero(often)
+            sent = np.frombuffer(row["layer"], kind).reshape(len(here), -1)
+            layer = np.zeros((len(often), sent.shape[1]))
+            layer[here] = sent
             total = total + often[:, None] * layer
             weights = weights + often
         mean = total / np.maximum(weights, 1.0)[:, None]
@@ -438,7 +570,8 @@ def _trained_on_all(
                 held += layer[: held.size].reshape(held.shape)
                 layer = layer[held.size :]
         else:
-            held = getattr(model, row["name"])[row["first"] : row["first"] + len(met)]
+            side = slice(HIDDEN) if row["name"] == "left" else slice(HIDDEN, None)
+            held = model.sides[row["first"] : row["first"] + len(met), side]
             held[met] += layer.reshape(len(met), -1)[met]
     shared.destroy()
 
@@ -462,8 +595,8 @@ def fit_lm(docs: DataFrame, text_col: str = "text") -> tuple[WindowModel, DataFr
     rows = len(words) + RARE + 1
     model = WindowModel(
         words, np.zeros(len(words), np.int64), np.zeros(len(words)), rare_totals,
-        left=(0.1 * rng.standard_normal((rows, HIDDEN))).astype(np.float32),
-        right=(0.1 * rng.standard_normal((rows, HIDDEN))).astype(np.float32),
+        sides=np.hstack([0.1 * rng.standard_normal((rows, HIDDEN)) for _ in range(2)])
+        .astype(np.float32),
         far=np.full(HIDDEN, 0.5, np.float32), bias=np.zeros(HIDDEN, np.float32),
         output=np.zeros((HIDDEN, CLASSES), np.float32), offset=np.zeros(CLASSES, np.float32),
     )
@@ -475,11 +608,11 @@ def fit_lm(docs: DataFrame, text_col: str = "text") -> tuple[WindowModel, DataFr
         start = np.log(totals / max(totals.sum(), 1.0))
     # Classes without words are never predicted.
     model.offset[:] = np.where(totals > 0, start, -1e9)
-    hashes, tails = _sampled(docs, text_col, SAMPLE / max(tokens, 1))
-    places = model.places(hashes.ravel(), tails.ravel()).reshape(-1, 5)
+    sample = _sampled(docs, text_col, model, SAMPLE / max(tokens, 1))
+    runs, goal = sample[:, _IN_ORDER], model.targets(sample[:, :1])
     training, rng = Training(model), np.random.default_rng(3)
     for _ in range(_EPOCHS):
-        training.epoch(places[:, 1:], model.targets(places[:, 0]), rng)
+        training.epoch(runs, goal, rng)
     _trained_on_all(docs, text_col, model, training.past)
     return model, counts
 

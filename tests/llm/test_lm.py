@@ -205,3 +205,129 @@ def test_classes_come_from_all_windows(spark):
                     signs[0, plain.row(said[i - 1])], signs[1, plain.row(said[i + 1])]
                 ]
     assert np.array_equal(got, want)
+
+
+def sent_parts(spark, monkeypatch, texts, parts=3):
+    """Tables that tasks send, by their columns, while a model is fitted."""
+    found, real = {}, lm_score.map_texts
+
+    def caught(docs, function, schema):
+        rows = real(docs, function, schema)
+        found[schema] = rows.collect() if "binary" in schema else None
+        return rows
+
+    monkeypatch.setattr(lm_score, "map_texts", caught)
+    model, _ = fit_lm(table(spark, texts).repartition(parts, "doc_id"))
+    return model, [r for _, r in sorted(found.items()) if r]
+
+
+def test_tasks_send_what_they_met(spark, monkeypatch):
+    """No row of a word that a task never met, and sums as short as they are."""
+    monkeypatch.setattr(lm_score, "VOCABULARY", 4000)
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(30)]
+    model, (sums, copies) = sent_parts(spark, monkeypatch, texts)
+    assert len(model.words) == 3000 and len({r.part for r in copies}) > 1
+    for side in ("left", "right"):
+        got = sum(len(r.layer) for r in copies if r.name == side)
+        # A word lies in one text; ends come with every task.
+        assert got <= (3000 + len({r.part for r in copies})) * lm_score.HIDDEN * 2
+    assert sum(len(r.rows) for r in sums) == 3000 * 2 * lm_score.HIDDEN
+
+
+def test_short_sums_are_exact():
+    rng = np.random.default_rng(5)
+    sums = np.zeros((300, 2 * lm_score.HIDDEN), np.int64)
+    for i, top in enumerate((1, 127, 128, 2**15 - 1, 2**15, 2**31 - 1, 2**31, 2**40), 1):
+        sums[i, rng.integers(64)], sums[100 + i, rng.integers(64)] = top, -top
+        sums[200 + i] = rng.integers(-top, top + 1, 64)
+    assert np.array_equal(lm_score._lengthened(*lm_score._shortened(sums)), sums)
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(6)
+    places = np.minimum(rng.geometric(0.02, 5000), 200)
+    parts = rng.integers(-5, 6, (5000, 4)).astype(np.int8)
+    want = np.zeros((201, 4), np.int64)
+    np.add.at(want, places, parts)
+    rows, sums = lm_score._summed(places, parts, np.int32)
+    got = np.zeros_like(want)
+    got[rows] = sums
+    assert len(set(rows)) == len(rows) == len(set(places)) and np.array_equal(got, want)
+
+
+def small_model(hashes, rng):
+    rows = len(hashes) + RARE + 1
+    draw = lambda *shape: (0.5 * rng.standard_normal(shape)).astype(np.float32)
+    return lm_score.WindowModel(
+        hashes, rng.integers(0, SINGLE, len(hashes)), np.zeros(len(hashes)), np.ones(RARE),
+        draw(rows, 2 * lm_score.HIDDEN), draw(lm_score.HIDDEN), draw(lm_score.HIDDEN),
+        draw(lm_score.HIDDEN, lm_score.CLASSES), draw(lm_score.CLASSES),
+    )
+
+
+def test_places_of_words_with_equal_first_bits():
+    rng = np.random.default_rng(7)
+    far = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
+    near = np.arange(500, dtype=np.uint64) * np.uint64(3)
+    hashes = np.unique(np.concatenate([far, near, [np.uint64(2**64 - 1)]]))
+    asked = np.concatenate([hashes, hashes + np.uint64(1), [np.uint64(0)]])
+    endings = rng.integers(0, RARE, len(asked))
+    for words in (hashes[:-1], hashes, hashes[:0]):
+        at = {int(h): i for i, h in enumerate(words)}
+        want = [at.get(int(h), len(words) + e) for h, e in zip(asked, endings)]
+        assert small_model(words, rng).places(asked, endings).tolist() == want
+
+
+def test_a_step_on_runs_is_that_of_their_windows():
+    """Squares of the loss's slopes, as Adagrad keeps them, against every window by itself."""
+    rng = np.random.default_rng(8)
+    model = small_model(np.arange(20, dtype=np.uint64), rng)
+    found = lm_score.Words(rng.integers(0, 26, 150).astype(np.uint64),
+                           rng.integers(0, RARE, 150), np.array([0, 1, 1, 3, 90, 150]))
+    own, spots, stream = model.stream(found)
+    goal = model.targets(own)
+    at, inside = found.window()
+    windows = np.where(inside, own[at], model.end)
+    assert np.array_equal(windows, stream[spots[:, None] + np.array(lm_score._STEPS)])
+
+    h, m = lm_score.HIDDEN, {n: getattr(model, n).astype(np.float64)
+                             for n in ("sides", *lm_score._DENSE)}
+    slope = {n: np.zeros_like(v) for n, v in m.items()}
+    for (a, b, c, d), g in zip(windows, goal):
+        left, right = m["sides"][:, :h], m["sides"][:, h:]
+        beyond = left[b] + right[d]
+        t = np.tanh(left[a] + right[c] + m["far"] * beyond + m["bias"])
+        p = np.exp(t @ m["output"] + m["offset"])
+        p /= p.sum()
+        p[g] -= 1
+        p /= len(goal)
+        back = (m["output"] @ p) * (1 - t**2)
+        slope["output"] += np.outer(t, p)
+        slope["offset"] += p
+        slope["bias"] += back
+        slope["far"] += back * beyond
+        for row, part, size in ((a, slice(h), 1), (b, slice(h), m["far"]),
+                                (c, slice(h, None), 1), (d, slice(h, None), m["far"])):
+            slope["sides"][row, part] += back * size
+    training = lm_score.Training(model)
+    runs, classes = lm_score._in_runs(stream, spots, goal, model.end)
+    assert runs.shape[1] == classes.shape[1] + 4 and (classes >= 0).sum() == 150
+    training.batch(runs, classes)
+    for name, want in slope.items():
+        got = np.sqrt(np.maximum(training.past[name] - 1e-6, 0))
+        assert np.allclose(got, np.abs(want), rtol=1e-3, atol=2e-4), name
+        moved = np.abs(want) > 1e-3
+        assert (np.sign(m[name] - training.layers[name])[moved] == np.sign(want[moved])).all()
+
+
+def test_scores_far_apart_stay_finite():
+    rng = np.random.default_rng(9)
+    model = small_model(np.arange(20, dtype=np.uint64), rng)
+    hidden = np.tanh(rng.standard_normal((50, lm_score.HIDDEN))).astype(np.float32)
+    mild = model.class_scores(hidden)
+    for add in (500.0, -500.0):
+        model.offset += np.float32(add)
+        z = model.class_scores(hidden)
+        p, q = np.exp(z), np.exp(mild)
+        assert np.allclose(p / p.sum(1, keepdims=True), q / q.sum(1, keepdims=True), atol=1e-3)
+        model.offset -= np.float32(add)
