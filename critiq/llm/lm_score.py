@@ -62,6 +62,8 @@ _RUN = 64
 _RATE = 0.05
 #: Windows whose class scores stay in a core's cache.
 _BLOCK = 1 << 10
+#: Words of a long text whose signs are held at once.
+_STRETCH = 1 << 17
 #: Embedding rows that tasks exchange at once.
 _ROWS = 1 << 12
 #: Window positions: two words before, two after.
@@ -357,13 +359,16 @@ def _contexts(
                 if not len(words.hashes):
                     continue
                 stream = model.stream(words)[2]
-                near = signs.take(stream, axis=0)
-                around = np.hstack([near[:-2, :HIDDEN], near[2:, HIDDEN:]])
-                own = stream[1:-1]
-                frequent = np.flatnonzero(own < n)
-                if len(frequent):
-                    rows, added = _summed(own[frequent], around.take(frequent, axis=0), np.int32)
-                    sums[rows] += added
+                for a in range(0, len(stream) - 2, _STRETCH):
+                    part = stream[a : a + _STRETCH + 2]
+                    near = signs.take(part, axis=0)
+                    around = np.hstack([near[:-2, :HIDDEN], near[2:, HIDDEN:]])
+                    own = part[1:-1]
+                    frequent = np.flatnonzero(own < n)
+                    if len(frequent):
+                        around = around.take(frequent, axis=0)
+                        rows, added = _summed(own[frequent], around, np.int32)
+                        sums[rows] += added
         for a in range(0, n, _ROWS):
             if sums[a : a + _ROWS].any():
                 kinds, rows = _shortened(sums[a : a + _ROWS])

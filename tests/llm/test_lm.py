@@ -255,6 +255,17 @@ def test_sums_of_rows():
     assert len(set(rows)) == len(rows) == len(set(places)) and np.array_equal(got, want)
 
 
+def test_classes_of_texts_beyond_a_stretch(spark, monkeypatch):
+    texts = corpus(n=40)
+    model, _ = fit_lm(table(spark, texts))
+    signs = np.random.default_rng(2).integers(
+        -5, 6, (2, len(model.words) + RARE + 1, lm_score.HIDDEN)
+    ).astype(np.int8)
+    want = lm_score._contexts(table(spark, texts), "text", model, signs)
+    monkeypatch.setattr(lm_score, "_STRETCH", 7)
+    assert np.array_equal(lm_score._contexts(table(spark, texts), "text", model, signs), want)
+
+
 def small_model(hashes, rng):
     rows = len(hashes) + RARE + 1
     draw = lambda *shape: (0.5 * rng.standard_normal(shape)).astype(np.float32)
