@@ -23,9 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from critiq.operators.bm25 import (
-    B, K1, PAIRS_PER_PASS, check_document_ids, query_terms, tokenized,
-)
+from critiq.operators.bm25 import B, K1, check_document_ids, query_terms, tokenized
 from critiq.operators.scan_topk import SCORE_DIGITS, rank_top_k
 from critiq.session import materialize
 
@@ -35,6 +33,8 @@ BUCKETS = 64
 BLOCKS_PER_SLICE = 4096
 #: Blocks per question that are scored first.
 FIRST_BLOCKS = 2
+#: (question, term) or (question, block) pairs that are broadcast.
+PAIRS_PER_PASS = 1_000_000
 #: Room for the rounding of sums when a bound is compared with a score.
 _MARGIN = 1e-6
 _CORPUS = "documents bigint, total_length bigint, blocks bigint"

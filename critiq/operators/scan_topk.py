@@ -46,6 +46,31 @@ def query_passes(
         yield from query_passes(queries.filter(slot == number), key, size, bound, level + 1)
 
 
+def _kept_best(
+    kept: dict[int, pd.DataFrame],
+    first: int,
+    fresh: pd.DataFrame,
+    floor: np.ndarray,
+    k: int,
+) -> None:
+    """Take ``q, score, id`` rows in among the k best of the queries from ``first`` on.
+
+    ``floor`` is raised to the k-th score of queries that have one.
+    """
+    both = pd.concat([kept[first], fresh]) if first in kept else fresh
+    ranked = both.sort_values(["q", "score", "id"], ascending=[True, False, True])
+    place = ranked.groupby("q").cumcount()
+    full = ranked[place == k - 1]
+    floor[full["q"].to_numpy()] = full["score"].to_numpy()
+    kept[first] = ranked[place < k]
+
+
+def _rows(ids: pa.Array, row: np.ndarray, query: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(
+        {"q": query, "score": score, "id": ids.take(pa.array(row)).to_pandas().astype(object)}
+    )
+
+
 def best_rows(
     scored: Iterable[tuple[pa.Array, int, np.ndarray]],
     query_count: int,
@@ -66,21 +91,26 @@ def best_rows(
         if rows > k:
             low = np.maximum(low, np.partition(scores, rows - k, axis=0)[rows - k])
         d, q = np.nonzero((scores >= low) & np.isfinite(scores))
-        if not len(d):
-            continue
-        fresh = pd.DataFrame(
-            {
-                "q": q + first,
-                "score": scores[d, q],
-                "id": ids.take(pa.array(d)).to_pandas().astype(object),
-            }
-        )
-        both = pd.concat([kept[first], fresh]) if first in kept else fresh
-        ranked = both.sort_values(["q", "score", "id"], ascending=[True, False, True])
-        place = ranked.groupby("q").cumcount()
-        full = ranked[place == k - 1]
-        floor[full["q"].to_numpy()] = full["score"].to_numpy()
-        kept[first] = ranked[place < k]
+        if len(d):
+            _kept_best(kept, first, _rows(ids, d, q + first, scores[d, q]), floor, k)
+    return pd.concat(kept.values()) if kept else pd.DataFrame()
+
+
+def best_hits(
+    found: Iterable[tuple[pa.Array, int, np.ndarray, np.ndarray, np.ndarray]],
+    floor: np.ndarray,
+    k: int,
+) -> pd.DataFrame:
+    """k best ``(q, score, id)`` per query of a stream of single hits.
+
+    Each item is (row IDs, number of the first query of its group, and per hit its row,
+    query and score). Between items ``floor`` is raised to the k-th score of each query.
+    """
+    kept: dict[int, pd.DataFrame] = {}
+    for ids, first, row, query, score in found:
+        score = np.round(score, SCORE_DIGITS) + 0.0
+        if len(row):
+            _kept_best(kept, first, _rows(ids, row, query, score), floor, k)
     return pd.concat(kept.values()) if kept else pd.DataFrame()
 
 
@@ -89,10 +119,12 @@ def scan(
     id_column: str,
     query_field: StructField,
     query_ids: pa.Array,
-    score: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple[pa.Array, int, np.ndarray]]],
-    k: int,
+    best_of: Callable[[Iterator[pa.RecordBatch], int], pd.DataFrame],
 ) -> DataFrame:
-    """Task-level best rows as ``query id, id_column, score``."""
+    """Task-level best rows as ``query id, id_column, score``.
+
+    ``best_of`` gets a task's batches and the number of queries; it gives ``q, score, id``.
+    """
     schema = StructType(
         [query_field, corpus.schema[id_column], StructField("score", DoubleType())]
     )
@@ -101,7 +133,7 @@ def scan(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_queries = shared_ids.value
-        best = best_rows(score(batches), len(all_queries), k)
+        best = best_of(batches, len(all_queries))
         if len(best):
             columns = [
                 all_queries.take(pa.array(best["q"].to_numpy(np.int64))).cast(arrow[0].type),

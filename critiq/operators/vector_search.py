@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.text import casefold_label
-from critiq.operators.scan_topk import query_passes, rank_top_k, scan, with_documents
+from critiq.operators.scan_topk import (
+    best_rows, query_passes, rank_top_k, scan, with_documents,
+)
 
 METRICS = ("l2", "cosine", "ip")
 # Numbers in the query vectors that travel with a task in one pass.
@@ -210,7 +212,10 @@ def _search_pass(
                     distance = _distances(part, block, metric, k, met)
                     yield batch.column(0).slice(start, len(part)), first, -distance
 
-    return scan(corpus, id_column, queries.schema[query_column], query_ids, score, k)
+    return scan(
+        corpus, id_column, queries.schema[query_column], query_ids,
+        lambda batches, query_count: best_rows(score(batches), query_count, k),
+    )
 
 
 def search(

@@ -52,6 +52,38 @@ def _found(result):
     return found
 
 
+def test_many_questions_read_a_corpus_tokenised_once(spark, monkeypatch):
+    """No pass tokenises again; a question that comes twice counts its terms once."""
+    monkeypatch.setattr(bm25, "PAIRS_IN_PLACE", 10)
+    monkeypatch.setattr(bm25, "_CELLS", 50)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(80)]
+    docs = {f"d{i:03d}": rng.choices(words, k=rng.randint(1, 30)) for i in range(200)}
+    questions = {i: " ".join(rng.choices(words, k=8)) for i in range(20)}
+    asked = _queries(spark, questions)
+    found = bm25_search(_docs(spark, docs), asked.unionByName(asked), 5, pairs_per_pass=60)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().executedPlan().toString()
+    assert _found(found) == {q: _ranking(docs, t.split(), 5) for q, t in questions.items()}
+
+
+@pytest.mark.parametrize("rows", [3, 70, 500])
+def test_a_block_scores_and_bounds_its_hits(rows):
+    rng = np.random.default_rng(rows)
+    held = rng.random((rows, 12)) < np.linspace(0.01, 0.9, 12)
+    value = held * rng.random((rows, 12)).round(1)
+    row, word = np.nonzero(held)
+    block = bm25._Block(rows, row, word, value[row, word], 12)
+    terms = [(t, block.ends[t], block.ends[t + 1]) for t in range(0, 12, 2)]
+    scores = block.scores(terms)
+    want = value[:, ::2].sum(axis=1)
+    assert np.allclose(scores[:rows], want) and not scores[rows:].any()
+    for k in (1, 5):
+        least = np.sort(want)[-min(k, rows)]
+        hits = block.best(scores, -np.inf, k)
+        assert set(np.flatnonzero((want >= least) & (want > 0))) == set(hits)
+        assert not len(block.best(scores, want.max() + 1, k))
+
+
 @pytest.mark.parametrize("pairs_per_pass", [1_000_000, 40])
 def test_bm25_equals_brute_force(spark, monkeypatch, pairs_per_pass):
     monkeypatch.setattr(bm25, "_BLOCK", 7)
