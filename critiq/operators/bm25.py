@@ -9,7 +9,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critiq.functions.text import tokens
@@ -36,10 +36,14 @@ _TOKENS = 1 << 18
 _EVERY = ""
 
 
+def token_list(text: Column) -> Column:
+    """Tokens of a text; one that is null has none."""
+    return F.coalesce(tokens(text), F.array().cast("array<string>"))
+
+
 def tokenized(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``id, tokens``; a document without text has none, and is a document."""
-    words = F.coalesce(tokens(F.col(text_column)), F.array().cast("array<string>"))
-    return documents.select(id_column, words.alias("tokens"))
+    return documents.select(id_column, token_list(F.col(text_column)).alias("tokens"))
 
 
 def query_terms(queries: DataFrame, query_column: str, text_column: str) -> DataFrame:
@@ -150,7 +154,7 @@ def bm25_search(
     )
 
 
-def _small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches in parts of at most ``_TOKENS`` tokens; a longer document stands alone."""
     for batch in batches:
         lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
@@ -163,7 +167,7 @@ def _small_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
-class _Block:
+class DocumentBlock:
     """Documents with the places and values of every term they hold."""
 
     def __init__(self, rows: int, row: np.ndarray, word: np.ndarray, value: np.ndarray, words: int):
@@ -220,16 +224,16 @@ def _blocks(
     average: float,
     k1: float,
     b: float,
-) -> Iterator[tuple[pa.Array, _Block]]:
+) -> Iterator[tuple[pa.Array, DocumentBlock]]:
     """Blocks of documents, with their IDs, of at most ``_CELLS`` documents and pairs of a
     document and a term; a longer document stands alone."""
     ids, held, rows, cells = [], [], 0, 0
 
-    def done() -> tuple[pa.Array, _Block]:
+    def done() -> tuple[pa.Array, DocumentBlock]:
         row, word, value = (np.concatenate(column) for column in zip(*held))
-        return pa.concat_arrays(ids), _Block(rows, row, word, value, len(words))
+        return pa.concat_arrays(ids), DocumentBlock(rows, row, word, value, len(words))
 
-    for batch in _small_parts(batches):
+    for batch in small_parts(batches):
         lists = batch.column(1)
         length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         length = np.nan_to_num(length).astype(np.int64)
@@ -262,6 +266,10 @@ def _blocks(
         yield done()
 
 
+#: As in earlier versions.
+_small_parts = small_parts
+
+
 def _search_pass(
     corpus: DataFrame,
     pairs: DataFrame,

@@ -7,8 +7,9 @@ are dealt to blocks of bounded expected size by a hash of their ID.
 
 The shortest document of a row bounds what the row can add to a score. A search sums these
 bounds per (question, block), reading no document lists; scores the most promising blocks of
-each question; and then only those others whose bound reaches the k-th score so found. All
-steps are joins and aggregates over the whole table of questions.
+each question; and then only those others whose bound reaches the k-th score so found. Lists
+are exchanged by block and added up there; beyond a bound of the questions all steps are joins
+and aggregates over their whole table.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-from critiq.operators.bm25 import B, K1, check_document_ids, query_terms, tokenized
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import (
+    ArrayType, DoubleType, LongType, StringType, StructField, StructType,
+)
+
+from critiq.operators.bm25 import (
+    B, K1, DocumentBlock, check_document_ids, query_terms, small_parts, token_list,
+)
 from critiq.operators.scan_topk import SCORE_DIGITS, rank_top_k
-from critiq.session import materialize
+from critiq.session import materialize, small_batches
 
 DOCUMENTS_PER_BLOCK = 1024
 BUCKETS = 64
@@ -35,6 +41,8 @@ BLOCKS_PER_SLICE = 4096
 FIRST_BLOCKS = 2
 #: (question, term) or (question, block) pairs that are broadcast.
 PAIRS_PER_PASS = 1_000_000
+#: Rows that a Python worker hands over at once.
+_ROWS = 10_000
 #: Room for the rounding of sums when a bound is compared with a score.
 _MARGIN = 1e-6
 _CORPUS = "documents bigint, total_length bigint, blocks bigint"
@@ -58,33 +66,91 @@ def _bucket(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _counted(corpus: DataFrame, id_column: str) -> DataFrame:
-    """``id, length, term, frequency`` of tokenized documents, counted in place."""
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
+    """(value, batches) for each run of equal values of ``column``."""
+    value, held = None, []
+    for batch in batches:
+        keys = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            if start == stop:
+                continue
+            if held and keys[start] != value:
+                yield value, held
+                held = []
+            value = keys[start]
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield value, held
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places where a value of sorted columns differs from the one before."""
+    changed = np.any([np.diff(c) != 0 for c in columns], axis=0)
+    return np.concatenate(([0], np.flatnonzero(changed) + 1))
+
+
+def _grouped(corpus: DataFrame, id_column: str) -> DataFrame:
+    """Rows ``block, term, frequency, shortest, held_by, held`` of ``id, tokens, block``,
+    whose blocks lie together."""
+    kind = corpus.schema[id_column].dataType
+    held = StructType([StructField("id", kind), StructField("length", LongType())])
     schema = StructType(
-        [corpus.schema[id_column], StructField("length", LongType()),
-         StructField("term", StringType()), StructField("frequency", LongType())]
+        [StructField("block", LongType()), StructField("term", StringType()),
+         StructField("frequency", LongType()), StructField("shortest", LongType()),
+         StructField("held_by", LongType()), StructField("held", ArrayType(held))]
     )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            lengths = np.nan_to_num(
+    def rows_of(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        ids, terms, places, counts, sizes, before = [], [], [], [], [], 0
+        for part in small_parts(parts):
+            lists = part.column(1)
+            length = np.nan_to_num(
                 pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             ).astype(np.int64)
             words = pc.dictionary_encode(lists.flatten())
             stride = max(len(words.dictionary), 1)
-            row = np.repeat(np.arange(len(lengths)), lengths)
+            row = np.repeat(np.arange(len(length)), length)
             cells, often = np.unique(
                 row * stride + words.indices.to_numpy(zero_copy_only=False), return_counts=True
             )
             row, word = np.divmod(cells, stride)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(lengths[row]),
-                 words.dictionary.take(pa.array(word)), pa.array(often)],
-                names=[id_column, "length", "term", "frequency"],
-            )
+            ids.append(part.column(0))
+            terms.append(words.dictionary.take(pa.array(word)))
+            places.append(row + before)
+            counts.append(often)
+            sizes.append(length)
+            before += len(length)
+        words = pc.dictionary_encode(pa.concat_arrays(terms))
+        word = words.indices.to_numpy(zero_copy_only=False)
+        if not len(word):
+            return None
+        place, often, length = map(np.concatenate, (places, counts, sizes))
+        order = np.lexsort((often, word))
+        place, often, word = place[order], often[order], word[order]
+        start = _starts(word, often)
+        length = length[place]
+        documents = pa.StructArray.from_arrays(
+            [pa.concat_arrays(ids).take(pa.array(place)), pa.array(length)], ["id", "length"]
+        )
+        ends = np.append(start, len(place))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(start), block)),
+             words.dictionary.take(pa.array(word[start])), pa.array(often[start]),
+             pa.array(np.minimum.reduceat(length, start)), pa.array(np.diff(ends)),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), documents)],
+            names=["block", "term", "frequency", "shortest", "held_by", "held"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in _runs(batches, "block"):
+            rows = rows_of(block, parts)
+            if rows is not None:
+                for start in range(0, len(rows), _ROWS):
+                    yield rows.slice(start, _ROWS)
 
-    return corpus.mapInArrow(count, schema)
+    small_batches(corpus.sparkSession)
+    return corpus.mapInArrow(run, schema)
 
 
 def write_postings(
@@ -106,22 +172,19 @@ def write_postings(
     blocks = max(1, -(-count // documents_per_block))
     slices = -(-blocks // BLOCKS_PER_SLICE)
     block = F.pmod(F.xxhash64(F.col(id_column)), F.lit(blocks))
-    keys = ["bucket", "slice", "term", "block", "frequency"]
-    grouped = (
-        _counted(tokenized(documents, id_column, text_column), id_column)
-        .withColumns({"bucket": _bucket("term"), "block": block})
-        .withColumn("slice", F.pmod("block", F.lit(slices)))
-        # The one exchange; the groups below lie inside its partitions.
-        .repartition("bucket", "slice")
-        .groupBy(*keys)
-        .agg(
-            F.min("length").alias("shortest"),
-            F.count("*").alias("held_by"),
-            F.collect_list(F.struct(F.col(id_column).alias("id"), "length")).alias("held"),
-        )
+    dealt = (
+        documents.select(id_column, text_column, block.alias("block"))
+        # The text is exchanged once; the documents of a block are then grouped where they lie.
+        .repartition("block")
+        .sortWithinPartitions("block")
     )
+    corpus = dealt.select(
+        *[F.col(c) for c in (id_column, "block")], token_list(F.col(text_column)).alias("tokens")
+    ).select(id_column, "tokens", "block")
     (
-        grouped.drop("slice")
+        _grouped(corpus, id_column)
+        .withColumn("bucket", _bucket("term"))
+        .repartition("bucket", F.pmod("block", F.lit(slices)))
         .sortWithinPartitions("bucket", "term", "block")
         .write.partitionBy("bucket").parquet(f"{path}/rows")
     )
@@ -181,20 +244,19 @@ def block_bounds(
 
 def _scored(
     postings: Postings, weights: DataFrame, blocks: DataFrame, query_column: str,
-    k1: float, b: float,
+    k1: float, b: float, k: int | None = None,
 ) -> DataFrame:
-    """``query, id, score`` of all documents of (question, block) pairs with a shared term."""
+    """``query, id, score`` of all documents of (question, block) pairs with a shared term.
+
+    With ``k`` documents of a block that aren't among its k best may be left out.
+    """
     buckets = [r[0] for r in weights.select(_bucket("term")).distinct().collect()]
     pairs = blocks.select(query_column, "block")
     held = postings.rows.filter(F.col("bucket").isin(buckets))
-    part = _weighted(F.col("frequency"), F.col("d.length"), postings.average_length, k1, b)
     if all(df.limit(PAIRS_PER_PASS + 1).count() <= PAIRS_PER_PASS for df in (weights, pairs)):
-        # Document lists stay where they are read.
-        met = held.join(F.broadcast(weights), "term").join(
-            F.broadcast(pairs), [query_column, "block"]
-        )
-    else:
-        met = held.join(pairs.join(weights, query_column), ["term", "block"])
+        return _scored_blocks(postings, held, weights, pairs, query_column, k1, b, k)
+    part = _weighted(F.col("frequency"), F.col("d.length"), postings.average_length, k1, b)
+    met = held.join(pairs.join(weights, query_column), ["term", "block"])
     return (
         met.select(query_column, "weight", "frequency", F.explode("held").alias("d"))
         .select(query_column, F.col("d.id").alias("id"), (F.col("weight") * part).alias("part"))
@@ -203,6 +265,83 @@ def _scored(
     )
 
 
+def _scored_blocks(
+    postings: Postings, held: DataFrame, weights: DataFrame, pairs: DataFrame,
+    query_column: str, k1: float, b: float, k: int | None,
+) -> DataFrame:
+    """The same from lists that are exchanged once, by block; questions travel with the tasks."""
+    spark = held.sparkSession
+    asked, wanted = weights.toArrow(), pairs.toArrow()
+    vocabulary = pa.array(pc.unique(asked["term"]).to_pylist(), pa.string())
+    number = pc.dictionary_encode(wanted[query_column]).combine_chunks()
+    queries = number.dictionary
+    query = pc.index_in(asked[query_column], queries)
+    known = pc.is_valid(query).to_numpy()
+    query = query.to_numpy().astype(np.float64)[known].astype(np.int64)
+    term = pc.index_in(asked["term"], vocabulary).to_numpy()[known].astype(np.int64)
+    idf = np.zeros(len(vocabulary))
+    idf[term] = asked["weight"].to_numpy()[known]
+    order = np.argsort(query, kind="stable")
+    ends = np.searchsorted(query[order], np.arange(len(queries) + 1))
+    place = np.argsort(wanted["block"].to_numpy(), kind="stable")
+    shared = spark.sparkContext.broadcast(
+        (vocabulary, idf, term[order], ends, queries,
+         wanted["block"].to_numpy()[place], number.indices.to_numpy()[place])
+    )
+    id_type = held.schema["held"].dataType.elementType["id"].dataType
+    schema = StructType(
+        [pairs.schema[query_column], StructField("id", id_type), StructField("score", DoubleType())]
+    )
+    arrow, average = to_arrow_schema(schema), postings.average_length
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weight, terms, ends, queries, block_of, query_of = shared.value
+        for key, parts in _runs(batches, "block"):
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            lists = pa.concat_arrays(rows["held"].chunks)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            documents = lists.flatten()
+            ids = pc.dictionary_encode(documents.field("id"))
+            length = documents.field("length").to_numpy()
+            frequency = np.repeat(rows["frequency"].to_numpy(), size)
+            word = np.repeat(pc.index_in(rows["term"], words).to_numpy(), size)
+            damping = k1 * (1 - b + b * length / average)
+            value = weight[word] * (frequency * (k1 + 1) / (frequency + damping))
+            block = DocumentBlock(
+                len(ids.dictionary), ids.indices.to_numpy(), word, value, len(words)
+            )
+            lo, hi = np.searchsorted(block_of, [key, key + 1])
+            query, row, found = [], [], []
+            for q in query_of[lo:hi].tolist():
+                mine = terms[ends[q] : ends[q + 1]]
+                start, stop = block.ends[mine], block.ends[mine + 1]
+                met = stop > start
+                if not met.any():
+                    continue
+                scores = block.scores([*zip(*(x[met].tolist() for x in (mine, start, stop)))])
+                best = block.best(scores, -np.inf, block.rows if k is None else k)
+                query.append(np.full(len(best), q))
+                row.append(best)
+                found.append(scores[best])
+            if query:
+                query, row, found = map(np.concatenate, (query, row, found))
+                columns = [queries.take(pa.array(query)), ids.dictionary.take(pa.array(row)),
+                           pa.array(np.round(found, SCORE_DIGITS) + 0.0)]
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(f.type) for c, f in zip(columns, arrow)], arrow.names
+                )
+
+    small_batches(spark)
+    return (
+        held.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
+        .join(F.broadcast(pairs.select("block").distinct()), "block", "left_semi")
+        .select("block", "term", "frequency", "held")
+        .repartition("block")
+        .sortWithinPartitions("block")
+        .mapInArrow(score, schema)
+    )
+
+
 def remaining_blocks(bounds: DataFrame, first: DataFrame, best: DataFrame, k: int) -> DataFrame:
     """Pairs beside the ``first`` ones whose bound reaches the k-th of the ``best`` scores."""
     query = bounds.columns[0]
@@ -241,9 +380,9 @@ def search_postings(
         .filter(F.col("nth") <= FIRST_BLOCKS).drop("nth")
     )
     ranking = [F.desc("score"), F.asc("id")]
-    scored = _scored(postings, weights, first, query_column, k1, b)
+    scored = _scored(postings, weights, first, query_column, k1, b, k)
     best = materialize(rank_top_k(scored, query_column, ranking, k))
     rest = materialize(remaining_blocks(bounds, first, best, k))
-    others = _scored(postings, weights, rest, query_column, k1, b)
+    others = _scored(postings, weights, rest, query_column, k1, b, k)
     found = rank_top_k(best.drop("rank").unionByName(others), query_column, ranking, k)
     return found.withColumnRenamed("id", id_column)

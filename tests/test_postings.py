@@ -143,3 +143,42 @@ def test_document_lists_are_not_exchanged(spark, tmp_path, monkeypatch, most, sh
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == rows_of(bm25_search(documents, asked, 4))
+
+
+def test_blocks_are_scored_from_whole_lists(spark, tmp_path, monkeypatch):
+    """No row per question and document is exchanged; the scores are those of the joins."""
+    from critiq.operators import postings as P
+
+    documents, asked = corpus(spark, 300), questions(spark, 30)
+    postings = write_postings(documents, str(tmp_path / "p"), documents_per_block=16)
+    weights, bounds = block_bounds(
+        postings, query_terms(asked, "query_id", "question"), "query_id"
+    )
+    scored = P._scored(postings, weights, bounds, "query_id", 1.5, 0.75)
+    assert "Generate" not in scored._jdf.queryExecution().executedPlan().toString()
+    few = P._scored(postings, weights, bounds, "query_id", 1.5, 0.75, k=2)
+    got, best = ({(r[0], r[1]): r[2] for r in df.collect()} for df in (scored, few))
+    monkeypatch.setattr(P, "PAIRS_PER_PASS", 3)
+    joined = P._scored(postings, weights, bounds, "query_id", 1.5, 0.75)
+    want = {(r[0], r[1]): r[2] for r in joined.collect()}
+    assert got.keys() == want.keys() and best.items() <= got.items() and len(best) < len(got)
+    assert all(abs(got[key] - want[key]) < 1e-8 for key in want)
+
+
+def test_rows_hold_every_document_of_a_block(spark, tmp_path):
+    documents = spark.createDataFrame(
+        [(i, " ".join(["aa"] * (1 + i % 3) + ["bb"] * (i % 2))) for i in range(40)],
+        "source_id bigint, content string",
+    )
+    rows = write_postings(documents, str(tmp_path / "p"), documents_per_block=10).rows.collect()
+    held = {}
+    for r in rows:
+        assert r["held_by"] == len(r["held"])
+        assert r["shortest"] == min(d["length"] for d in r["held"])
+        for d in r["held"]:
+            held[r["term"], d["id"]] = (r["frequency"], d["length"])
+    words = {i: (1 + i % 3, i % 2) for i in range(40)}
+    assert held == {("aa", i): (a, a + b) for i, (a, b) in words.items()} | {
+        ("bb", i): (b, a + b) for i, (a, b) in words.items() if b
+    }
+    assert len({(r["term"], r["block"], r["frequency"]) for r in rows}) == len(rows)

@@ -72,7 +72,7 @@ def test_a_block_scores_and_bounds_its_hits(rows):
     held = rng.random((rows, 12)) < np.linspace(0.01, 0.9, 12)
     value = held * rng.random((rows, 12)).round(1)
     row, word = np.nonzero(held)
-    block = bm25._Block(rows, row, word, value[row, word], 12)
+    block = bm25.DocumentBlock(rows, row, word, value[row, word], 12)
     terms = [(t, block.ends[t], block.ends[t + 1]) for t in range(0, 12, 2)]
     scores = block.scores(terms)
     want = value[:, ::2].sum(axis=1)
