@@ -164,6 +164,15 @@ def test_stream_counts_copies_on_in_its_state(spark, tmp_path):
     ]
 
 
+def test_files_of_many_megabytes_are_no_values(spark, tmp_path):
+    """A task held several copies of a file of up to 256 MB."""
+    content = b"a line of a file\n" * 1_200_000
+    (tmp_path / "f.csv").write_bytes(content)
+    found = file_digests(spark, str(tmp_path / "f.csv"))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.digest for r in found.collect()] == [sha256(content).hexdigest()]
+
+
 def test_a_question_sent_twice_is_answered_once(spark, tmp_path):
     path, asks = str(tmp_path / "index"), tmp_path / "asks"
     asks.mkdir()
