@@ -1,6 +1,7 @@
 import json
 from hashlib import sha256
 
+import pandas as pd
 import pytest
 
 from critiq.operators.documents import build_documents
@@ -11,7 +12,7 @@ from critiq.operators.reconcile import reconcile_index
 from critiq.plans.tables import letter_counts
 from critiq.sources.index import commits, index_count, read_index
 from critiq.sources.registry import dataset_digest, file_digests, register_dataset
-from critiq.streaming.jobs import add_reviews, stream_index, stream_search
+from critiq.streaming.jobs import CopyCounter, add_reviews, stream_index, stream_search
 
 
 def _docs(spark, texts):
@@ -164,6 +165,26 @@ def test_stream_counts_copies_on_in_its_state(spark, tmp_path):
     ]
 
 
+def test_a_bucket_numbers_the_copies_of_each_digest():
+    """One call sees the records of many digests, in parts."""
+
+    class Copies(dict):
+        getValue, containsKey, updateValue = dict.get, dict.__contains__, dict.__setitem__
+
+    counter = CopyCounter()
+    counter.copies = Copies()
+    counter.handleInitialState(
+        ("0",), pd.DataFrame({"id_digest": ["0a", "0b"], "copies": [3, 1]}), None
+    )
+    parts = [["0a", "0c", "0a"], ["0c", "0b", "0a", "0d"]]
+    rows = [pd.DataFrame({"record": d, "id_digest": d, "bucket": "0"}) for d in parts]
+    found = pd.concat(counter.handleInputRows(("0",), iter(rows), None))
+    assert [*zip(found["id_digest"], found["occurrence"])] == [
+        ("0a", 4), ("0c", 1), ("0a", 5), ("0c", 2), ("0b", 2), ("0a", 6), ("0d", 1)
+    ]
+    assert counter.copies == {("0a",): (6,), ("0b",): (2,), ("0c",): (2,), ("0d",): (1,)}
+
+
 def test_files_of_many_megabytes_are_no_values(spark, tmp_path):
     """A task held several copies of a file of up to 256 MB."""
     content = b"a line of a file\n" * 1_200_000
