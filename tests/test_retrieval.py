@@ -61,7 +61,7 @@ def test_many_questions_read_a_corpus_tokenised_once(spark, monkeypatch):
     docs = {f"d{i:03d}": rng.choices(words, k=rng.randint(1, 30)) for i in range(200)}
     questions = {i: " ".join(rng.choices(words, k=8)) for i in range(20)}
     asked = _queries(spark, questions)
-    found = bm25_search(_docs(spark, docs), asked.unionByName(asked), 5, pairs_per_pass=60)
+    found = bm25_search(_docs(spark, docs), asked.unionByName(asked), 5, pairs_per_pass=250)
     assert "regexp_extract_all" not in found._jdf.queryExecution().executedPlan().toString()
     assert _found(found) == {q: _ranking(docs, t.split(), 5) for q, t in questions.items()}
 
